@@ -22,24 +22,25 @@ OVERVIEW_LABELS = [
 PERIOD_SEP = " até "
 CURRENCY = "R$ "
 
-AMT = F.col("amount")
+def _amt() -> Column:
+    return F.col("amount")
 
 
 def is_expense(sign: int = -1) -> Column:
-    return AMT < 0 if sign < 0 else AMT > 0
+    return _amt() < 0 if sign < 0 else _amt() > 0
 
 
 def is_income(sign: int = -1) -> Column:
-    return AMT > 0 if sign < 0 else AMT < 0
+    return _amt() > 0 if sign < 0 else _amt() < 0
 
 
 def expense_value(sign: int = -1) -> Column:
     """Expense magnitude, 0 for other rows (``CASE WHEN expense THEN ABS(amount) ELSE 0``)."""
-    return F.when(is_expense(sign), F.abs(AMT)).otherwise(F.lit(0))
+    return F.when(is_expense(sign), F.abs(_amt())).otherwise(F.lit(0))
 
 
 def income_value(sign: int = -1) -> Column:
-    return F.when(is_income(sign), F.abs(AMT)).otherwise(F.lit(0))
+    return F.when(is_income(sign), F.abs(_amt())).otherwise(F.lit(0))
 
 
 def _r2(c: Column) -> Column:
@@ -56,34 +57,34 @@ def tx_monthly_summary(tx: DataFrame, sign: int = -1) -> DataFrame:
     return tx.groupBy(month_key("date").alias("month"), "account_type").agg(
         F.count(F.lit(1)).alias("transactions"),
         _r2(F.sum(expense_value(sign))).alias("expense"), _r2(F.sum(income_value(sign))).alias("income"),
-        _r2(F.sum(AMT)).alias("balance"),
+        _r2(F.sum(_amt())).alias("balance"),
     )
 
 
 def tx_top_categories(tx: DataFrame, as_of, days: int = 30, n: int = 10, sign: int = -1) -> DataFrame:
     """Expense per category over the last ``days``, top ``n``."""
     g = _window(tx, as_of, days).filter(is_expense(sign)).groupBy("category").agg(
-        F.count(F.lit(1)).alias("transactions"), _r2(F.sum(F.abs(AMT))).alias("total"),
-        round_half_away(avg_exact(F.abs(AMT)), 2).alias("avg_ticket"))
+        F.count(F.lit(1)).alias("transactions"), _r2(F.sum(F.abs(_amt()))).alias("total"),
+        round_half_away(avg_exact(F.abs(_amt())), 2).alias("avg_ticket"))
     return top_n_per(g, [], [F.col("total").desc(), F.col("category").asc_nulls_last()], n)
 
 
 def tx_top_expenses(tx: DataFrame, as_of, days: int = 30, n: int = 20, sign: int = -1) -> DataFrame:
     """The ``n`` largest expenses of the last ``days`` (TakeOrderedAndProject)."""
-    return _window(tx, as_of, days).filter(is_expense(sign)).orderBy(F.abs(AMT).desc(), F.col("id")).limit(n).select(
-        "id", "date", "merchant", "category", _r2(F.abs(AMT)).alias("amount"), "account_type")
+    return _window(tx, as_of, days).filter(is_expense(sign)).orderBy(F.abs(_amt()).desc(), F.col("id")).limit(n).select(
+        "id", "date", "merchant", "category", _r2(F.abs(_amt())).alias("amount"), "account_type")
 
 
 def top_expenses(tx: DataFrame, rng: DateRange, n: int = 5, sign: int = 1, desc_len: int = 40) -> DataFrame:
     """The ``n`` largest expenses of a period (report/dashboard form)."""
-    return tx.filter(is_expense(sign) & rng.on_date("date", "timestamp")).orderBy(F.abs(AMT).desc(), F.col("id")).limit(n).select(
-        "id", F.substring("description", 1, desc_len).alias("description"), _r2(F.abs(AMT)).alias("amount"), "category", "date")
+    return tx.filter(is_expense(sign) & rng.on_date("date", "timestamp")).orderBy(F.abs(_amt()).desc(), F.col("id")).limit(n).select(
+        "id", F.substring("description", 1, desc_len).alias("description"), _r2(F.abs(_amt())).alias("amount"), "category", "date")
 
 
 def tx_category_trend(tx: DataFrame, as_of, days: int = 180, sign: int = -1) -> DataFrame:
     """Expense per month and category over the last ``days``."""
     return _window(tx, as_of, days).filter(is_expense(sign)).groupBy(month_key("date").alias("month"), "category").agg(
-        _r2(F.sum(F.abs(AMT))).alias("total"))
+        _r2(F.sum(F.abs(_amt()))).alias("total"))
 
 
 def tx_daily(tx: DataFrame, as_of, days: int = 30, sign: int = -1) -> DataFrame:
@@ -113,8 +114,8 @@ def tx_month_comparison(tx: DataFrame, sign: int = -1) -> DataFrame:
 def tx_top_merchants(tx: DataFrame, n: int = 30, sign: int = -1) -> DataFrame:
     """Per merchant and category with >= 2 purchases: totals, first/last; top ``n``."""
     g = tx.filter(is_expense(sign) & F.col("merchant").isNotNull() & (F.col("merchant") != "")).groupBy("merchant", "category").agg(
-        F.count(F.lit(1)).alias("purchases"), _r2(F.sum(F.abs(AMT))).alias("total"),
-        round_half_away(avg_exact(F.abs(AMT)), 2).alias("avg_ticket"),
+        F.count(F.lit(1)).alias("purchases"), _r2(F.sum(F.abs(_amt()))).alias("total"),
+        round_half_away(avg_exact(F.abs(_amt())), 2).alias("avg_ticket"),
         F.min("date").alias("first"), F.max("date").alias("last")).filter(F.col("purchases") >= 2)
     return top_n_per(g, [], [F.col("total").desc(), F.col("merchant"), F.col("category").asc_nulls_last()], n)
 
@@ -157,15 +158,15 @@ def tx_overview(tx: DataFrame, sign: int = -1) -> DataFrame:
 def tx_by_weekday(tx: DataFrame, sign: int = -1) -> DataFrame:
     """Expense count and sum per weekday name (sorted Monday first by the consumer)."""
     return tx.filter(is_expense(sign)).groupBy(F.date_format("date", "EEEE").alias("weekday")).agg(
-        F.count(F.lit(1)).alias("transactions"), _r2(F.sum(F.abs(AMT))).alias("total"))
+        F.count(F.lit(1)).alias("transactions"), _r2(F.sum(F.abs(_amt()))).alias("total"))
 
 
 def tx_account_stats(tx: DataFrame) -> DataFrame:
     """Per account: count, first/last date, signed expense and income sums."""
     return tx.groupBy("account_type").agg(
         F.count(F.lit(1)).alias("transactions"), F.min("date").alias("first"), F.max("date").alias("last"),
-        _r2(F.sum(F.when(AMT < 0, AMT).otherwise(F.lit(0)))).alias("expense"),
-        _r2(F.sum(F.when(AMT > 0, AMT).otherwise(F.lit(0)))).alias("income"))
+        _r2(F.sum(F.when(_amt() < 0, _amt()).otherwise(F.lit(0)))).alias("expense"),
+        _r2(F.sum(F.when(_amt() > 0, _amt()).otherwise(F.lit(0)))).alias("income"))
 
 
 # ---------------------------------------------------------------- report family (sign = +1)
@@ -183,7 +184,7 @@ def spend_by_category(tx: DataFrame, rng: DateRange, n: int = 8, sign: int = 1)
     """Top ``n`` categories and each one's share of the largest, in %.
     The ``max() over ()`` runs on at most ``n`` rows."""
     g = _period(tx, rng).filter(is_expense(sign)).groupBy(F.col("category").alias("name")).agg(
-        _r2(F.sum(F.abs(AMT))).alias("amount"))
+        _r2(F.sum(F.abs(_amt()))).alias("amount"))
     top = top_n_per(g, [], [F.col("amount").desc(), F.col("name").asc_nulls_last()], n)
     mx = F.max("amount").over(Window.partitionBy())
     pct = py_round0(F.col("amount") / F.coalesce(F.nullif(mx, F.lit(0.0)), F.lit(1.0)) * F.lit(100.0))

@@ -1 +1,62 @@
-"""placeholder"""
+"""Registered cross-source queries and their oracle SQL."""
+
+from __future__ import annotations
+
+from almanac.operators import crosssource as C
+from almanac.plans.registry import register, with_views
+from almanac.sources import fixtures as FX
+
+W = with_views("telemetry_long", "transactions", "media_activity_long")
+GRID = "cast(round(latitude, 3) as varchar) || ',' || cast(round(longitude, 3) as varchar)"
+
+MONTHLY = f"""
+select months.month, km.km, loc.places, fin.spend, media.titles
+from (select distinct strftime(date, '%Y-%m') as month from telemetry_long) months
+left join (select m, cast(sum(k) as double) as km from (
+    select entity_id, strftime(date, '%Y-%m') as m, max(odometer_km) - min(odometer_km) as k
+    from telemetry_long where odometer_km > 0 group by 1, 2) group by m) km on km.m = months.month
+left join (select strftime(date, '%Y-%m') as m, count(distinct {GRID}) as places
+    from telemetry_long where latitude is not null group by 1) loc on loc.m = months.month
+left join (select strftime(date, '%Y-%m') as m, cast(coalesce(sum(case when amount > 0 then amount else 0 end), 0) as double) as spend
+    from transactions group by 1) fin on fin.m = months.month
+left join (select strftime(timestamp, '%Y-%m') as m, count(distinct item_name) as titles
+    from media_activity_long where event_type = 'VideoPlaybackStopped' group by 1) media on media.m = months.month"""
+
+
+def _inputs(spark, sf):
+    return (FX.load(spark, sf, "telemetry_long"), FX.load(spark, sf, "transactions"), FX.load(spark, sf, "media_activity_long"))
+
+
+@register("monthly_summary", W + MONTHLY, "cross")
+def q_monthly_summary(spark, sf):
+    return C.monthly_summary(*_inputs(spark, sf))
+
+
+@register("monthly_summary_zero", W + f"""
+select month, km, coalesce(places, 0) as places, coalesce(spend, 0) as spend, coalesce(titles, 0) as titles
+from ({MONTHLY})""", "cross")
+def q_monthly_summary_zero(spark, sf):
+    return C.monthly_summary(*_inputs(spark, sf), fill_zero=True)
+
+
+@register("spend_vs_usage", with_views("telemetry_long", "transactions") + """
+select o.entity_id, o.date, o.km, cast(coalesce(n.spend, 0) as double) as spend,
+  round(cast(coalesce(n.spend, 0) as double) / nullif(o.km, 0), 2) as cost_per_km
+from (select entity_id, date, cast(max(odometer_km) - min(odometer_km) as double) as km from telemetry_long group by 1, 2) o
+left join (select date, sum(amount) as spend from transactions group by date) n on o.date = n.date
+where o.km > 0""", "cross")
+def q_spend_vs_usage(spark, sf):
+    return C.spend_vs_usage(FX.load(spark, sf, "telemetry_long"), FX.load(spark, sf, "transactions"))
+
+
+@register("source_summary", with_views("telemetry", "transactions", "media_activity") + f"""
+select '{C.SOURCE_LABELS[0]}' as source, count(*) as records, min(date) as first_record, max(date) as last_record from telemetry
+union all select '{C.SOURCE_LABELS[1]}', count(*), min(date), max(date) from transactions
+union all select '{C.SOURCE_LABELS[2]}', count(*), cast(min(timestamp) as date), cast(max(timestamp) as date) from media_activity""", "cross")
+def q_source_summary(spark, sf):
+    return C.source_summary(FX.load(spark, sf, "telemetry"), FX.load(spark, sf, "transactions"), FX.load(spark, sf, "media_activity"))
+
+
+@register("wrapped_report", None, "cross")
+def q_wrapped_report(spark, sf):
+    return C.wrapped_report(*_inputs(spark, sf))
