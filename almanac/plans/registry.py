@@ -42,5 +42,5 @@ def with_views(*names: str) -> str:
 
 def all_queries() -> dict[str, Query]:
     # Import the query modules for their registration side effect.
-    from almanac.plans import q_telemetry, q_transactions, q_media, q_cross, q_misc  # noqa: F401
+    from almanac.plans import q_telemetry, q_transactions, q_media, q_cross, q_ingest, q_misc  # noqa: F401
     return REGISTRY
