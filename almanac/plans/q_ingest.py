@@ -82,3 +82,67 @@ select cast(p_partkey as varchar) as id, 'title' || cast(p_partkey as varchar) a
 from part""", "ingest")
 def q_ingest_media_library(spark, sf):
     return I.ingest_media_library(L.library_pages(spark, sf), "Movie")
+
+
+# ---------------------------------------------------------------- merges
+from almanac.operators import merge as MG  # noqa: E402
+
+TX_COLS = "id, date, timestamp, amount, category, merchant, description, account_type"
+
+
+def _tx_pulls(spark, sf):
+    """Two overlapping look-back pulls of the ledger (arrival order 1, 2), each with
+    amounts that differ from the stored ones, so the merge rule is observable."""
+    tx = FX.load(spark, sf, "transactions")
+    p1 = tx.filter(F.col("date") >= F.lit("2000-10-03").cast("date")).withColumn(
+        "amount", (F.col("amount") + 1).cast("decimal(12,2)")).withColumn("seq", F.lit(1))
+    p2 = tx.filter(F.col("date") >= F.lit("2000-12-01").cast("date")).withColumn(
+        "amount", (F.col("amount") + 2).cast("decimal(12,2)")).withColumn("seq", F.lit(2))
+    return tx, p1.unionByName(p2)
+
+
+@register("insert_or_ignore", with_views("transactions") + f"""
+select {TX_COLS} from transactions where date < date '2001-01-01'
+union all
+select id, date, timestamp, cast(amount + 1 as decimal(12,2)) as amount, category, merchant, description, account_type
+from transactions where date >= date '2001-01-01'""", "merge")
+def q_insert_or_ignore(spark, sf):
+    tx, batch = _tx_pulls(spark, sf)
+    target = tx.filter(F.col("date") < F.lit("2001-01-01").cast("date"))
+    return MG.insert_or_ignore(target, batch, ["id"], "seq")
+
+
+@register("batch_constraints", with_views("transactions") + """
+select 'transactions' as "table", 'primary_key' as "constraint", '{"id":"' || id || '"}' as detail, count(*) as rows
+from (select id from transactions where date >= date '2000-10-03' union all select id from transactions where date >= date '2000-12-01')
+group by id having count(*) > 1""", "merge")
+def q_batch_constraints(spark, sf):
+    _, batch = _tx_pulls(spark, sf)
+    return MG.constraint_violations(batch, ["id"], ["id", "date"], "transactions")
+
+
+@register("insert_or_replace", with_views("media_activity") + """
+select id, event_type, user_name, item_name,
+  case when timestamp >= timestamp '2024-01-25 00:00:00' then device || '-v3'
+       when timestamp >= timestamp '2024-01-15 00:00:00' then device || '-v2' else device end as device, timestamp
+from media_activity""", "merge")
+def q_insert_or_replace(spark, sf):
+    a = FX.load(spark, sf, "media_activity")
+    ts = F.col("timestamp")
+    target = a.filter(ts < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    b1 = a.filter(ts >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).withColumn(
+        "device", F.concat("device", F.lit("-v2"))).withColumn("seq", F.lit(1))
+    b2 = a.filter(ts >= F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")).withColumn(
+        "device", F.concat("device", F.lit("-v3"))).withColumn("seq", F.lit(2))
+    return MG.insert_or_replace(target, b1.unionByName(b2), ["id"], "seq", refresh_col=None)
+
+
+@register("upsert", with_views("media_playback") + """
+select user_name, date, case when date >= date '2024-01-15' then minutes_watched * 2 else minutes_watched end as minutes_watched
+from media_playback""", "merge")
+def q_upsert(spark, sf):
+    p = FX.load(spark, sf, "media_playback")
+    target = p.filter(F.col("date") < F.lit("2024-01-20").cast("date"))
+    batch = p.filter(F.col("date") >= F.lit("2024-01-15").cast("date")).withColumn(
+        "minutes_watched", (F.col("minutes_watched") * 2).cast("int"))
+    return MG.upsert(target, batch, ["user_name", "date"], ["minutes_watched"])
