@@ -1 +1,211 @@
-"""placeholder"""
+"""Registered queries for job logs, file selection, routing, intents and subtitles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from almanac.operators import jobs as JB
+from almanac.operators import routing as RT
+from almanac.operators import subtitles as SB
+from almanac.plans.registry import register, with_views
+from almanac.sources import fixtures as FX
+from almanac.sources import landing as L
+from almanac.sources.tables import table
+
+ERR = "regexp_matches(line, '(?i)error|falha|exception|errno')"
+
+
+@register("run_report", with_views("job_log") + f"""
+select job, run_id, count(*) as lines, count(*) filter (where {ERR}) as error_lines,
+  case when count(*) filter (where {ERR}) > 0 then 'failure' else 'success' end as status,
+  left(coalesce(arg_max(line, line_no) filter (where {ERR}), arg_max(line, line_no)), 200) as message
+from job_log group by job, run_id""", "jobs")
+def q_run_report(spark, sf):
+    return JB.run_report(FX.load(spark, sf, "job_log"))
+
+
+MIN_BYTES, MIN_AGE_H = 1500 * 1024 * 1024, 10
+CAND_SQL = f"""select * from file_inventory
+where lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) in ('.mkv','.mp4','.m4v','.avi','.mov','.ts','.wmv')
+  and not starts_with(regexp_extract(path, '([^/]*)$', 1), '.') and not contains(path, '.oc-tmp') and not contains(path, '.oc-bak')
+  and not ends_with(path, '.part') and size >= {MIN_BYTES} and age_hours >= {MIN_AGE_H}"""
+
+
+def _candidates(spark, sf):
+    c = JB.file_candidates(FX.load(spark, sf, "file_inventory"), MIN_BYTES, MIN_AGE_H)
+    return c.withColumn("sig", JB.signature(F.col("age_hours"), F.col("size")))
+
+
+def _state(spark, sf):
+    """File state derived from the inventory: done / error / done-with-an-old-signature / none."""
+    inv = FX.load(spark, sf, "file_inventory").withColumn("k", F.regexp_extract("path", r"([0-9]+)", 1).cast("bigint"))
+    st = inv.filter(F.col("k") % 4 != 3).select(
+        "path",
+        F.when(F.col("k") % 4 == 2, JB.signature(F.col("age_hours"), F.col("size") + 1)).otherwise(
+            JB.signature(F.col("age_hours"), F.col("size"))).alias("sig"),
+        F.when(F.col("k") % 4 == 1, F.lit("error")).otherwise(F.lit("done")).alias("status"))
+    return st
+
+
+@register("file_candidates", with_views("file_inventory") + CAND_SQL, "jobs")
+def q_file_candidates(spark, sf):
+    return JB.file_candidates(FX.load(spark, sf, "file_inventory"), MIN_BYTES, MIN_AGE_H)
+
+
+PENDING_SQL = f"""select c.*, cast(c.age_hours as varchar) || ':' || cast(c.size as varchar) as sig from ({CAND_SQL}) c
+where cast(regexp_extract(c.path, '([0-9]+)', 1) as bigint) % 4 <> 0"""
+
+
+@register("pending_files", with_views("file_inventory") + PENDING_SQL, "jobs")
+def q_pending_files(spark, sf):
+    return JB.pending_files(_candidates(spark, sf), _state(spark, sf))
+
+
+def _outcomes(spark, sf):
+    p = JB.pending_files(_candidates(spark, sf), _state(spark, sf))
+    k = F.regexp_extract("path", r"([0-9]+)", 1).cast("bigint")
+    p = p.withColumn("new_bytes", F.floor(F.col("size") * (F.lit(5) + k % 7) / 10).cast("bigint")).withColumn(
+        "error", F.when(k % 11 == 0, F.lit("transcode_failed")))
+    o = JB.transcode_outcome(F.col("size"), F.col("new_bytes"), F.col("codec"), F.col("error"))
+    return p.select("path", "sig", "codec", F.col("size").alias("old_bytes"), "new_bytes", o["status"].alias("status"),
+                    o["saved_pct"].alias("saved_pct"))
+
+
+OUTCOME_SQL = f"""select path, sig, codec, size as old_bytes, new_bytes,
+  case when k % 11 = 0 then 'error' when lower(codec) in ('hevc', 'av1') then 'skip_codec'
+       when new_bytes >= floor(size * 0.97) then 'skip_not_smaller' else 'done' end as status,
+  case when k % 11 = 0 or lower(codec) in ('hevc', 'av1') or new_bytes >= floor(size * 0.97) then null
+       else round((1.0 - new_bytes / size) * 100, 2) end as saved_pct
+from (select *, cast(floor(size * (5 + k % 7) / 10) as bigint) as new_bytes
+      from (select *, cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as k from ({PENDING_SQL})))"""
+
+
+@register("transcode_outcomes", with_views("file_inventory") + OUTCOME_SQL, "jobs")
+def q_transcode_outcomes(spark, sf):
+    return _outcomes(spark, sf)
+
+
+@register("batch_summary", with_views("file_inventory") + f"""
+select count(*) as processed, count(*) filter (where status = 'done') as transcoded,
+  count(*) filter (where starts_with(status, 'skip')) as skipped, count(*) filter (where status = 'error') as errors
+from ({OUTCOME_SQL})""", "jobs")
+def q_batch_summary(spark, sf):
+    return JB.batch_summary(_outcomes(spark, sf))
+
+
+# ---------------------------------------------------------------- routing (J6, P24, ST3 batch twin)
+DEFAULT_URLS = ["json://fallback.example/notify"]
+
+
+def _routes(spark, sf):
+    e = table(spark, sf, "events").filter(F.col("user_id") % 3 == 0).select("user_id").distinct()
+    return e.select(F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("user"),
+                    F.array(F.concat(F.lit("mailto://user"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("urls"))
+
+
+@register("route_notifications", with_views("notification_raw") + f"""
+, e as (select event_id, timestamp, e2.user_id, e2.event_type, event_id % 6 as c from notification_raw n join events e2 using (event_id)),
+r as (select *, case c when 0 then '@User' || user_id when 1 then 'user' || user_id when 2 then 'user' || user_id
+                       when 3 then 'user' || user_id else null end as requester from e)
+select event_id, timestamp, requester,
+  case when requester is not null and user_id % 3 = 0 then ['mailto://user' || user_id || '@example.org'] else ['{DEFAULT_URLS[0]}'] end as urls,
+  requester is not null and user_id % 3 = 0 as direct, not (requester is not null and user_id % 3 = 0) as fallback,
+  case c when 0 then 't' when 2 then '{RT.APP_NAME} | ' || event_type else '{RT.APP_NAME}' end as title,
+  case c when 2 then 'message: Requested by @user' || user_id || ' today | event: ' || event_type
+         when 4 then 'subject: no requester | media_type: movie' else '{RT.DEFAULT_BODY}' end as body,
+  'info' as type, 'text' as format,
+  case when requester is null then 'media' else 'media,requester-user' || user_id end as tag
+from r""".replace("\n, e as", ", e as", 1), "routing")
+def q_route_notifications(spark, sf):
+    return RT.outgoing_messages(FX.load(spark, sf, "notification_raw"), _routes(spark, sf), DEFAULT_URLS)
+
+
+@register("extract_intent", """
+with x as (select conv_id, turn, regexp_extract(text, '\\{[\\s\\S]*\\}', 0) as obj from conversations),
+y as (select conv_id, turn, case when obj <> '' and json_valid(obj) and json_type(obj) = 'OBJECT' then obj end as j from x)
+select conv_id, turn,
+  case when j is not null and coalesce(nullif(j->>'action', ''), 'none') in ('""" + "','".join(RT.ACTIONS) + """')
+       then coalesce(nullif(j->>'action', ''), 'none') else 'none' end as action,
+  case when j is not null then coalesce(j->>'query', '') else '' end as query,
+  case when j is not null then coalesce(j->>'id', '') else '' end as id
+from y""", "routing")
+def q_extract_intent(spark, sf):
+    c = table(spark, sf, "conversations")
+    i = RT.extract_intent(F.col("text"))
+    return c.select("conv_id", "turn", *[v.alias(k) for k, v in i.items()])
+
+
+# ---------------------------------------------------------------- subtitles
+SRT_BLOCKS = """select 'conv' || conv_id || '.en.srt' as file, conv_id,
+  cast(row_number() over (partition by conv_id order by turn) - 1 as bigint) as pos, cast(turn + 1 as int) as idx,
+  '00:00:' || turn || ',000 --> 00:00:' || turn || ',900' as ts, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text
+from conversations"""
+
+
+def _blocks(spark, sf):
+    return SB.read_srt(L.srt_files(spark, sf))
+
+
+@register("read_srt", f"select file, pos, idx, ts, text from ({SRT_BLOCKS})", "subtitles")
+def q_read_srt(spark, sf):
+    return _blocks(spark, sf)
+
+
+def _bad(src, tr):
+    s = f"regexp_replace(coalesce({src}, ''), '^\\s+|\\s+$', '', 'g')"
+    t = f"regexp_replace(coalesce({tr}, ''), '^\\s+|\\s+$', '', 'g')"
+    return (f"(length({t}) = 0 or contains({s}, '{SB.CREDIT_LINE}') or (length({s}) < 45 and length({t}) > 180)"
+            f" or length({t}) > greatest(320, 5 * greatest(1, length({s})))"
+            f" or (length({t}) - length(replace({t}, '\"', '')) >= 6 and length({t}) > 140))")
+
+
+RESOLVED = f"""with b as ({SRT_BLOCKS}),
+t as (select *, case when conv_id % 5 = 0 then null when pos % 4 = 0 then 'PT: ' || text when pos % 4 = 1 then ''
+                     when pos % 4 = 2 then repeat('"x" ', 40) else 'BR: ' || text end as batch_text,
+                case when pos % 3 = 0 then '[' || text || ']' else '' end as retry_text from b),
+r as (select *, not {_bad('text', 'batch_text')} as b_ok, not {_bad('text', 'retry_text')} as r_ok from t),
+f as (select *, case when b_ok then regexp_replace(batch_text, '^\\s+|\\s+$', '', 'g') when r_ok then retry_text else text end as final_text,
+             (not b_ok) and r_ok as used_retry, (not b_ok) and (not r_ok) as used_fallback, cast(floor(pos / 20) as int) as batch from r)
+"""
+
+
+def _resolved(spark, sf):
+    return SB.translation_resolve(SB.chunk(L.srt_translations(_blocks(spark, sf))))
+
+
+@register("translation_resolve", RESOLVED + """
+select file, pos, idx, ts, text, batch_text, retry_text, batch, final_text, used_retry, used_fallback from f""", "subtitles")
+def q_translation_resolve(spark, sf):
+    return _resolved(spark, sf).select("file", "pos", "idx", "ts", "text", "batch_text", "retry_text", "batch",
+                                       "final_text", "used_retry", "used_fallback")
+
+
+@register("translation_progress", RESOLVED + """
+, pb as (select file, batch, count(*) as n, count(*) filter (where used_retry) as r, count(*) filter (where used_fallback) as fb,
+   count(*) filter (where batch_text is not null) as got from f group by file, batch)
+select file, sum(n) as done, sum(n) as total, sum(r) as retry, sum(fb) as fallback, count(*) filter (where got = 0) as errors
+from pb group by file""".replace("\n, pb as", ", pb as", 1), "subtitles")
+def q_translation_progress(spark, sf):
+    return SB.translation_progress(_resolved(spark, sf))
+
+
+@register("write_srt", RESOLVED + """
+select file, string_agg(cast(idx as varchar) || chr(10) || ts || chr(10) || final_text || chr(10), chr(10) order by pos) as content
+from f group by file""", "subtitles")
+def q_write_srt(spark, sf):
+    return SB.write_srt(_resolved(spark, sf))
+
+
+@register("resume_point", f"""
+with b as ({SRT_BLOCKS}),
+p as (select file, idx from b where pos < conv_id % 5 + 1 and not (conv_id % 6 = 0 and pos = 1)),
+j as (select b.*, p.idx is not null as have from b left join p using (file, idx)),
+g as (select file, any_value(conv_id) as conv_id, count(*) as total, coalesce(min(case when not have then pos end), count(*)) as prefix
+      from j group by file)
+select file, total, prefix, greatest(prefix, conv_id % 3) as resume_from from g""", "subtitles")
+def q_resume_point(spark, sf):
+    b = _blocks(spark, sf)
+    conv = F.regexp_extract(F.col("file"), r"conv([0-9]+)", 1).cast("bigint")
+    partial = b.filter((F.col("pos") < conv % 5 + 1) & ~((conv % 6 == 0) & (F.col("pos") == 1)))
+    ckpt = b.select("file", (conv % 3).alias("done")).distinct()
+    return SB.resume_point(b, partial, ckpt)

@@ -90,3 +90,27 @@ def library_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = p.select(F.floor(F.col("p_partkey") / PAGE).alias("page_no"), rec.alias("r")).groupBy("page_no").agg(
         F.collect_list("r").alias("Items"))
     return g.select("page_no", F.to_json(F.struct("Items")).alias("page_json"))
+
+
+def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitle files built from conversations: one file per conversation, one block
+    per turn (index turn+1, a time line, the turn text); even conversations use CRLF."""
+    c = table(spark, sf_dir, "conversations")
+    ts = F.concat(F.lit("00:00:"), F.col("turn").cast("string"), F.lit(",000 --> 00:00:"), F.col("turn").cast("string"), F.lit(",900"))
+    blk = F.struct(F.col("turn"), F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), ts, F.lit("\n"), F.col("text"), F.lit("\n")).alias("b"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(blk)).alias("_b"))
+    body = F.array_join(F.transform("_b", lambda e: e["b"]), "\n")
+    body = F.when(F.col("conv_id") % 2 == 0, F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body)
+    return g.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".en.srt")).alias("file"), body.alias("content"))
+
+
+def srt_translations(blocks: DataFrame) -> DataFrame:
+    """Translation results for parsed blocks: a batch answer (missing for whole files
+    whose batch call failed, blank or quote-flooded for some lines) and a single-line
+    retry answer."""
+    conv = F.regexp_extract(F.col("file"), r"conv([0-9]+)", 1).cast("bigint")
+    pos = F.col("pos")
+    batch = (F.when(conv % 5 == 0, F.lit(None).cast("string")).when(pos % 4 == 0, F.concat(F.lit("PT: "), F.col("text")))
+             .when(pos % 4 == 1, F.lit("")).when(pos % 4 == 2, F.repeat(F.lit('"x" '), 40)).otherwise(F.concat(F.lit("BR: "), F.col("text"))))
+    retry = F.when(pos % 3 == 0, F.concat(F.lit("["), F.col("text"), F.lit("]"))).otherwise(F.lit(""))
+    return blocks.withColumn("batch_text", batch).withColumn("retry_text", retry)
