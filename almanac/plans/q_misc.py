@@ -209,3 +209,24 @@ def q_resume_point(spark, sf):
     partial = b.filter((F.col("pos") < conv % 5 + 1) & ~((conv % 6 == 0) & (F.col("pos") == 1)))
     ckpt = b.select("file", (conv % 3).alias("done")).distinct()
     return SB.resume_point(b, partial, ckpt)
+
+
+# ---------------------------------------------------------------- alerts (ST4 batch twin)
+from almanac.operators import alerts as AL  # noqa: E402
+
+SERVICE_LOG = """select 'svc' || cast(user_id % 5 as varchar) as service, ts as timestamp,
+  case when value >= 45 then 'Gateway connect failed: ECONNREFUSED' when value >= 40 then 'tick timeout after 30s'
+       when event_type = 'error' then 'warn: retrying' else 'ok' end as line from events"""
+
+
+@register("alert_cooldown", f"""
+with recursive e as (select distinct service, timestamp as ts from ({SERVICE_LOG})
+                     where regexp_matches(line, '(?i)tick timeout|device nonce required|gateway connect failed')),
+a(service, ts) as (
+  select service, min(ts) from e group by service
+  union all
+  select a.service, (select min(e.ts) from e where e.service = a.service and e.ts >= a.ts + interval 180 second)
+  from a where a.ts is not null)
+select service, ts as alert_ts from a where ts is not null""", "alerts")
+def q_alert_cooldown(spark, sf):
+    return AL.alert_cooldown(L.service_log(spark, sf))

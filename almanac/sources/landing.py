@@ -114,3 +114,14 @@ def srt_translations(blocks: DataFrame) -> DataFrame:
              .when(pos % 4 == 1, F.lit("")).when(pos % 4 == 2, F.repeat(F.lit('"x" '), 40)).otherwise(F.concat(F.lit("BR: "), F.col("text"))))
     retry = F.when(pos % 3 == 0, F.concat(F.lit("["), F.col("text"), F.lit("]"))).otherwise(F.lit(""))
     return blocks.withColumn("batch_text", batch).withColumn("retry_text", retry)
+
+
+def service_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Service error log built from events: (service, timestamp, line)."""
+    e = table(spark, sf_dir, "events")
+    line = (F.when(F.col("value") >= 45, F.lit("Gateway connect failed: ECONNREFUSED"))
+            .when(F.col("value") >= 40, F.lit("tick timeout after 30s"))
+            .when(F.col("event_type") == "error", F.lit("warn: retrying"))
+            .otherwise(F.lit("ok")))
+    return e.select(F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("service"), F.col("ts").alias("timestamp"),
+                    line.alias("line"))
