@@ -230,3 +230,47 @@ a(service, ts) as (
 select service, ts as alert_ts from a where ts is not null""", "alerts")
 def q_alert_cooldown(spark, sf):
     return AL.alert_cooldown(L.service_log(spark, sf))
+
+
+# ---------------------------------------------------------------- briefing, weather, accounts, JSON rows
+from almanac.operators import briefing as BR  # noqa: E402
+from almanac.sources import ingest as ING  # noqa: E402
+from almanac.sources import sinks as SK  # noqa: E402
+
+
+@register("daily_briefing", None, "briefing")
+def q_daily_briefing(spark, sf):
+    w = ING.ingest_weather(L.forecast_docs(spark, sf))
+    return BR.daily_briefing(FX.load(spark, sf, "telemetry"), w, FX.AS_OF_EVENTS)
+
+
+@register("ingest_weather", """
+with h as (select cast(ts as date) as date, cast(floor(hour(ts) / 3) * 300 as int) as time,
+                  cast((count(*) * 7) % 100 as int) as chance from events group by 1, 2),
+d as (select cast(ts as date) as date, cast(round(avg(value), 0) as int) as t, cast(floor(max(value)) as int) as mx,
+             cast(floor(min(value)) as int) as mn, count(*) as n from events group by 1)
+select d.date, cast(t as varchar) as temp, cast(t - 2 as varchar) as feels_like, cast(n % 100 as varchar) as humidity,
+  case when n % 2 = 0 then 'Parcialmente nublado' else 'Chuva fraca' end as description,
+  cast(mx as varchar) as max, cast(mn as varchar) as min, cast(n % 11 as varchar) as uv,
+  (select count(*) from h where h.date = d.date and chance >= 40 and time // 100 between 6 and 22) as rain_slots,
+  (select min(time // 100) from h where h.date = d.date and chance >= 40 and time // 100 between 6 and 22) as first_rain_hour
+from d""", "briefing")
+def q_ingest_weather(spark, sf):
+    w = ING.ingest_weather(L.forecast_docs(spark, sf))
+    return w.select("date", "temp", "feels_like", "humidity", "description", "max", "min", "uv",
+                    F.size("rain_hours").cast("bigint").alias("rain_slots"), "first_rain_hour")
+
+
+@register("credit_utilisation", """
+select c_custkey as account_id, case when c_custkey % 10 = 0 then 0.0 else abs(c_acctbal) * 3 + 100 end as "limit",
+  abs(c_acctbal) as used,
+  case when c_custkey % 10 = 0 then 0.0 else abs(c_acctbal) / (abs(c_acctbal) * 3 + 100) * 100 end as utilisation_pct
+from customer""", "briefing")
+def q_credit_utilisation(spark, sf):
+    return ING.credit_utilisation(L.account_docs(spark, sf))
+
+
+@register("tx_monthly_json", None, "sinks")
+def q_tx_monthly_json(spark, sf):
+    from almanac.operators.transactions import tx_monthly_summary
+    return SK.to_json_rows(tx_monthly_summary(FX.load(spark, sf, "transactions")))

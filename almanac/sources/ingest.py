@@ -178,26 +178,27 @@ RAIN_HOURS = (6, 22)
 
 
 def ingest_weather(docs: DataFrame, json_col: str = "forecast_json") -> DataFrame:
-    """Forecast document -> current conditions, today's extremes and rain hours
-    (hour = time // 100 with chance >= 40 between 06 and 22), first rain hour."""
-    d = F.from_json(F.col(json_col), FORECAST_DOC)
-    x = docs.withColumn("_f", d)
+    """Forecast document -> current conditions (text, '?' when absent), today's
+    extremes and rain hours: (hour = time // 100, chance) with chance >= 40 and
+    6 <= hour <= 22, in forecast order."""
+    x = docs.withColumn("_f", F.from_json(F.col(json_col), FORECAST_DOC))
     cur = F.get(F.col("_f.current_condition"), 0)
     today = F.get(F.col("_f.weather"), 0)
     hourly = F.coalesce(today["hourly"], F.array())
-    hrs = F.transform(F.filter(hourly, lambda h: (F.coalesce(h["chanceofrain"].try_cast("int"), F.lit(0)) >= RAIN_CHANCE_MIN)
-                               & ((F.coalesce(h["time"].try_cast("int"), F.lit(0)) / 100).cast("int").between(*RAIN_HOURS))),
-                      lambda h: (F.coalesce(h["time"].try_cast("int"), F.lit(0)) / 100).cast("int"))
-    desc = F.coalesce(F.get(cur["lang_pt"], 0)["value"], F.get(cur["weatherDesc"], 0)["value"], F.lit(""))
+    pairs = F.transform(hourly, lambda h: F.struct(
+        F.floor(F.coalesce(h["time"], F.lit("0")).cast("int") / 100).cast("int").alias("hour"),
+        F.coalesce(h["chanceofrain"], F.lit("0")).cast("int").alias("chance")))
+    rain = F.filter(pairs, lambda p: (p["chance"] >= RAIN_CHANCE_MIN) & (p["hour"] >= RAIN_HOURS[0]) & (p["hour"] <= RAIN_HOURS[1]))
+    desc = F.coalesce(F.get(cur["lang_pt"], 0)["value"], F.get(cur["weatherDesc"], 0)["value"], F.lit("?"))
+
+    def txt(c):
+        return F.coalesce(c, F.lit("?"))
+
     keep = [c for c in docs.columns if c != json_col]
     return x.select(
-        *keep,
-        cur["temp_C"].try_cast("int").alias("temp_c"), cur["FeelsLikeC"].try_cast("int").alias("feels_like_c"),
-        cur["humidity"].try_cast("int").alias("humidity"), desc.alias("description"),
-        today["maxtempC"].try_cast("int").alias("max_c"), today["mintempC"].try_cast("int").alias("min_c"),
-        today["uvIndex"].try_cast("int").alias("uv_index"),
-        hrs.alias("rain_hours"), F.get(hrs, 0).alias("first_rain_hour"),
-    )
+        *keep, txt(cur["temp_C"]).alias("temp"), txt(cur["FeelsLikeC"]).alias("feels_like"), txt(cur["humidity"]).alias("humidity"),
+        desc.alias("description"), txt(today["maxtempC"]).alias("max"), txt(today["mintempC"]).alias("min"),
+        txt(today["uvIndex"]).alias("uv"), rain.alias("rain_hours"), F.get(rain, 0)["hour"].alias("first_rain_hour"))
 
 
 def credit_utilisation(accounts: DataFrame, json_col: str = "account_json") -> DataFrame:

@@ -125,3 +125,32 @@ def service_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit("ok")))
     return e.select(F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("service"), F.col("ts").alias("timestamp"),
                     line.alias("line"))
+
+
+def forecast_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forecast document per day, built from that day's events: current
+    conditions from the first hours, eight 3-hourly rain chances from event counts."""
+    e = table(spark, sf_dir, "events").withColumn("date", F.col("ts").cast("date"))
+    slot = (F.floor(F.hour("ts") / 3) * 300).cast("int")
+    hourly = e.groupBy("date", slot.alias("time")).agg(((F.count(F.lit(1)) * 7) % 100).cast("int").alias("chance"))
+    h = hourly.groupBy("date").agg(F.array_sort(F.collect_list(F.struct(F.col("time"), F.col("chance")))).alias("_h"))
+    day = e.groupBy("date").agg(F.round(F.avg("value"), 0).cast("int").alias("t"), F.floor(F.max("value")).cast("int").alias("mx"),
+                                 F.floor(F.min("value")).cast("int").alias("mn"), F.count(F.lit(1)).alias("n"))
+    j = day.join(h, "date")
+    doc = F.struct(
+        F.array(F.struct(F.col("t").cast("string").alias("temp_C"), (F.col("t") - 2).cast("string").alias("FeelsLikeC"),
+                         (F.col("n") % 100).cast("string").alias("humidity"),
+                         F.array(F.struct(F.when(F.col("n") % 2 == 0, F.lit("Parcialmente nublado")).otherwise(F.lit("Chuva fraca")).alias("value"))).alias("lang_pt"),
+                         F.array(F.struct(F.lit("Partly cloudy").alias("value"))).alias("weatherDesc"))).alias("current_condition"),
+        F.array(F.struct(F.col("mx").cast("string").alias("maxtempC"), F.col("mn").cast("string").alias("mintempC"),
+                         (F.col("n") % 11).cast("string").alias("uvIndex"),
+                         F.transform("_h", lambda x: F.struct(x["time"].cast("string").alias("time"), x["chance"].cast("string").alias("chanceofrain"))).alias("hourly"))).alias("weather"))
+    return j.select("date", F.to_json(doc).alias("forecast_json"))
+
+
+def account_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account documents (balance, credit limit) built from customers."""
+    c = table(spark, sf_dir, "customer")
+    lim = F.when(F.col("c_custkey") % 10 == 0, F.lit(0.0)).otherwise(F.abs(F.col("c_acctbal")) * 3 + 100)
+    doc = F.to_json(F.struct(F.col("c_acctbal").alias("balance"), F.struct(lim.alias("limit")).alias("creditData")))
+    return c.select(F.col("c_custkey").alias("account_id"), doc.alias("account_json"))
