@@ -44,9 +44,9 @@ def next_at_or_after(errors: DataFrame, offset_sec: int, bucket: str = "hour") -
     pb = u.groupBy("service", "bkt").agg(F.min(err_t).alias("b_first"))
     later = Window.partitionBy("service").orderBy(F.col("bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = pb.select("service", "bkt", F.min("b_first").over(later).alias("c_first"))
-    # Within a bucket, reverse order; probes sort before errors at the same time so an
-    # error exactly at ts + offset counts.
-    rev = Window.partitionBy("service", "bkt").orderBy(F.col("t").desc(), is_err.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    # Within a bucket, reverse time order; at equal times the error comes first, so it
+    # is in the frame of the probe (an error exactly at ts + offset counts).
+    rev = Window.partitionBy("service", "bkt").orderBy(F.col("t").desc(), is_err.desc()).rowsBetween(Window.unboundedPreceding, -1)
     near = u.select("service", "bkt", "src", F.last(err_t, ignorenulls=True).over(rev).alias("n_first")).filter(~is_err)
     j = near.join(carry, ["service", "bkt"], "left")
     return j.select("service", F.col("src").alias("ts"), F.coalesce("n_first", "c_first").alias("nxt"))

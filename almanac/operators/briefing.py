@@ -52,7 +52,7 @@ def daily_briefing(telemetry: DataFrame, weather: DataFrame | None, as_of, vehic
         rain = F.coalesce(F.col("rain_hours"), F.array())
     else:
         has_w = F.lit(False)
-        rain = F.array()
+        rain = F.array().cast("array<struct<hour: int, chance: int>>")
     has_rain = has_w & (F.size(rain) > 0)
     bat = F.col("battery_soc").cast("double")
     locked = F.coalesce(F.col("is_locked"), F.lit(False))
