@@ -40,16 +40,19 @@ def fill(template: str, *cols: Column) -> Column:
 def daily_briefing(telemetry: DataFrame, weather: DataFrame | None, as_of, vehicle_label: str = VEHICLE_LABEL) -> DataFrame:
     """One briefing per entity: latest snapshot (P1) LEFT JOIN the forecast of ``as_of``.
 
-    ``weather`` is the output of ``ingest_weather`` with a ``date`` column; it holds one
-    row per forecast day, so the side joined here is a single row (broadcast)."""
+    ``weather`` is the output of ``ingest_weather`` with a ``date`` column (one row per
+    forecast day); the row of ``as_of`` is read once as a scalar subquery."""
     cur = telemetry_current(telemetry.select("entity_id", "timestamp", "battery_soc", "battery_range_km", "is_charging", "is_locked"))
     day = F.lit(as_of).cast("date")
     cur = cur.withColumn("briefing_date", day)
     if weather is not None:
-        w = weather.filter(F.col("date") == day).withColumnRenamed("date", "briefing_date").dropDuplicates(["briefing_date"])
-        cur = cur.join(F.broadcast(w), "briefing_date", "left")
+        # The day's forecast is one row: an uncorrelated scalar subquery (max of a
+        # struct keeps it a single deterministic row), evaluated once per query.
+        fields = ["description", "temp", "feels_like", "min", "max", "humidity", "uv", "rain_hours"]
+        fc = weather.filter(F.col("date") == day).agg(F.max(F.struct(*[F.col(c) for c in fields])).alias("w"))
+        cur = cur.withColumn("_w", fc.scalar()).select("*", *[F.col("_w")[c].alias(c) for c in fields]).drop("_w")
         has_w = F.col("description").isNotNull()
-        rain = F.coalesce(F.col("rain_hours"), F.array())
+        rain = F.coalesce(F.col("rain_hours"), F.array().cast("array<struct<hour: int, chance: int>>"))
     else:
         has_w = F.lit(False)
         rain = F.array().cast("array<struct<hour: int, chance: int>>")
