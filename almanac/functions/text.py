@@ -32,10 +32,8 @@ def shorten_address(addr) -> Column:
 
 def slug(x) -> Column:
     """lower, strip, drop leading '@', non-alphanumerics -> '-', trim '-'; blank -> 'unknown'."""
-    s = F.lower(F.trim(_c(x)))
-    s = F.regexp_replace(s, r"^@+", "")
-    s = F.regexp_replace(s, r"[^a-z0-9]+", "-")
-    s = F.regexp_replace(s, r"^-+|-+$", "")
+    s = F.ltrim(F.lower(F.trim(_c(x), F.lit(" \t\n\r\x0b\x0c"))), F.lit("@"))
+    s = F.trim(F.regexp_replace(s, r"[^a-z0-9]+", "-"), F.lit("-"))
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(UNKNOWN_SLUG))
 
 

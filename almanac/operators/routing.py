@@ -33,10 +33,18 @@ ACTIONS = ["jellyfin_status", "jellyfin_open", "jellyfin_start", "jellyfin_stop"
            "arr_search_series", "arr_download_movie", "arr_download_series", "help", "none"]
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def strip(s: Column) -> Column:
+    """``str.strip()`` for ASCII whitespace (a character-set trim, no regex)."""
+    return F.trim(s, F.lit(WHITESPACE))
+
+
 def clean_text(s: Column) -> Column:
     """Trimmed text; blank or an unresolved ``{{...}}`` placeholder -> NULL."""
-    t = F.regexp_replace(s, r"^\s+|\s+$", "")
-    return F.when((t != "") & ~t.rlike(TEMPLATE_PLACEHOLDER), t)
+    t = strip(s)
+    return F.when((t != "") & ~(t.startswith("{{") & t.endswith("}}") & (F.length(t) > 4)), t)
 
 
 def _vtype(v: Column) -> Column:
@@ -79,14 +87,10 @@ def with_requester(df: DataFrame, v: str = "_v", out: str = "requester") -> Data
         obj = F.coalesce(*[_vstring(_path(val, k)) for k in OBJECT_NAME_KEYS])
         cands.append(F.when(t == "STRING", clean_text(F.try_variant_get(val, "$", "string")))
                      .when(t.startswith("OBJECT"), obj).when(t.startswith("ARRAY"), arr).alias(c + "v"))
-    x = x.select("*", *cands)
-    texts = []
-    for f in TEXT_FIELDS:
-        txt = _vstring(_path(F.col(v), f))
-        for pat in REQUESTER_TEXT_PATTERNS:
-            texts.append(F.nullif(F.regexp_extract(txt, pat, 1), F.lit("")))
+    x = x.select("*", *cands, *[_vstring(_path(F.col(v), f)).alias(f"_x_{f}") for f in TEXT_FIELDS])
+    texts = [F.nullif(F.regexp_extract(F.col(f"_x_{f}"), pat, 1), F.lit("")) for f in TEXT_FIELDS for pat in REQUESTER_TEXT_PATTERNS]
     x = x.withColumn(out, F.coalesce(*[F.col(c + "v") for c in cs], *texts))
-    return x.drop(*cs, *[c + "t" for c in cs], *[c + "v" for c in cs])
+    return x.drop(*cs, *[c + "t" for c in cs], *[c + "v" for c in cs], *[f"_x_{f}" for f in TEXT_FIELDS])
 
 
 def extract_requester(v: Column) -> Column:
@@ -104,8 +108,8 @@ def extract_requester(v: Column) -> Column:
 
 
 def normalize_username(x: Column) -> Column:
-    """trim, lower, drop leading '@'."""
-    return F.regexp_replace(F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")), r"^@+", "")
+    """strip, lower, drop leading '@'."""
+    return F.ltrim(F.lower(strip(x)), F.lit("@"))
 
 
 def destination_list(raw: Column) -> Column:
@@ -130,30 +134,37 @@ def route_events(events: DataFrame, routes: DataFrame, default_urls: list[str],
     return j.withColumn("urls", urls).withColumn("direct", direct).withColumn("fallback", fallback).drop("_user", "_urls")
 
 
-def message_fields(v: Column, requester: Column) -> dict[str, Column]:
-    """Outgoing title, body, type, format and tag with their fallbacks (``v`` is
-    the parsed payload)."""
+MESSAGE_KEYS = ["title", "notification_type", "event", "body", "type", "format", "tag"] + BODY_FIELDS
+
+
+def with_message_fields(df: DataFrame, v: str = "_v", requester: str = "requester") -> DataFrame:
+    """Outgoing title, body, type, format and tag with their fallbacks.
+
+    The payload fields are first read once each as cleaned text columns (one
+    projection), then combined -- so no field is re-read inside a CASE branch."""
+    keys = list(dict.fromkeys(MESSAGE_KEYS))
+    x = df.select("*", *[_vstring(_path(F.col(v), k)).alias(f"_m_{k}") for k in keys])
 
     def fld(k):
-        return _vstring(_path(v, k))
+        return F.col(f"_m_{k}")
 
     event_name = F.coalesce(fld("notification_type"), fld("event"))
-    title = F.coalesce(fld("title"), F.when(event_name.isNotNull(), F.concat(F.lit(APP_NAME + " | "), event_name)), F.lit(APP_NAME))
-    parts = F.concat_ws(" | ", *[F.when(fld(k).isNotNull(), F.concat(F.lit(k + ": "), fld(k))) for k in BODY_FIELDS])
+    title = F.coalesce(fld("title"), F.concat(F.lit(APP_NAME + " | "), event_name), F.lit(APP_NAME))
+    parts = F.concat_ws(" | ", *[F.concat(F.lit(k + ": "), fld(k)) for k in BODY_FIELDS])
     body = F.coalesce(fld("body"), F.nullif(parts, F.lit("")), F.lit(DEFAULT_BODY))
+    req = F.col(requester)
     tags = F.array_distinct(F.array_compact(F.array(
-        F.coalesce(fld("tag"), F.lit(DEFAULT_TAG)),
-        F.when(requester.isNotNull(), F.concat(F.lit("requester-"), slug(requester))))))
-    return {"title": title, "body": body, "type": F.coalesce(fld("type"), F.lit(DEFAULT_TYPE)),
-            "format": F.coalesce(fld("format"), F.lit(DEFAULT_FORMAT)), "tag": F.array_join(tags, ",")}
+        F.coalesce(fld("tag"), F.lit(DEFAULT_TAG)), F.when(req.isNotNull(), F.concat(F.lit("requester-"), slug(req))))))
+    out = {"title": title, "body": body, "type": F.coalesce(fld("type"), F.lit(DEFAULT_TYPE)),
+           "format": F.coalesce(fld("format"), F.lit(DEFAULT_FORMAT)), "tag": F.array_join(tags, ",")}
+    x = x.select("*", *[c.alias(k) for k, c in out.items()])
+    return x.drop(*[f"_m_{k}" for k in keys])
 
 
 def outgoing_messages(events: DataFrame, routes: DataFrame, default_urls: list[str], payload_col: str = "payload") -> DataFrame:
     """J6 + P24: routed events with their outgoing message."""
-    r = route_events(events, routes, default_urls, payload_col)
-    m = message_fields(F.col("_v"), F.col("requester"))
-    keep = [c for c in r.columns if c not in (payload_col, "_v")]
-    return r.select(*keep, *[c.alias(k) for k, c in m.items()])
+    r = with_message_fields(route_events(events, routes, default_urls, payload_col), "_v", "requester")
+    return r.drop(payload_col, "_v")
 
 
 def extract_intent(text: Column) -> dict[str, Column]:
