@@ -12,15 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _rank_pick(df: DataFrame, keys: list[str], order) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def pick_per_key(df: DataFrame, keys: list[str], order: list[str], highest: bool) -> DataFrame:
+    """One row per key: the one with the highest (or lowest) ``order`` columns, ties
+    broken by the remaining columns. A ``max``/``min`` of a struct is a hash
+    aggregate with map-side combine, so a key with many versions never piles up in
+    one task (a ``row_number`` window would sort them all together)."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    packed = F.struct(*[F.col(c) for c in order + rest])
+    agg = (F.max(packed) if highest else F.min(packed)).alias("_p")
+    return df.groupBy(*keys).agg(agg).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in order + rest]).select(*df.columns)
 
 
 def insert_or_ignore(target: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Existing keys win; within the batch the first arrival (lowest ``seq``) wins.
     Returns the merged table (target rows + new rows)."""
-    first = _rank_pick(batch, keys, [F.col(seq).asc()]).drop(seq)
+    first = pick_per_key(batch, keys, [seq], highest=False).drop(seq)
     new = first.join(target.select(*keys), on=keys, how="left_anti")
     return target.unionByName(new.select(*target.columns))
 
@@ -37,14 +43,14 @@ def insert_or_replace(target: DataFrame, batch: DataFrame, keys: list[str], seq:
     t = target.withColumn("_src", F.lit(0)).withColumn("_seq", F.lit(0).cast("long"))
     b = b.withColumn("_src", F.lit(1)).withColumn("_seq", F.col(seq).cast("long")).drop(seq)
     u = t.unionByName(b.select(*cols, "_src", "_seq"))
-    return _rank_pick(u, keys, [F.col("_src").desc(), F.col("_seq").desc()]).select(*cols)
+    return pick_per_key(u, keys, ["_src", "_seq"], highest=True).select(*cols)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: list[str], seq: str | None = None) -> DataFrame:
     """INSERT ... ON CONFLICT (keys) DO UPDATE SET update_cols: new keys are
     inserted, existing keys take the batch's ``update_cols``, other columns keep the
     old value. Within a batch the last row (highest ``seq``) is applied."""
-    b = batch if seq is None else _rank_pick(batch, keys, [F.col(seq).desc()]).drop(seq)
+    b = batch if seq is None else pick_per_key(batch, keys, [seq], highest=True).drop(seq)
     cols = target.columns
     t = target.alias("t")
     n = b.withColumn("_present", F.lit(1)).alias("n")

@@ -208,28 +208,37 @@ def charge_events(t: DataFrame, n: int = 30) -> DataFrame:
 
 def _with_prev(t: DataFrame, cols: list[str], since=None) -> DataFrame:
     """Rows (optionally only those dated >= ``since``) with the previous snapshot's
-    ``cols`` per entity, as ``prev_<col>``.
-
-    With ``since`` the window does not sort the whole history: only the recent rows
-    plus one carried-over row per entity (the latest before ``since``, found with a
-    map-side-combined max) are windowed.
+    ``cols`` per entity, as ``prev_<col>`` (and ``prev_timestamp``).
+
+    Skew-safe: the ordered window runs per (entity, day), so a vehicle with a huge
+    history is spread over its days. The first row of a day takes its predecessor
+    from the day's carry -- the last row of the entity's previous day with data,
+    found with a map-side-combined ``max(struct)`` per (entity, day) and a ``lag``
+    over those per-day rows (a few thousand per entity). With ``since``, all older
+    history collapses into one carry row per entity.
     """
     keep = [E, "timestamp", "date"] + [c for c in cols if c not in (E, "timestamp", "date")]
     base = t.select(*keep)
+    last_of = F.max(F.struct(F.col("timestamp"), *[F.col(c) for c in cols])).alias("last")
     if since is not None:
         start = as_date(since)
-        recent = base.filter(recent_window("date", start, 0, "timestamp")).withColumn("_carry", F.lit(False))
-        older = base.filter(F.col("date") < F.lit(start))
-        carry = latest_per(older, [E], "timestamp").withColumn("_carry", F.lit(True))
-        base = recent.unionByName(carry)
-    w = Window.partitionBy(E).orderBy("timestamp")
-    out = base
+        rows = base.filter(recent_window("date", start, 0, "timestamp"))
+        days = rows.groupBy(E, "date").agg(last_of)
+        older = base.filter(F.col("date") < F.lit(start)).groupBy(E).agg(last_of).withColumn(
+            "date", F.lit(start - _dt.timedelta(days=1)))
+        days = days.unionByName(older.select(E, "date", "last"))
+    else:
+        rows = base
+        days = base.groupBy(E, "date").agg(last_of)
+    carry = days.select(E, "date", F.lag("last").over(Window.partitionBy(E).orderBy("date")).alias("carry"))
+    x = rows.join(carry, [E, "date"], "left")
+    w = Window.partitionBy(E, "date").orderBy("timestamp")
+    prev_ts = F.lag("timestamp").over(w)
+    out = x.withColumn("_pt", prev_ts)
+    first = F.col("_pt").isNull()
     for c in cols:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    out = out.withColumn("prev_timestamp", F.lag("timestamp").over(w))
-    if since is not None:
-        out = out.filter(~F.col("_carry")).drop("_carry")
-    return out
+        out = out.withColumn(f"prev_{c}", F.when(first, F.col("carry")[c]).otherwise(F.lag(c).over(w)))
+    return out.withColumn("prev_timestamp", F.coalesce(F.col("_pt"), F.col("carry.timestamp"))).drop("_pt", "carry")
 
 
 def soc_delta(t: DataFrame) -> DataFrame:
