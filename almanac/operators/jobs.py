@@ -85,3 +85,14 @@ def batch_summary(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count(F.lit(1)).alias("processed"), F.count_if(F.col("status") == "done").alias("transcoded"),
         F.count_if(F.col("status").startswith("skip")).alias("skipped"), F.count_if(F.col("status") == "error").alias("errors"))
+
+
+def read_run_logs(spark, path: str) -> DataFrame:
+    """Job output files ``<job>/<run_id>.log`` -> (job, run_id, line_no, line).
+    Files are read line by line (``read.text``); line numbers come from the position in
+    the file, so a long log is never held as one value."""
+    df = spark.read.text(path).withColumn("_f", F.input_file_name()).withColumn("_i", F.monotonically_increasing_id())
+    job = F.regexp_extract("_f", r"/([^/]+)/[^/]+$", 1)
+    run = F.regexp_extract("_f", r"/([^/]+?)(\.log)?$", 1)
+    w = Window.partitionBy("_f").orderBy("_i")
+    return df.select(job.alias("job"), run.alias("run_id"), F.row_number().over(w).alias("line_no"), F.col("value").alias("line"))

@@ -274,3 +274,16 @@ def q_credit_utilisation(spark, sf):
 def q_tx_monthly_json(spark, sf):
     from almanac.operators.transactions import tx_monthly_summary
     return SK.to_json_rows(tx_monthly_summary(FX.load(spark, sf, "transactions")))
+
+
+@register("file_state_update", with_views("file_inventory") + f"""
+, st as (select path, case when k % 4 = 2 then cast(age_hours as varchar) || ':' || cast(size + 1 as varchar)
+                           else cast(age_hours as varchar) || ':' || cast(size as varchar) end as sig,
+                case when k % 4 = 1 then 'error' else 'done' end as status
+         from (select *, cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as k from file_inventory) where k % 4 <> 3),
+o as ({OUTCOME_SQL.replace("select path, sig, codec", "select path, sig, codec", 1)})
+select path, sig, status from st where path not in (select path from o)
+union all select path, sig, status from o""".replace("\n, st as", ", st as", 1), "jobs")
+def q_file_state_update(spark, sf):
+    res = _outcomes(spark, sf).select("path", "sig", "status", F.lit(1).alias("seq"))
+    return JB.file_state_update(_state(spark, sf), res)

@@ -321,3 +321,16 @@ def test_briefing_unlocked_without_weather(spark):
     r = BR.daily_briefing(t, None, "2024-01-30").collect()[0]
     assert r["recommendations"] == [BR.BATTERY_GOOD, BR.JUST_UNLOCKED]
     assert BR.UNLOCKED in r["text"] and BR.CHARGING in r["text"] and "Clima" not in r["text"]
+
+
+def test_read_run_logs_and_report(spark, tmp_path):
+    from almanac.operators import jobs as JB
+
+    (tmp_path / "ingest").mkdir()
+    (tmp_path / "ingest" / "r1.log").write_text("start\nError: boom\nmore\nFalha final\nend\n")
+    (tmp_path / "ingest" / "r2.log").write_text("start\nall good\n")
+    logs = JB.read_run_logs(spark, str(tmp_path / "*" / "*.log"))
+    got = {r["run_id"]: r for r in JB.run_report(logs).collect()}
+    assert got["r1"]["status"] == "failure" and got["r1"]["message"] == "Falha final" and got["r1"]["lines"] == 5
+    assert got["r2"]["status"] == "success" and got["r2"]["message"] == "all good"
+    assert {r["job"] for r in logs.collect()} == {"ingest"}
