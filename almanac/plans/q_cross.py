@@ -60,3 +60,61 @@ def q_source_summary(spark, sf):
 @register("wrapped_report", None, "cross")
 def q_wrapped_report(spark, sf):
     return C.wrapped_report(*_inputs(spark, sf))
+
+
+FIGURES = ["month", "period", "km", "places", "spend", "titles", "avg_battery", "avg_range", "snapshots", "kwh_used", "ev_cost",
+           "gas_equiv", "ev_saving", "avg_per_day", "spend_transactions", "fun_fact"]
+MONTHS_PT = "['Janeiro','Fevereiro','Março','Abril','Maio','Junho','Julho','Agosto','Setembro','Outubro','Novembro','Dezembro']"
+
+
+def _fmt(x):
+    """DuckDB twin of functions.text.fmt_number."""
+    return (f"case when {x} is null then '0' when {x} = floor({x}) then replace(format('{{:,d}}', cast({x} as bigint)), ',', '.') "
+            f"else translate(format('{{:,.2f}}', {x}), ',.', '.,') end")
+
+
+def _pyround(x, n):
+    """Half-even rounding of the value's shortest decimal text (Spark's ``bround``)."""
+    return f"cast(round_even(cast(cast(({x}) as varchar) as decimal(38,18)), {n}) as double)"
+
+
+@register("wrapped_report_figures", W + f"""
+, st as (select entity_id, strftime(date, '%Y-%m') as month, max(odometer_km) - min(odometer_km) as k,
+           sum(battery_soc) as ss, count(battery_soc) as sn, sum(battery_range_km) as rs, count(battery_range_km) as rn, count(*) as n
+         from telemetry_long where battery_soc is not null group by 1, 2),
+stats as (select month, cast(coalesce(sum(k), 0) as double) as km, round(cast(sum(ss) as double) / sum(sn), 0) as avg_battery,
+            round(cast(sum(rs) as double) / sum(rn), 0) as avg_range, sum(n) as snapshots from st group by month),
+cells as (select strftime(date, '%Y-%m') as month, count(distinct (round(latitude, 3), round(longitude, 3))) as places
+          from telemetry_long where latitude is not null group by 1),
+daily as (select strftime(date, '%Y-%m') as month, date, sum(case when amount > 0 then amount else 0 end) as day_spend,
+            count(case when amount > 0 then 1 end) as n_pos from transactions group by 1, 2),
+fin as (select month, cast(coalesce(sum(day_spend), 0) as double) as spend, round(cast(sum(day_spend) as double) / count(*), 2) as avg_per_day,
+          sum(n_pos) as spend_transactions from daily group by month),
+cats as (select strftime(date, '%Y-%m') as month, category as name, cast(round(sum(abs(amount)), 2) as double) as amount
+         from transactions where amount > 0 group by 1, 2),
+topcat as (select month, arg_max(name, amount) as name, max(amount) as amount from (
+             select *, row_number() over (partition by month order by amount desc, name nulls last) as rk from cats) where rk = 1 group by month),
+w2 as (select month, count(*) as titles from (select distinct strftime(timestamp, '%Y-%m') as month, item_name, user_name, device
+        from media_activity_long where event_type = 'VideoPlaybackStopped') group by month),
+months as (select month from stats union select month from fin union select month from w2),
+doc as (select m.month, coalesce(s.km, 0) as km, coalesce(c.places, 0) as places, coalesce(f.spend, 0) as spend,
+          coalesce(w.titles, 0) as titles, s.avg_battery, s.avg_range, coalesce(s.snapshots, 0) as snapshots,
+          f.avg_per_day, f.spend_transactions, t.name as top_name, t.amount as top_amount
+        from months m left join stats s using (month) left join cells c using (month) left join fin f using (month)
+        left join w2 w using (month) left join topcat t using (month))
+select month, {MONTHS_PT}[cast(right(month, 2) as int)] || ' ' || left(month, 4) as period, km, places, spend, titles,
+  avg_battery, avg_range, snapshots,
+  case when km > 0 then {_pyround('km / 6.3', 1)} end as kwh_used,
+  case when km > 0 then {_pyround('km / 6.3 * 0.8', 2)} end as ev_cost,
+  case when km > 0 then {_pyround('km / 12.0 * 6.2', 2)} end as gas_equiv,
+  case when km > 0 then {_pyround(_pyround('km / 12.0 * 6.2', 2) + ' - ' + _pyround('km / 6.3 * 0.8', 2), 2)} end as ev_saving,
+  case when avg_per_day > 0 then avg_per_day end as avg_per_day,
+  case when spend_transactions > 0 then spend_transactions end as spend_transactions,
+  case when spend > 0 and top_name is not null then
+         '<strong>' || cast(cast({_pyround('top_amount / spend * 100', 0)} as bigint) as varchar) || '%</strong> dos seus gastos foram em <strong>' || top_name || '</strong>.'
+       when km > 0 then 'Você rodou <strong>' || {_fmt('km')} || ' km</strong> — equivalente a ' || {_fmt('km / 12500 * 100')} || '% da circunferência da Terra!'
+       when titles > 0 then 'Você assistiu <strong>' || cast(titles as varchar) || ' títulos</strong> diferentes. Cinéfilo de carteirinha! 🎬'
+       else '' end as fun_fact
+from doc""".replace("\n, st as", ", st as", 1), "cross")
+def q_wrapped_report_figures(spark, sf):
+    return C.wrapped_report(*_inputs(spark, sf)).select(*FIGURES)
