@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def _first_item(items: Column, code: str) -> Column:
-    # get() returns NULL on an empty array; [0] would raise under ANSI mode.
-    return F.get(F.filter(items, lambda i: i["code"] == F.lit(code)), 0)
+    """First item with ``code`` (NULL when absent). ``array_position`` scans the
+    codes without building a filtered array; ``get`` (0-based) gives NULL for -1."""
+    pos = F.array_position(items["code"], F.lit(code))
+    return F.get(items, (pos - 1).cast("int"))
 
 
 def sensor_double(items: Column, code: str, default: float | None = None) -> Column:

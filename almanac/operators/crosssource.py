@@ -55,16 +55,29 @@ def _month_titles(activity: DataFrame) -> DataFrame:
         F.count_distinct("item_name").alias("titles"))
 
 
+def _telemetry_cells(t: DataFrame) -> DataFrame:
+    """One pass over telemetry at (entity, month, grid cell) grain -- the common
+    source of the month spine, km and distinct places (cell is NULL when the
+    position is unknown; odometer extremes only over positive readings)."""
+    odo = F.when(F.col("odometer_km") > 0, F.col("odometer_km"))
+    return t.groupBy("entity_id", month_key("date").alias("month"), T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og")).agg(
+        F.max(odo).alias("o1"), F.min(odo).alias("o0"))
+
+
 def monthly_summary(t: DataFrame, tx: DataFrame, activity: DataFrame, fill_zero: bool = False) -> DataFrame:
     """J1 (J2 with ``fill_zero``): distinct telemetry months LEFT JOIN monthly km,
     places, spend and titles.
 
-    Every right side is a month-grain aggregate (one row per calendar month, so its
-    size is bounded by the calendar, not by the data) and is broadcast.
+    Telemetry is read once (``_telemetry_cells``); every right side is a month-grain
+    aggregate (one row per calendar month, bounded by the calendar, not by the data)
+    and is broadcast.
     """
-    spine = t.select(month_key("date").alias("month")).distinct()
-    out = spine
-    for agg in (_month_km(t), _month_places(t), _month_spend(tx), _month_titles(activity)):
+    cells = _telemetry_cells(t)
+    per_entity = cells.groupBy("entity_id", "month").agg((F.max("o1") - F.min("o0")).alias("k"))
+    base = per_entity.groupBy("month").agg(F.sum("k").cast("double").alias("km"))  # every telemetry month
+    places = cells.filter(F.col("lg").isNotNull()).groupBy("month").agg(F.count_distinct("lg", "og").alias("places"))
+    out = base
+    for agg in (places, _month_spend(tx), _month_titles(activity)):
         out = out.join(F.broadcast(agg), "month", "left")
     if fill_zero:
         # The correlated form gives 0 for COUNT/COALESCE(SUM) on a missing month; km stays NULL.
@@ -115,26 +128,35 @@ def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int =
     month-grain pieces are joined on ``month``.
     """
     m_t = month_key("date").alias("month")
-    # Telemetry stats: per entity and month first (km is per vehicle), then per month.
-    st = t.filter(F.col("battery_soc").isNotNull()).groupBy("entity_id", m_t).agg(
-        (F.max("odometer_km") - F.min("odometer_km")).alias("k"),
+    # Telemetry, one pass at (entity, month, cell) grain: stats are per entity and
+    # month (km is per vehicle), places and top cells are per month.
+    soc_ok = F.col("battery_soc").isNotNull()
+    cells_e = t.groupBy("entity_id", m_t, T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og")).agg(
+        F.max(F.when(soc_ok, F.col("odometer_km"))).alias("o1"), F.min(F.when(soc_ok, F.col("odometer_km"))).alias("o0"),
         F.sum("battery_soc").alias("ss"), F.count("battery_soc").alias("sn"),
-        F.sum("battery_range_km").alias("rs"), F.count("battery_range_km").alias("rn"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.when(soc_ok, F.col("battery_range_km"))).alias("rs"), F.count(F.when(soc_ok, F.col("battery_range_km"))).alias("rn"),
+        F.count_if(soc_ok).alias("n"), F.min("address").alias("address"), F.count(F.lit(1)).alias("rows"))
+    st = cells_e.groupBy("entity_id", "month").agg(
+        (F.max("o1") - F.min("o0")).alias("k"), F.sum("ss").alias("ss"), F.sum("sn").alias("sn"),
+        F.sum("rs").alias("rs"), F.sum("rn").alias("rn"), F.sum("n").alias("n")).filter(F.col("n") > 0)
     stats = st.groupBy("month").agg(
         F.coalesce(F.sum("k"), F.lit(0)).cast("double").alias("km"),
         round_half_away(F.try_divide(F.sum("ss").cast("double"), F.sum("sn").cast("double")), 0).alias("avg_battery"),
         round_half_away(F.try_divide(F.sum("rs").cast("double"), F.sum("rn").cast("double")), 0).alias("avg_range"),
         F.sum("n").alias("snapshots"))
 
-    cells = t.filter(F.col("latitude").isNotNull()).groupBy(m_t, T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og")).agg(
-        F.min("address").alias("address"), F.count(F.lit(1)).alias("visits"))
+    cells = cells_e.filter(F.col("lg").isNotNull()).groupBy("month", "lg", "og").agg(
+        F.min("address").alias("address"), F.sum("rows").alias("visits"))
     places = cells.groupBy("month").agg(F.count(F.lit(1)).alias("places"))
     top_locs = _ranked_list(cells, "month", [F.col("visits").desc(), F.col("lg"), F.col("og")], 5,
                             [shorten_address("address").alias("name"), F.col("visits")], "top_locations")
 
+    # Transactions, one aggregate pass at (month, date, category) grain gives both the
+    # daily figures and the category totals; the top expenses need rows (top-k cut).
     m_d = month_key("date").alias("month")
-    daily = tx.groupBy(m_d, "date").agg(F.sum(expense_value(sign)).alias("day_spend"),
-                                         F.count(F.when(is_expense(sign), F.lit(1))).alias("n_pos"))
+    dc = tx.groupBy(m_d, "date", "category").agg(F.sum(expense_value(sign)).alias("day_spend"),
+                                                 F.count(F.when(is_expense(sign), F.lit(1))).alias("n_pos"))
+    daily = dc.groupBy("month", "date").agg(F.sum("day_spend").alias("day_spend"), F.sum("n_pos").alias("n_pos"))
     fin = daily.groupBy("month").agg(
         F.coalesce(F.sum("day_spend"), F.lit(0)).cast("double").alias("spend"),
         round_half_away(F.try_divide(F.sum("day_spend").cast("double"), F.count(F.lit(1)).cast("double")), 2).alias("avg_per_day"),
@@ -143,8 +165,8 @@ def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int =
                         [F.date_format("date", "dd/MM").alias("date"), F.round("day_spend", 2).cast("double").alias("amount")], "peak")
     peak = peak.select("month", F.get("peak", 0).alias("top_day"))
 
-    cats = tx.filter(is_expense(sign)).groupBy(m_d, F.col("category").alias("name")).agg(
-        F.round(F.sum(F.abs("amount")), 2).cast("double").alias("amount"))
+    cats = dc.filter(F.col("n_pos") > 0).groupBy("month", F.col("category").alias("name")).agg(
+        F.round(F.sum("day_spend"), 2).cast("double").alias("amount"))
     cat_list = _ranked_list(cats, "month", [F.col("amount").desc(), F.col("name").asc_nulls_last()], 8,
                             [F.col("name"), F.col("amount")], "categories")
     cat_list = cat_list.select("month", F.transform("categories", lambda c: c.withField(
@@ -163,7 +185,7 @@ def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int =
                        [F.substring("title", 1, 35).alias("title"), F.col("user"), F.substring("device", 1, 20).alias("device")],
                        "entertainment")
 
-    months = (stats.select("month").unionByName(fin.select("month")).unionByName(titles.select("month")).distinct())
+    months = (cells_e.select("month").unionByName(fin.select("month")).unionByName(titles.select("month")).distinct())
     doc = months
     for part in (stats, places, top_locs, fin, peak, cat_list, exp_list, titles, ent):
         doc = doc.join(F.broadcast(part), "month", "left")  # month-grain: bounded by the calendar

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.text import slug
+from almanac.session import ensure_parallelism
 
 # Where a requester can be found, in order of preference.
 REQUESTER_KEYS = ["requester", "requester_username", "requester_name", "requested_by",
@@ -123,7 +124,7 @@ def route_events(events: DataFrame, routes: DataFrame, default_urls: list[str],
     join is an equi left join that AQE broadcasts when the route table is small."""
     r = routes.select(normalize_username(F.col("user")).alias("_user"), F.col("urls").alias("_urls")).filter(
         (F.col("_user") != "") & (F.size("_urls") > 0)).dropDuplicates(["_user"])
-    e = events.withColumn("_v", F.try_parse_json(F.col(payload_col)))
+    e = ensure_parallelism(events).withColumn("_v", F.try_parse_json(F.col(payload_col)))
     e = with_requester(e, "_v", "requester")
     e = e.withColumn("_user", normalize_username(F.col("requester")))
     j = e.join(r, "_user", "left")

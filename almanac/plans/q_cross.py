@@ -96,7 +96,7 @@ topcat as (select month, arg_max(name, amount) as name, max(amount) as amount fr
              select *, row_number() over (partition by month order by amount desc, name nulls last) as rk from cats) where rk = 1 group by month),
 w2 as (select month, count(*) as titles from (select distinct strftime(timestamp, '%Y-%m') as month, item_name, user_name, device
         from media_activity_long where event_type = 'VideoPlaybackStopped') group by month),
-months as (select month from stats union select month from fin union select month from w2),
+months as (select distinct strftime(date, '%Y-%m') as month from telemetry_long union select month from fin union select month from w2),
 doc as (select m.month, coalesce(s.km, 0) as km, coalesce(c.places, 0) as places, coalesce(f.spend, 0) as spend,
           coalesce(w.titles, 0) as titles, s.avg_battery, s.avg_range, coalesce(s.snapshots, 0) as snapshots,
           f.avg_per_day, f.spend_transactions, t.name as top_name, t.amount as top_amount

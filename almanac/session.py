@@ -75,3 +75,14 @@ def materialize(df, name: str = "t"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ensure_parallelism(df, factor: int = 1):
+    """Spread a DataFrame with fewer partitions than cores (a few large input splits)
+    before CPU-heavy per-row work such as JSON parsing. On a cluster reading many
+    files this is a no-op; it only inserts a round-robin shuffle when the input
+    would otherwise be parsed by a handful of tasks."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * factor
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df

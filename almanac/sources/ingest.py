@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from almanac.functions.dates import recent_window
 from almanac.functions.numeric import py_round0
 from almanac.functions.sensors import sensor_bool, sensor_double, sensor_fallback
+from almanac.session import ensure_parallelism
 
 TELEMETRY_DOC = "struct<latitude: double, longitude: double, items: array<struct<code: string, value: string>>>"
 
@@ -29,7 +30,7 @@ BOOL_TRUE = {"is_locked": "1", "is_charging": "5", "is_ac_on": "1"}
 def ingest_telemetry(raw: DataFrame, json_col: str = "raw_json") -> DataFrame:
     """Status documents -> telemetry rows (entity_id and landing timestamp kept)."""
     doc = F.from_json(F.col(json_col), TELEMETRY_DOC)
-    x = raw.withColumn("_d", doc)
+    x = ensure_parallelism(raw).withColumn("_d", doc)
     items = F.col("_d.items")
     odo = sensor_fallback(sensor_double(items, SENSOR_CODES["odometer_primary"]), sensor_double(items, SENSOR_CODES["odometer_fallback"]))
     cols = [
