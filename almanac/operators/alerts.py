@@ -8,9 +8,11 @@ errors into one task:
 1. ``nxt(e)`` = the first error of the service at or after ``e + cooldown``
    (a forward as-of lookup, done with a bucketed reverse scan and a carry across
    buckets);
-2. jump tables ``J_k = nxt^(2^k)`` by repeated self-joins on the unique key
-   (service, ts) -- log2(n) rounds, each a balanced hash join;
-3. alerts = the chain from each service's first error: ``A_{k+1} = A_k + J_k(A_k)``.
+2. segment heads (errors >= cooldown after the previous error) always alert; a jump
+   that lands on a head is dropped, so chains stay inside one burst;
+3. jump tables ``J_k = nxt^(2^k)`` by repeated self-joins on the unique key
+   (service, ts) -- log2(longest burst) rounds, each a balanced hash join;
+4. alerts = the chains from the heads: ``A_{k+1} = A_k + J_k(A_k)``.
 
 Lineage is cut every round with ``checkpoint()`` (reliable checkpoints in the shared
 folder named by ``spark.checkpoint.dir``; for very large error sets
@@ -19,7 +21,6 @@ folder named by ``spark.checkpoint.dir``; for very large error sets
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,33 +57,49 @@ def next_at_or_after(errors: DataFrame, offset_sec: int, bucket: str = "hour") -
     return j.select("service", F.col("src").alias("ts"), F.coalesce("n_first", "c_first").alias("nxt"))
 
 
+def previous_error(errors: DataFrame, bucket: str = "hour") -> DataFrame:
+    """(service, ts, prev): the previous error of the same service, by a per-bucket lag
+    with the last error of earlier buckets carried in (skew-safe, like J3)."""
+    b = errors.withColumn("bkt", F.date_trunc(bucket, "ts"))
+    pb = b.groupBy("service", "bkt").agg(F.max("ts").alias("b_last"))
+    earlier = Window.partitionBy("service").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pb.select("service", "bkt", F.max("b_last").over(earlier).alias("c_last"))
+    w = Window.partitionBy("service", "bkt").orderBy("ts")
+    x = b.join(carry, ["service", "bkt"], "left")
+    return x.select("service", "ts", F.coalesce(F.lag("ts").over(w), F.col("c_last")).alias("prev"))
+
+
 def alert_cooldown(log: DataFrame, cooldown_sec: int = COOLDOWN_SEC, service: str = "service", ts: str = "timestamp",
                    line: str = "line", checkpoint: bool = True) -> DataFrame:
-    """Alert times (service, alert_ts) of the cooldown fold."""
+    """Alert times (service, alert_ts) of the cooldown fold.
+
+    Segment heads -- errors at least ``cooldown`` after the previous error -- always
+    alert and restart the chain, so jumps into a head are dropped: chains stay inside
+    one burst of errors and the number of doubling rounds follows the longest burst,
+    not the length of the log.
+    """
     errors = error_events(log, service, ts, line)
     if checkpoint:
         errors = errors.checkpoint()
-    # A chain cannot be longer than span / cooldown + 1, so the number of doubling
-    # rounds is known up front (one small aggregate instead of a check per round).
-    span = errors.groupBy("service").agg((F.unix_micros(F.max("ts").cast("timestamp")) -
-                                           F.unix_micros(F.min("ts").cast("timestamp"))).alias("d")).agg(F.max("d")).first()[0]
-    if span is None:
-        return errors.select("service", F.col("ts").alias("alert_ts")).limit(0)
-    rounds = min(MAX_ROUNDS, max(1, math.ceil(math.log2(span / 1e6 / cooldown_sec + 2))))
-    jump = next_at_or_after(errors, cooldown_sec).select("service", "ts", F.col("nxt").alias("j"))
-    alerts = errors.groupBy("service").agg(F.min("ts").alias("ts"))
+    gap = F.make_dt_interval(secs=F.lit(cooldown_sec))
+    prev = previous_error(errors)
+    heads = prev.filter(F.col("prev").isNull() | (F.col("ts") >= F.col("prev") + gap)).select("service", "ts")
+    nxt = next_at_or_after(errors, cooldown_sec)
+    head_keys = heads.select("service", F.col("ts").alias("nxt"), F.lit(True).alias("_head"))
+    jump = nxt.join(head_keys, ["service", "nxt"], "left").select(
+        "service", "ts", F.when(F.col("_head").isNull(), F.col("nxt")).alias("j"))
+    alerts = heads
     if checkpoint:
         jump, alerts = jump.checkpoint(), alerts.checkpoint()
-    for k in range(rounds):
+    for _ in range(MAX_ROUNDS):
+        if jump.filter(F.col("j").isNotNull()).limit(1).count() == 0:
+            break  # no node has a successor 2^k steps ahead: every chain is complete
         step = alerts.join(jump, ["service", "ts"]).filter(F.col("j").isNotNull()).select("service", F.col("j").alias("ts"))
         alerts = alerts.unionByName(step).distinct()
-        if k + 1 < rounds:
-            # J_{k+1}(x) = J_k(J_k(x)): a join on the unique key (service, ts).
-            jump = jump.alias("a").join(jump.alias("b"), (F.col("a.service") == F.col("b.service")) & (F.col("a.j") == F.col("b.ts")), "left") \
-                .select(F.col("a.service").alias("service"), F.col("a.ts").alias("ts"), F.col("b.j").alias("j"))
+        # J_{k+1}(x) = J_k(J_k(x)): a join on the unique key (service, ts).
+        jump = jump.alias("a").join(jump.alias("b"), (F.col("a.service") == F.col("b.service")) & (F.col("a.j") == F.col("b.ts")), "left") \
+            .select(F.col("a.service").alias("service"), F.col("a.ts").alias("ts"), F.col("b.j").alias("j"))
         if checkpoint:
             # Both plans would grow every round (the jump plan doubles); cut them.
-            alerts = alerts.checkpoint()
-            if k + 1 < rounds:
-                jump = jump.checkpoint()
+            jump, alerts = jump.checkpoint(), alerts.checkpoint()
     return alerts.select("service", F.col("ts").alias("alert_ts"))

@@ -48,66 +48,70 @@ def clean_text(s: Column) -> Column:
     return F.when((t != "") & ~(t.startswith("{{") & t.endswith("}}") & (F.length(t) > 4)), t)
 
 
-def _vtype(v: Column) -> Column:
-    return F.schema_of_variant(v)
+# The requester and message cascades expand to thousands of expression nodes; they are
+# written as SQL text and parsed once by the JVM (building them call by call from
+# Python costs seconds of round trips per query).
+_WS_SQL = " \\t\\n\\r\\u000B\\u000C"
 
 
-def _vstring(v: Column) -> Column:
+def _sql_literal(text: str) -> str:
+    """Body of a SQL string literal (backslashes and quotes escaped)."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _sql_path(v: str, path: str) -> str:
+    return f"try_variant_get({v}, '$.{path}', 'variant')"
+
+
+def _sql_clean(t: str) -> str:
+    """Trimmed text; blank or an unresolved ``{{...}}`` placeholder -> NULL."""
+    tt = f"trim(BOTH '{_WS_SQL}' FROM {t})"
+    return (f"CASE WHEN {tt} <> '' AND NOT (startswith({tt}, '{{{{') AND endswith({tt}, '}}}}') AND length({tt}) > 4) "
+            f"THEN {tt} END")
+
+
+def _sql_vstring(x: str) -> str:
     """The variant as cleaned text when it holds a string, else NULL."""
-    return F.when(_vtype(v) == "STRING", clean_text(F.try_variant_get(v, "$", "string")))
+    return f"CASE WHEN schema_of_variant({x}) = 'STRING' THEN {_sql_clean(f'try_variant_get({x}, {chr(39)}${chr(39)}, {chr(39)}string{chr(39)})')} END"
+
+
+def _sql_object_name(x: str) -> str:
+    """First usable name field of an object."""
+    return "coalesce(" + ", ".join(_sql_vstring(_sql_path(x, k)) for k in OBJECT_NAME_KEYS) + ")"
 
 
-def _path(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, "$." + path, "variant")
+def _sql_scalar_or_object(x: str) -> str:
+    return (f"CASE WHEN schema_of_variant({x}) = 'STRING' THEN {_sql_vstring(x)} "
+            f"WHEN startswith(schema_of_variant({x}), 'OBJECT') THEN {_sql_object_name(x)} END")
 
 
-def _scalar_or_object(v: Column) -> Column:
-    """A string value, or the first usable name field of an object (one level)."""
-    t = _vtype(v)
-    obj = F.coalesce(*[_vstring(_path(v, k)) for k in OBJECT_NAME_KEYS])
-    return F.when(t == "STRING", _vstring(v)).when(t.startswith("OBJECT"), obj)
+def _sql_candidate(val: str, typ: str) -> str:
+    """A string value, the first usable name field of an object, or the first usable
+    element (string or object) of a list."""
+    arr = (f"get(filter(transform(try_variant_get({val}, '$', 'array<variant>'), e -> {_sql_scalar_or_object('e')}), "
+           f"y -> y IS NOT NULL), 0)")
+    return (f"CASE WHEN {typ} = 'STRING' THEN {_sql_vstring(val)} WHEN startswith({typ}, 'OBJECT') THEN {_sql_object_name(val)} "
+            f"WHEN startswith({typ}, 'ARRAY') THEN {arr} END")
 
 
 def with_requester(df: DataFrame, v: str = "_v", out: str = "requester") -> DataFrame:
     """Add the requester found in the parsed payload column ``v``: flat keys, then
-    nested paths, then the text patterns over message fields. A candidate value may
-    be a string, an object (name fields) or a list (first usable element).
+    nested paths, then the text patterns over message fields.
 
-    Built as stacked projections -- child values, then their types, then the
-    candidates -- so no sub-expression is repeated inside another.
+    Stacked projections -- child values, their types, then the candidates -- so no
+    sub-expression is repeated inside another.
     """
     sources = REQUESTER_KEYS + REQUESTER_PATHS
     cs = [f"_c{i}" for i in range(len(sources))]
-    x = df.select("*", *[_path(F.col(v), p).alias(c) for c, p in zip(cs, sources)])
-    x = x.select("*", *[_vtype(F.col(c)).alias(c + "t") for c in cs])
-    cands = []
-    for c in cs:
-        val, t = F.col(c), F.col(c + "t")
-        arr = F.get(F.filter(F.transform(F.try_variant_get(val, "$", "array<variant>"), _scalar_or_object),
-                             lambda e: e.isNotNull()), 0)
-        obj = F.coalesce(*[_vstring(_path(val, k)) for k in OBJECT_NAME_KEYS])
-        cands.append(F.when(t == "STRING", clean_text(F.try_variant_get(val, "$", "string")))
-                     .when(t.startswith("OBJECT"), obj).when(t.startswith("ARRAY"), arr).alias(c + "v"))
-    x = x.select("*", *cands, *[_vstring(_path(F.col(v), f)).alias(f"_x_{f}") for f in TEXT_FIELDS])
-    texts = [F.nullif(F.regexp_extract(F.col(f"_x_{f}"), pat, 1), F.lit("")) for f in TEXT_FIELDS for pat in REQUESTER_TEXT_PATTERNS]
-    x = x.withColumn(out, F.coalesce(*[F.col(c + "v") for c in cs], *texts))
+    x = df.selectExpr("*", *[f"{_sql_path(v, p)} AS {c}" for c, p in zip(cs, sources)],
+                      *[f"{_sql_vstring(_sql_path(v, f))} AS _x_{f}" for f in TEXT_FIELDS])
+    x = x.selectExpr("*", *[f"schema_of_variant({c}) AS {c}t" for c in cs])
+    x = x.selectExpr("*", *[f"{_sql_candidate(c, c + 't')} AS {c}v" for c in cs])
+    texts = [f"nullif(regexp_extract(_x_{f}, '{_sql_literal(pat)}', 1), '')" for f in TEXT_FIELDS for pat in REQUESTER_TEXT_PATTERNS]
+    x = x.withColumn(out, F.expr("coalesce(" + ", ".join([c + "v" for c in cs] + texts) + ")"))
     return x.drop(*cs, *[c + "t" for c in cs], *[c + "v" for c in cs], *[f"_x_{f}" for f in TEXT_FIELDS])
 
 
-def extract_requester(v: Column) -> Column:
-    """Column form of :func:`with_requester` for small inputs (one nested expression)."""
-    sources = REQUESTER_KEYS + REQUESTER_PATHS
-    cands = []
-    for p in sources:
-        val = _path(v, p)
-        t = _vtype(val)
-        arr = F.get(F.filter(F.transform(F.try_variant_get(val, "$", "array<variant>"), _scalar_or_object),
-                             lambda e: e.isNotNull()), 0)
-        cands.append(F.when(t.startswith("ARRAY"), arr).otherwise(_scalar_or_object(val)))
-    texts = [F.nullif(F.regexp_extract(_vstring(_path(v, f)), pat, 1), F.lit("")) for f in TEXT_FIELDS for pat in REQUESTER_TEXT_PATTERNS]
-    return F.coalesce(*cands, *texts)
-
-
 def normalize_username(x: Column) -> Column:
     """strip, lower, drop leading '@'."""
     return F.ltrim(F.lower(strip(x)), F.lit("@"))
@@ -144,7 +148,7 @@ def with_message_fields(df: DataFrame, v: str = "_v", requester: str = "requeste
     The payload fields are first read once each as cleaned text columns (one
     projection), then combined -- so no field is re-read inside a CASE branch."""
     keys = list(dict.fromkeys(MESSAGE_KEYS))
-    x = df.select("*", *[_vstring(_path(F.col(v), k)).alias(f"_m_{k}") for k in keys])
+    x = df.selectExpr("*", *[f"{_sql_vstring(_sql_path(v, k))} AS _m_{k}" for k in keys])
 
     def fld(k):
         return F.col(f"_m_{k}")
