@@ -82,6 +82,8 @@ def ensure_parallelism(df, factor: int = 1):
     before CPU-heavy per-row work such as JSON parsing. On a cluster reading many
     files this is a no-op; it only inserts a round-robin shuffle when the input
     would otherwise be parsed by a handful of tasks."""
+    if df.isStreaming:
+        return df  # micro-batches are sized by the source options (maxFilesPerTrigger, ...)
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism * factor
     n = df.rdd.getNumPartitions()
