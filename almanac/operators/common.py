@@ -54,3 +54,15 @@ def threshold_band(col, steps: list[tuple[float | None, str]]) -> Column:
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     expr = F.lit(base) if expr is None else expr.otherwise(F.lit(base))
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(expr)
+
+
+def assemble_by_key(parts: list[DataFrame], key: str) -> DataFrame:
+    """Outer-combine several aggregates that share a key (each with one row per key)
+    into one row per key: a union with missing columns NULL, then one ``groupBy``
+    that keeps each column's non-null value. One shuffle instead of a chain of outer
+    joins; keys present in any part appear once."""
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    cols = [c for c in u.columns if c != key]
+    return u.groupBy(key).agg(*[F.any_value(F.col(c), ignoreNulls=True).alias(c) for c in cols])

@@ -10,7 +10,7 @@ from almanac.functions.dates import month_key, month_label
 from almanac.functions.numeric import avg_exact, py_round0, round_half_away
 from almanac.functions.text import fmt_number, shorten_address
 from almanac.operators import telemetry as T
-from almanac.operators.common import top_n_per
+from almanac.operators.common import assemble_by_key, top_n_per
 from almanac.operators.media import STOP
 from almanac.operators.transactions import expense_value, is_expense
 
@@ -55,30 +55,35 @@ def _month_titles(activity: DataFrame) -> DataFrame:
         F.count_distinct("item_name").alias("titles"))
 
 
-def _telemetry_cells(t: DataFrame) -> DataFrame:
-    """One pass over telemetry at (entity, month, grid cell) grain -- the common
-    source of the month spine, km and distinct places (cell is NULL when the
-    position is unknown; odometer extremes only over positive readings)."""
+def _telemetry_month_figures(t: DataFrame) -> DataFrame:
+    """Per telemetry month: km (sum over entities of max - min positive odometer) and
+    distinct ~100 m cells, from one scan.
+
+    One aggregate with GROUPING SETS ((entity, month), (month, cell)) -- Spark expands
+    each row once and aggregates both groupings in the same shuffle -- followed by a
+    month-level aggregate that reads each grouping through ``grouping_id``."""
     odo = F.when(F.col("odometer_km") > 0, F.col("odometer_km"))
-    return t.groupBy("entity_id", month_key("date").alias("month"), T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og")).agg(
-        F.max(odo).alias("o1"), F.min(odo).alias("o0"))
+    x = t.select("entity_id", month_key("date").alias("month"), T.grid3("latitude").alias("lg"),
+                 T.grid3("longitude").alias("og"), odo.alias("odo"))
+    g = x.groupingSets([["entity_id", "month"], ["month", "lg", "og"]], "entity_id", "month", "lg", "og").agg(
+        F.max("odo").alias("o1"), F.min("odo").alias("o0"), F.grouping_id().alias("gid"))
+    per_entity = F.col("gid") == 3   # entity_id, month grouped; lg, og aggregated away
+    per_cell = F.col("gid") == 8     # month, lg, og grouped; entity_id aggregated away
+    return g.groupBy("month").agg(
+        F.sum(F.when(per_entity, F.col("o1") - F.col("o0"))).cast("double").alias("km"),
+        F.count(F.when(per_cell & F.col("lg").isNotNull(), F.lit(1))).alias("places"))
 
 
 def monthly_summary(t: DataFrame, tx: DataFrame, activity: DataFrame, fill_zero: bool = False) -> DataFrame:
     """J1 (J2 with ``fill_zero``): distinct telemetry months LEFT JOIN monthly km,
     places, spend and titles.
 
-    Telemetry is read once (``_telemetry_cells``); every right side is a month-grain
-    aggregate (one row per calendar month, bounded by the calendar, not by the data)
-    and is broadcast.
+    Telemetry is read once (``_telemetry_month_figures``); spend and titles are
+    month-grain aggregates (one row per calendar month); the LEFT JOIN onto the
+    telemetry months is one union + groupBy.
     """
-    cells = _telemetry_cells(t)
-    per_entity = cells.groupBy("entity_id", "month").agg((F.max("o1") - F.min("o0")).alias("k"))
-    base = per_entity.groupBy("month").agg(F.sum("k").cast("double").alias("km"))  # every telemetry month
-    places = cells.filter(F.col("lg").isNotNull()).groupBy("month").agg(F.count_distinct("lg", "og").alias("places"))
-    out = base
-    for agg in (places, _month_spend(tx), _month_titles(activity)):
-        out = out.join(F.broadcast(agg), "month", "left")
+    spine = _telemetry_month_figures(t).withColumn("_spine", F.lit(True))
+    out = assemble_by_key([spine, _month_spend(tx), _month_titles(activity)], "month").filter(F.col("_spine"))
     if fill_zero:
         # The correlated form gives 0 for COUNT/COALESCE(SUM) on a missing month; km stays NULL.
         out = out.select("month", "km", F.coalesce("places", F.lit(0)).alias("places"),
@@ -185,10 +190,9 @@ def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int =
                        [F.substring("title", 1, 35).alias("title"), F.col("user"), F.substring("device", 1, 20).alias("device")],
                        "entertainment")
 
-    months = (cells_e.select("month").unionByName(fin.select("month")).unionByName(titles.select("month")).distinct())
-    doc = months
-    for part in (stats, places, top_locs, fin, peak, cat_list, exp_list, titles, ent):
-        doc = doc.join(F.broadcast(part), "month", "left")  # month-grain: bounded by the calendar
+    # Month-grain pieces (bounded by the calendar) combined with one shuffle; the
+    # month spine is every month with telemetry, transactions or watched titles.
+    doc = assemble_by_key([cells_e.select("month"), stats, places, top_locs, fin, peak, cat_list, exp_list, titles, ent], "month")
 
     km = F.coalesce(F.col("km"), F.lit(0.0))
     ev = F.bround(km / F.lit(T.EV_KM_PER_KWH) * F.lit(T.PRICE_PER_KWH), 2)
