@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanac.functions.text import slug
 from almanac.session import ensure_parallelism
@@ -22,7 +23,7 @@ OBJECT_NAME_KEYS = ["username", "displayName", "display_name", "name", "email"]
 TEXT_FIELDS = ["message", "subject", "body"]
 REQUESTER_TEXT_PATTERNS = [r"(?i)(?:requested by|solicitado por|pedido por)\s+@?([a-zA-Z0-9._-]+)",
                            r"(?i)(?:user|usuario)\s*[:=]\s*@?([a-zA-Z0-9._-]+)"]
-TEMPLATE_PLACEHOLDER = r"^\{\{.+\}\}$"
+TEMPLATE_PLACEHOLDER = r"^\{\{.+\}\}$"  # checked as starts "{{", ends "}}", length > 4
 # Outgoing message defaults.
 APP_NAME = "Jellyseerr"
 BODY_FIELDS = ["subject", "message", "event", "media_type", "media_tmdbid", "media_tvdbid"]
@@ -42,12 +43,6 @@ def strip(s: Column) -> Column:
     return F.trim(s, F.lit(WHITESPACE))
 
 
-def clean_text(s: Column) -> Column:
-    """Trimmed text; blank or an unresolved ``{{...}}`` placeholder -> NULL."""
-    t = strip(s)
-    return F.when((t != "") & ~(t.startswith("{{") & t.endswith("}}") & (F.length(t) > 4)), t)
-
-
 # The requester and message cascades expand to thousands of expression nodes; they are
 # written as SQL text and parsed once by the JVM (building them call by call from
 # Python costs seconds of round trips per query).
@@ -124,9 +119,13 @@ def destination_list(raw: Column) -> Column:
 
 def route_events(events: DataFrame, routes: DataFrame, default_urls: list[str], payload_col: str = "payload") -> DataFrame:
     """Requester -> its destinations (direct), else the default list (fallback),
-    else none. ``routes`` is (user, urls array<string>), keys normalised here; the
+    else none. ``routes`` is (user, urls) with urls a list or a comma-separated text;
+    users are normalised and blank destinations dropped here; the
     join is an equi left join that AQE broadcasts when the route table is small."""
-    r = routes.select(normalize_username(F.col("user")).alias("_user"), F.col("urls").alias("_urls")).filter(
+    urls_t = routes.schema["urls"].dataType
+    urls = destination_list(F.col("urls")) if isinstance(urls_t, T.StringType) else F.filter(
+        F.transform(F.col("urls"), lambda u: F.trim(u)), lambda u: u != "")
+    r = routes.select(normalize_username(F.col("user")).alias("_user"), urls.alias("_urls")).filter(
         (F.col("_user") != "") & (F.size("_urls") > 0)).dropDuplicates(["_user"])
     e = ensure_parallelism(events).withColumn("_v", F.try_parse_json(F.col(payload_col)))
     e = with_requester(e, "_v", "requester")

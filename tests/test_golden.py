@@ -334,3 +334,16 @@ def test_read_run_logs_and_report(spark, tmp_path):
     assert got["r1"]["status"] == "failure" and got["r1"]["message"] == "Falha final" and got["r1"]["lines"] == 5
     assert got["r2"]["status"] == "success" and got["r2"]["message"] == "all good"
     assert {r["job"] for r in logs.collect()} == {"ingest"}
+
+
+def test_route_events_csv_destinations(spark):
+    from almanac.operators import routing as RT
+
+    ev = spark.createDataFrame([(1, '{"username": " @Ana "}'), (2, '{"title": "x"}'), (3, '{"user": [{"name": ""}, "bob"]}')],
+                               "event_id long, payload string")
+    routes = spark.createDataFrame([("ana", " a://1 , ,b://2"), ("BOB", "")], "user string, urls string")
+    got = {r["event_id"]: r for r in RT.outgoing_messages(ev, routes, ["d://0"]).collect()}
+    assert got[1]["requester"] == "@Ana" and got[1]["urls"] == ["a://1", "b://2"] and got[1]["direct"]
+    assert got[1]["tag"] == "media,requester-ana"
+    assert got[2]["requester"] is None and got[2]["urls"] == ["d://0"] and got[2]["fallback"] and got[2]["title"] == "x"
+    assert got[3]["requester"] == "bob" and got[3]["urls"] == ["d://0"] and got[3]["fallback"]
