@@ -92,3 +92,16 @@ def write_srt(blocks: DataFrame, text_col: str = "final_text") -> DataFrame:
     entry = F.struct(F.col("pos"), F.concat(F.col("idx").cast("string"), F.lit("\n"), F.col("ts"), F.lit("\n"), txt, F.lit("\n")).alias("b"))
     g = blocks.groupBy("file").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     return g.select("file", F.array_join(F.transform("_e", lambda e: e["b"]), "\n").alias("content"))
+
+
+def write_srt_files(blocks: DataFrame, path: str, text_col: str = "final_text") -> None:
+    """S18 as files: one text file per subtitle file, blocks streamed in order by
+    Spark's partitioned text writer (no file's content is gathered into one value).
+    Output: ``<path>/file=<name>/part-*.txt``."""
+    txt = F.coalesce(F.col(text_col), F.col("text"))
+    # The writer ends every row with a newline; the last block of a file omits its own.
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("file"))
+    body = F.concat(F.col("idx").cast("string"), F.lit("\n"), F.col("ts"), F.lit("\n"), txt)
+    lines = blocks.select("file", "pos", F.when(last, body).otherwise(F.concat(body, F.lit("\n"))).alias("value"))
+    (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "value")
+     .write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path))

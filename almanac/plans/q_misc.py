@@ -37,14 +37,14 @@ def _candidates(spark, sf):
 
 
 def _state(spark, sf):
-    """File state derived from the inventory: done / error / done-with-an-old-signature / none."""
+    """File state derived from the inventory, one record per file: done / error /
+    done-with-an-old-signature / queued (not terminal)."""
     inv = FX.load(spark, sf, "file_inventory").withColumn("k", F.regexp_extract("path", r"([0-9]+)", 1).cast("bigint"))
-    st = inv.filter(F.col("k") % 4 != 3).select(
+    return inv.select(
         "path",
         F.when(F.col("k") % 4 == 2, JB.signature(F.col("age_hours"), F.col("size") + 1)).otherwise(
             JB.signature(F.col("age_hours"), F.col("size"))).alias("sig"),
-        F.when(F.col("k") % 4 == 1, F.lit("error")).otherwise(F.lit("done")).alias("status"))
-    return st
+        F.when(F.col("k") % 4 == 1, F.lit("error")).when(F.col("k") % 4 == 3, F.lit("queued")).otherwise(F.lit("done")).alias("status"))
 
 
 @register("file_candidates", with_views("file_inventory") + CAND_SQL, "jobs")
@@ -98,9 +98,12 @@ DEFAULT_URLS = ["json://fallback.example/notify"]
 
 
 def _routes(spark, sf):
-    e = table(spark, sf, "events").filter(F.col("user_id") % 3 == 0).select("user_id").distinct()
+    """Route table for every user seen in events; a third of them have destinations,
+    the others an empty list (ignored by the router, as an empty map entry is)."""
+    e = table(spark, sf, "events").select("user_id").distinct()
+    dest = F.concat(F.lit("mailto://user"), F.col("user_id").cast("string"), F.lit("@example.org"))
     return e.select(F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("user"),
-                    F.array(F.concat(F.lit("mailto://user"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("urls"))
+                    F.when(F.col("user_id") % 3 == 0, F.array(dest)).otherwise(F.array().cast("array<string>")).alias("urls"))
 
 
 @register("route_notifications", with_views("notification_raw") + f"""
@@ -136,8 +139,8 @@ def q_extract_intent(spark, sf):
 
 
 # ---------------------------------------------------------------- subtitles
-SRT_BLOCKS = """select 'conv' || conv_id || '.en.srt' as file, conv_id,
-  cast(row_number() over (partition by conv_id order by turn) - 1 as bigint) as pos, cast(turn + 1 as int) as idx,
+SRT_BLOCKS = """select 'conv' || conv_id || case when turn >= 500 then '.p' || cast(floor(turn / 500) as bigint) else '' end || '.en.srt' as file,
+  conv_id, cast(row_number() over (partition by conv_id, floor(turn / 500) order by turn) - 1 as bigint) as pos, cast(turn + 1 as int) as idx,
   '00:00:' || turn || ',000 --> 00:00:' || turn || ',900' as ts, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text
 from conversations"""
 
@@ -279,8 +282,8 @@ def q_tx_monthly_json(spark, sf):
 @register("file_state_update", with_views("file_inventory") + f"""
 , st as (select path, case when k % 4 = 2 then cast(age_hours as varchar) || ':' || cast(size + 1 as varchar)
                            else cast(age_hours as varchar) || ':' || cast(size as varchar) end as sig,
-                case when k % 4 = 1 then 'error' else 'done' end as status
-         from (select *, cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as k from file_inventory) where k % 4 <> 3),
+                case when k % 4 = 1 then 'error' when k % 4 = 3 then 'queued' else 'done' end as status
+         from (select *, cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as k from file_inventory)),
 o as ({OUTCOME_SQL.replace("select path, sig, codec", "select path, sig, codec", 1)})
 select path, sig, status from st where path not in (select path from o)
 union all select path, sig, status from o""".replace("\n, st as", ", st as", 1), "jobs")

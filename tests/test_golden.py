@@ -347,3 +347,17 @@ def test_route_events_csv_destinations(spark):
     assert got[1]["tag"] == "media,requester-ana"
     assert got[2]["requester"] is None and got[2]["urls"] == ["d://0"] and got[2]["fallback"] and got[2]["title"] == "x"
     assert got[3]["requester"] == "bob" and got[3]["urls"] == ["d://0"] and got[3]["fallback"]
+
+
+def test_write_srt_files_equal_content(spark, tmp_path):
+    from almanac.sources import landing as L
+    from tests.conftest import SF_SMALL
+
+    blocks = SB.translation_resolve(SB.chunk(L.srt_translations(SB.read_srt(L.srt_files(spark, SF_SMALL)))))
+    expected = {r["file"]: r["content"] for r in SB.write_srt(blocks).collect()}
+    SB.write_srt_files(blocks, str(tmp_path / "out"))
+    got = {}
+    for d in (tmp_path / "out").iterdir():
+        if d.name.startswith("file="):
+            got[d.name[5:]] = "".join(p.read_text() for p in sorted(d.glob("part-*")))
+    assert got == expected
