@@ -27,6 +27,16 @@ def as_date(d) -> _dt.date:
     return _dt.date.fromisoformat(str(d)[:10])
 
 
+def ntz(value) -> Column:
+    """A TIMESTAMP_NTZ literal built from text, so it does not depend on the Python
+    process's or the session's time zone."""
+    if isinstance(value, _dt.datetime):
+        value = value.isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        value = f"{value.isoformat()} 00:00:00"
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def recent_window(date_col, as_of, days: int, ts_col=None) -> Column:
     """``date >= as_of - days``.
 
@@ -37,7 +47,7 @@ def recent_window(date_col, as_of, days: int, ts_col=None) -> Column:
     start = as_date(as_of) - _dt.timedelta(days=days)
     p = _c(date_col) >= F.lit(start)
     if ts_col is not None:
-        p = p & (_c(ts_col) >= F.lit(_dt.datetime.combine(start, _dt.time())).cast("timestamp_ntz"))
+        p = p & (_c(ts_col) >= ntz(start))
     return p
 
 
@@ -76,8 +86,8 @@ class DateRange:
     def on_timestamp(self, ts_col) -> Column:
         s, e, inclusive = self._ts_bounds()
         c = _c(ts_col)
-        lo = c >= F.lit(s).cast("timestamp_ntz")
-        hi = (c <= F.lit(e).cast("timestamp_ntz")) if inclusive else (c < F.lit(e).cast("timestamp_ntz"))
+        lo = c >= ntz(s)
+        hi = (c <= ntz(e)) if inclusive else (c < ntz(e))
         return lo & hi
 
     def on_date(self, date_col, ts_col=None) -> Column:
@@ -93,7 +103,7 @@ class DateRange:
             s = _dt.datetime.combine(self.start, _dt.time())
             last = self.end if self.mode != "half_open" else self.end - _dt.timedelta(days=1)
             e = _dt.datetime.combine(last + _dt.timedelta(days=1), _dt.time())
-            p = p & (_c(ts_col) >= F.lit(s).cast("timestamp_ntz")) & (_c(ts_col) < F.lit(e).cast("timestamp_ntz"))
+            p = p & (_c(ts_col) >= ntz(s)) & (_c(ts_col) < ntz(e))
         return p
 
     def sql_dates(self) -> tuple[str, str]:

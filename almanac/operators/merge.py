@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.functions.dates import ntz
+
 
 def pick_per_key(df: DataFrame, keys: list[str], order: list[str], highest: bool) -> DataFrame:
     """One row per key: the one with the highest (or lowest) ``order`` columns, ties
@@ -38,7 +40,7 @@ def insert_or_replace(target: DataFrame, batch: DataFrame, keys: list[str], seq:
     cols = target.columns
     b = batch
     if refresh_col and refresh_col in cols:
-        stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else F.lit(now).cast("timestamp_ntz")
+        stamp = F.localtimestamp() if now is None else ntz(now)
         b = b.withColumn(refresh_col, stamp)
     t = target.withColumn("_src", F.lit(0)).withColumn("_seq", F.lit(0).cast("long"))
     b = b.withColumn("_src", F.lit(1)).withColumn("_seq", F.col(seq).cast("long")).drop(seq)

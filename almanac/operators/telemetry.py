@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.dates import DateRange, as_date, month_key, recent_window, weekday_sun0
+from almanac.functions.dates import DateRange, as_date, month_key, ntz, recent_window, weekday_sun0
 from almanac.functions.numeric import avg_exact, round_half_away
 from almanac.operators.common import flag_to_int, latest_per, threshold_band, top_n_per, value_label_map
 
@@ -308,7 +308,7 @@ def top_locations(t: DataFrame, rng: DateRange, n: int = 5) -> DataFrame:
 def new_locations(t: DataFrame, since, n: int = 10) -> DataFrame:
     """Cells first visited on/after ``since``, top ``n`` by visits per entity."""
     s = _dt.datetime.combine(as_date(since), _dt.time())
-    g = locations(t).filter(F.col("first_visit") >= F.lit(s).cast("timestamp_ntz"))
+    g = locations(t).filter(F.col("first_visit") >= ntz(s))
     top = top_n_per(g, [E], [F.col("visits").desc(), F.col("lat_group"), F.col("lon_group")], n)
     return top.select(E, "lat_group", "lon_group", "address", "visits", "first_visit", "last_visit")
 

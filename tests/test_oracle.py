@@ -35,3 +35,30 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["month", "km", "places", "spend", "titles"]
+
+
+TIME_SENSITIVE = ["battery_history", "snapshot_log", "telemetry_last_30d", "new_locations", "watched_list", "top_expenses",
+                  "consumption_30d", "watch_sessions", "monthly_summary", "tx_weekly", "insert_or_replace"]
+
+
+def test_results_do_not_depend_on_time_zones(spark, duck):
+    """Wall-clock (NTZ) data: neither the session zone nor the Python process zone
+    may shift a window bound."""
+    import os
+    import time
+
+    old_tz, old_session = os.environ.get("TZ"), spark.conf.get("spark.sql.session.timeZone")
+    os.environ["TZ"] = "America/Sao_Paulo"
+    time.tzset()
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        for key in TIME_SENSITIVE:
+            status, msg = compare(from_spark(QUERIES[key](spark, SF_ORACLE)), from_duck(duck, ORACLE[key]))
+            assert status == "OK", f"{key}: {status} {msg}"
+    finally:
+        if old_tz is None:
+            os.environ.pop("TZ", None)
+        else:
+            os.environ["TZ"] = old_tz
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", old_session)
