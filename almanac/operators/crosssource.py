@@ -33,18 +33,6 @@ def fill(template: str, *cols: Column) -> Column:
     return F.concat(*out)
 
 
-def _month_km(t: DataFrame) -> DataFrame:
-    """Per month: km = sum over entities of (max - min odometer), odometer > 0."""
-    per = t.filter(F.col("odometer_km") > 0).groupBy("entity_id", month_key("date").alias("month")).agg(
-        (F.max("odometer_km") - F.min("odometer_km")).alias("k"))
-    return per.groupBy("month").agg(F.sum("k").cast("double").alias("km"))
-
-
-def _month_places(t: DataFrame) -> DataFrame:
-    return t.filter(F.col("latitude").isNotNull()).groupBy(month_key("date").alias("month")).agg(
-        F.count_distinct(T.grid3("latitude"), T.grid3("longitude")).alias("places"))
-
-
 def _month_spend(tx: DataFrame, sign: int = 1) -> DataFrame:
     return tx.groupBy(month_key("date").alias("month")).agg(
         F.coalesce(F.sum(expense_value(sign)), F.lit(0)).cast("double").alias("spend"))
@@ -123,77 +111,107 @@ def _ranked_list(df: DataFrame, key: str, order: list[Column], n: int, fields: l
     return g.select(key, F.transform("_l", lambda e: e.dropFields("rk")).alias(name))
 
 
+def _report_telemetry(t: DataFrame) -> DataFrame:
+    """Per month from one telemetry scan: km (per vehicle, summed), mean SOC and range,
+    snapshots, distinct cells and the top-5 cells.
+
+    GROUPING SETS ((entity, month), (month, cell)) aggregates both grains in one
+    shuffle; one window per month ranks the cell rows; one month aggregate reads
+    each grain through ``grouping_id`` and folds only the top-5 cells into a list."""
+    soc_ok = F.col("battery_soc").isNotNull()
+    x = t.select("entity_id", month_key("date").alias("month"), T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og"),
+                 F.when(soc_ok, F.col("odometer_km")).alias("odo"), "battery_soc",
+                 F.when(soc_ok, F.col("battery_range_km")).alias("rng"), soc_ok.alias("ok"), "address")
+    g = x.groupingSets([["entity_id", "month"], ["month", "lg", "og"]], "entity_id", "month", "lg", "og").agg(
+        F.max("odo").alias("o1"), F.min("odo").alias("o0"), F.sum("battery_soc").alias("ss"), F.count("battery_soc").alias("sn"),
+        F.sum("rng").alias("rs"), F.count("rng").alias("rn"), F.count_if("ok").alias("n"),
+        F.min("address").alias("address"), F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid"))
+    ent = F.col("gid") == 3
+    cell = (F.col("gid") == 8) & F.col("lg").isNotNull()
+    w = Window.partitionBy("month").orderBy(cell.desc(), F.col("rows").desc(), F.col("lg"), F.col("og"))
+    r = g.withColumn("rk", F.row_number().over(w))
+
+    def on(cond, c):
+        return F.when(cond, c)
+
+    top = on(cell & (F.col("rk") <= 5), F.struct(F.col("rk"), shorten_address("address").alias("name"), F.col("rows").alias("visits")))
+    m = r.groupBy("month").agg(
+        F.sum(on(ent, F.col("o1") - F.col("o0"))).alias("k"), F.sum(on(ent, F.col("ss"))).alias("ss"),
+        F.sum(on(ent, F.col("sn"))).alias("sn"), F.sum(on(ent, F.col("rs"))).alias("rs"), F.sum(on(ent, F.col("rn"))).alias("rn"),
+        F.sum(on(ent, F.col("n"))).alias("snapshots"), F.count(on(cell, F.lit(1))).alias("places"),
+        F.array_sort(F.collect_list(top)).alias("_top"))
+    return m.select(
+        "month", F.coalesce(F.col("k"), F.lit(0)).cast("double").alias("km"),
+        round_half_away(F.try_divide(F.col("ss").cast("double"), F.col("sn").cast("double")), 0).alias("avg_battery"),
+        round_half_away(F.try_divide(F.col("rs").cast("double"), F.col("rn").cast("double")), 0).alias("avg_range"),
+        "snapshots", "places", F.transform("_top", lambda e: e.dropFields("rk")).alias("top_locations"))
+
+
+def _report_finance(tx: DataFrame, sign: int) -> DataFrame:
+    """Per month from one aggregate pass: spend, spend per active day, spend
+    transactions, peak day and the top-8 categories with their share of the largest.
+    GROUPING SETS ((month, date), (month, category)); one window per (month, grain)
+    ranks days and categories; one month aggregate folds the cut lists."""
+    d = tx.select(month_key("date").alias("month"), "date", "category", expense_value(sign).alias("ev"),
+                  F.when(is_expense(sign), F.lit(1)).alias("pos"))
+    g = d.groupingSets([["month", "date"], ["month", "category"]], "month", "date", "category").agg(
+        F.sum("ev").alias("sp"), F.count("pos").alias("npos"), F.grouping_id().alias("gid"))
+    day = F.col("gid") == 1
+    cat = (F.col("gid") == 2) & (F.col("npos") > 0)
+    amount = F.when(day, F.col("sp")).otherwise(F.round("sp", 2))
+    tie = F.when(day, F.col("date").cast("string")).otherwise(F.col("category"))
+    r = g.withColumn("rk", F.row_number().over(Window.partitionBy("month", "gid").orderBy(amount.desc(), tie.asc_nulls_last())))
+    peak = F.when(day & (F.col("rk") == 1) & (F.col("sp") > 0),
+                  F.struct(F.date_format("date", "dd/MM").alias("date"), F.round("sp", 2).cast("double").alias("amount")))
+    top = F.when(cat & (F.col("rk") <= 8), F.struct(F.col("rk"), F.col("category").alias("name"),
+                                                  F.round("sp", 2).cast("double").alias("amount")))
+    m = r.groupBy("month").agg(
+        F.sum(F.when(day, F.col("sp"))).alias("s"), F.count(F.when(day, F.lit(1))).alias("days"),
+        F.sum(F.when(day, F.col("npos"))).alias("spend_transactions"), F.max(peak).alias("top_day"),
+        F.array_sort(F.collect_list(top)).alias("_cats"))
+    cats = F.transform("_cats", lambda e: e.dropFields("rk"))
+    mx = F.coalesce(F.nullif(F.array_max(F.transform(cats, lambda c: c["amount"])), F.lit(0.0)), F.lit(1.0))
+    return m.select(
+        "month", F.coalesce(F.col("s"), F.lit(0)).cast("double").alias("spend"),
+        round_half_away(F.try_divide(F.col("s").cast("double"), F.col("days").cast("double")), 2).alias("avg_per_day"),
+        "spend_transactions", "top_day",
+        F.transform(cats, lambda c: c.withField("pct", py_round0(c["amount"] / mx * 100).cast("bigint"))).alias("categories"))
+
+
+def _report_media(activity: DataFrame) -> DataFrame:
+    """Per month: distinct (title, user, device) stopped and the 8 most recent."""
+    watched = activity.filter(F.col("event_type") == STOP).groupBy(
+        month_key("timestamp").alias("month"), F.col("item_name").alias("title"), F.col("user_name").alias("user"), "device").agg(
+        F.max("timestamp").alias("last"))
+    w = Window.partitionBy("month").orderBy(F.col("last").desc(), F.col("title"), F.col("user"), F.col("device"))
+    r = watched.withColumn("rk", F.row_number().over(w))
+    top = F.when(F.col("rk") <= 8, F.struct(F.col("rk"), F.substring("title", 1, 35).alias("title"), F.col("user"),
+                                             F.substring("device", 1, 20).alias("device")))
+    m = r.groupBy("month").agg(F.count(F.lit(1)).alias("titles"), F.array_sort(F.collect_list(top)).alias("_e"))
+    return m.select("month", "titles", F.transform("_e", lambda e: e.dropFields("rk")).alias("entertainment"))
+
+
 def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int = 1) -> DataFrame:
     """One nested document row per month with every figure of the monthly
     report (stats, places, spend, categories, top expenses, titles, EV cost,
-    daily spend stats, fun fact).
+    daily spend stats, fun fact) for all months in one job.
 
-    All months are computed in one job: each source is reduced to a month-grain
-    aggregate (plus top-k lists cut per month before collecting) and the
-    month-grain pieces are joined on ``month``.
+    One scan per source: telemetry and transactions go through a GROUPING SETS
+    aggregate, a per-month ranking window and one month aggregate; the top
+    expenses need rows and use a partial top-5 per month. Every list is cut to its
+    top-k before it is collected. The month-grain pieces are combined with one
+    union + groupBy.
     """
-    m_t = month_key("date").alias("month")
-    # Telemetry, one pass at (entity, month, cell) grain: stats are per entity and
-    # month (km is per vehicle), places and top cells are per month.
-    soc_ok = F.col("battery_soc").isNotNull()
-    cells_e = t.groupBy("entity_id", m_t, T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og")).agg(
-        F.max(F.when(soc_ok, F.col("odometer_km"))).alias("o1"), F.min(F.when(soc_ok, F.col("odometer_km"))).alias("o0"),
-        F.sum("battery_soc").alias("ss"), F.count("battery_soc").alias("sn"),
-        F.sum(F.when(soc_ok, F.col("battery_range_km"))).alias("rs"), F.count(F.when(soc_ok, F.col("battery_range_km"))).alias("rn"),
-        F.count_if(soc_ok).alias("n"), F.min("address").alias("address"), F.count(F.lit(1)).alias("rows"))
-    st = cells_e.groupBy("entity_id", "month").agg(
-        (F.max("o1") - F.min("o0")).alias("k"), F.sum("ss").alias("ss"), F.sum("sn").alias("sn"),
-        F.sum("rs").alias("rs"), F.sum("rn").alias("rn"), F.sum("n").alias("n")).filter(F.col("n") > 0)
-    stats = st.groupBy("month").agg(
-        F.coalesce(F.sum("k"), F.lit(0)).cast("double").alias("km"),
-        round_half_away(F.try_divide(F.sum("ss").cast("double"), F.sum("sn").cast("double")), 0).alias("avg_battery"),
-        round_half_away(F.try_divide(F.sum("rs").cast("double"), F.sum("rn").cast("double")), 0).alias("avg_range"),
-        F.sum("n").alias("snapshots"))
-
-    cells = cells_e.filter(F.col("lg").isNotNull()).groupBy("month", "lg", "og").agg(
-        F.min("address").alias("address"), F.sum("rows").alias("visits"))
-    places = cells.groupBy("month").agg(F.count(F.lit(1)).alias("places"))
-    top_locs = _ranked_list(cells, "month", [F.col("visits").desc(), F.col("lg"), F.col("og")], 5,
-                            [shorten_address("address").alias("name"), F.col("visits")], "top_locations")
-
-    # Transactions, one aggregate pass at (month, date, category) grain gives both the
-    # daily figures and the category totals; the top expenses need rows (top-k cut).
-    m_d = month_key("date").alias("month")
-    dc = tx.groupBy(m_d, "date", "category").agg(F.sum(expense_value(sign)).alias("day_spend"),
-                                                 F.count(F.when(is_expense(sign), F.lit(1))).alias("n_pos"))
-    daily = dc.groupBy("month", "date").agg(F.sum("day_spend").alias("day_spend"), F.sum("n_pos").alias("n_pos"))
-    fin = daily.groupBy("month").agg(
-        F.coalesce(F.sum("day_spend"), F.lit(0)).cast("double").alias("spend"),
-        round_half_away(F.try_divide(F.sum("day_spend").cast("double"), F.count(F.lit(1)).cast("double")), 2).alias("avg_per_day"),
-        F.sum("n_pos").alias("spend_transactions"))
-    peak = _ranked_list(daily.filter(F.col("day_spend") > 0), "month", [F.col("day_spend").desc(), F.col("date")], 1,
-                        [F.date_format("date", "dd/MM").alias("date"), F.round("day_spend", 2).cast("double").alias("amount")], "peak")
-    peak = peak.select("month", F.get("peak", 0).alias("top_day"))
-
-    cats = dc.filter(F.col("n_pos") > 0).groupBy("month", F.col("category").alias("name")).agg(
-        F.round(F.sum("day_spend"), 2).cast("double").alias("amount"))
-    cat_list = _ranked_list(cats, "month", [F.col("amount").desc(), F.col("name").asc_nulls_last()], 8,
-                            [F.col("name"), F.col("amount")], "categories")
-    cat_list = cat_list.select("month", F.transform("categories", lambda c: c.withField(
-        "pct", py_round0(c["amount"] / F.coalesce(F.nullif(F.array_max(F.transform("categories", lambda x: x["amount"])), F.lit(0.0)), F.lit(1.0)) * 100).cast("bigint"))).alias("categories"))
-
-    exps = tx.filter(is_expense(sign)).select(m_d, "id", "description", "amount", "category")
+    exps = tx.filter(is_expense(sign)).select(month_key("date").alias("month"), "id", "description", "amount", "category")
     exp_list = _ranked_list(exps, "month", [F.abs("amount").desc(), F.col("id")], 5,
                             [F.substring("description", 1, 40).alias("desc"), F.round(F.abs("amount"), 2).cast("double").alias("amount"),
                              F.col("category")], "top_expenses")
+    doc = assemble_by_key([_report_telemetry(t), _report_finance(tx, sign), exp_list, _report_media(activity)], "month")
+    return _report_document(doc)
 
-    watched = activity.filter(F.col("event_type") == STOP).groupBy(
-        month_key("timestamp").alias("month"), F.col("item_name").alias("title"), F.col("user_name").alias("user"), "device").agg(
-        F.max("timestamp").alias("last"))
-    titles = watched.groupBy("month").agg(F.count(F.lit(1)).alias("titles"))
-    ent = _ranked_list(watched, "month", [F.col("last").desc(), F.col("title"), F.col("user"), F.col("device")], 8,
-                       [F.substring("title", 1, 35).alias("title"), F.col("user"), F.substring("device", 1, 20).alias("device")],
-                       "entertainment")
-
-    # Month-grain pieces (bounded by the calendar) combined with one shuffle; the
-    # month spine is every month with telemetry, transactions or watched titles.
-    doc = assemble_by_key([cells_e.select("month"), stats, places, top_locs, fin, peak, cat_list, exp_list, titles, ent], "month")
 
+def _report_document(doc: DataFrame) -> DataFrame:
+    """Derived figures of the report document: EV cost, fun fact, period label."""
     km = F.coalesce(F.col("km"), F.lit(0.0))
     ev = F.bround(km / F.lit(T.EV_KM_PER_KWH) * F.lit(T.PRICE_PER_KWH), 2)
     gas = F.bround(km / F.lit(T.FUEL_KM_PER_L) * F.lit(T.FUEL_PRICE_PER_L), 2)

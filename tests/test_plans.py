@@ -47,8 +47,9 @@ def test_column_pruning(spark):
     assert any("o_totalprice" in s and "o_orderpriority" not in s for s in scans), scans
 
 
-def test_monthly_summary_reads_telemetry_once(spark):
-    df = QUERIES["monthly_summary"](spark, SF_SMALL)
+@pytest.mark.parametrize("key", ["monthly_summary", "wrapped_report"])
+def test_reports_read_telemetry_once(spark, key):
+    df = QUERIES[key](spark, SF_SMALL)
     df.collect()  # the final adaptive plan shows exchange reuse
     p = plan(df).split("== Initial Plan ==")[0]
     scans = [l for l in p.splitlines() if "FileScan parquet" in l and "ReadSchema" in l and "o_orderkey" in l.split("ReadSchema")[1]]
