@@ -35,10 +35,14 @@ def watch_sessions(activity: DataFrame, bucket: str = "day") -> DataFrame:
     and first play of each bucket) carries the answer across bucket boundaries.
     """
     k = ["user_name", "item_name"]
-    ev = activity.filter(F.col("event_type").isin(PLAY, STOP) & F.col("user_name").isNotNull() & F.col("item_name").isNotNull())
+    ev = activity.filter(F.col("event_type").isin(PLAY, STOP) & F.col("user_name").isNotNull() & F.col("item_name").isNotNull()
+                         & F.col("timestamp").isNotNull())
     ev = ev.select(*k, "device", "timestamp",
                    (F.col("event_type") == F.lit(PLAY)).alias("is_play"),
                    F.date_trunc(bucket, F.col("timestamp")).alias("bkt"))
+    # One shuffle on (user, item, bucket) feeds both the per-bucket carry and the
+    # window (the identical exchange is reused): the events are read once.
+    ev = ev.repartition(*k, "bkt")
     stop_ts = F.when(~F.col("is_play"), F.col("timestamp"))
     play_ts = F.when(F.col("is_play"), F.col("timestamp"))
 

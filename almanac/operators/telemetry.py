@@ -222,14 +222,16 @@ def _with_prev(t: DataFrame, cols: list[str], since=None) -> DataFrame:
     last_of = F.max(F.struct(F.col("timestamp"), *[F.col(c) for c in cols])).alias("last")
     if since is not None:
         start = as_date(since)
-        rows = base.filter(recent_window("date", start, 0, "timestamp"))
+        rows = base.filter(recent_window("date", start, 0, "timestamp") & F.col(E).isNotNull()).repartition(E, "date")
         days = rows.groupBy(E, "date").agg(last_of)
-        older = base.filter(F.col("date") < F.lit(start)).groupBy(E).agg(last_of).withColumn(
+        older = base.filter((F.col("date") < F.lit(start)) & F.col(E).isNotNull()).groupBy(E).agg(last_of).withColumn(
             "date", F.lit(start - _dt.timedelta(days=1)))
         days = days.unionByName(older.select(E, "date", "last"))
     else:
-        rows = base
-        days = base.groupBy(E, "date").agg(last_of)
+        # One shuffle of the rows on (entity, day) feeds both the window and the per-day
+        # carry (the identical exchange is reused), so telemetry is read once.
+        rows = base.filter(F.col(E).isNotNull() & F.col("timestamp").isNotNull()).repartition(E, "date")
+        days = rows.groupBy(E, "date").agg(last_of)
     carry = days.select(E, "date", F.lag("last").over(Window.partitionBy(E).orderBy("date")).alias("carry"))
     x = rows.join(carry, [E, "date"], "left")
     w = Window.partitionBy(E, "date").orderBy("timestamp")
