@@ -11,9 +11,11 @@ TIMESTAMP, so it is cast at the streaming edge only (session zone UTC).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -82,7 +84,9 @@ def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq
             return
         try:
             target = spark.read.parquet(target_path).filter(F.col(part_col).isin(parts))
-        except Exception:  # noqa: BLE001 -- first batch: no table yet
+        except AnalysisException as e:  # first batch: the table does not exist yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
             target = spark.createDataFrame([], batch.drop(seq).schema)
         if mode == "ignore":
             merged = MG.insert_or_ignore(target, batch.select(*target.columns, seq), keys, seq)
@@ -92,7 +96,7 @@ def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq
             merged = MG.upsert(target, batch.select(*target.columns, seq), keys, update_cols or [], seq)
         else:
             raise ValueError(mode)
-        staging = f"{checkpoint_dir(spark).rstrip('/')}/staging/{abs(hash(target_path))}/{batch_id}"
+        staging = f"{checkpoint_dir(spark).rstrip('/')}/staging/{zlib.crc32(target_path.encode()):08x}/{batch_id}"
         MG.write_partitions(merged, target_path, part_col, staging=staging)
 
     return run
