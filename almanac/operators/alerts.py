@@ -86,18 +86,20 @@ def alert_cooldown(log: DataFrame, cooldown_sec: int = COOLDOWN_SEC, service: st
     heads = prev.filter(F.col("prev").isNull() | (F.col("ts") >= F.col("prev") + gap)).select("service", "ts")
     nxt = next_at_or_after(errors, cooldown_sec)
     head_keys = heads.select("service", F.col("ts").alias("nxt"), F.lit(True).alias("_head"))
-    jump = nxt.join(head_keys, ["service", "nxt"], "left").select(
-        "service", "ts", F.when(F.col("_head").isNull(), F.col("nxt")).alias("j"))
+    # Only nodes that still have a successor are kept: a missing key reads as NULL in
+    # the left self-join below, and the table shrinks every round.
+    jump = nxt.join(head_keys, ["service", "nxt"], "left").filter(F.col("_head").isNull() & F.col("nxt").isNotNull()).select(
+        "service", "ts", F.col("nxt").alias("j"))
     alerts = heads
     if checkpoint:
         jump, alerts = jump.checkpoint(), alerts.checkpoint()
     for _ in range(MAX_ROUNDS):
-        if jump.filter(F.col("j").isNotNull()).limit(1).count() == 0:
+        if jump.limit(1).count() == 0:
             break  # no node has a successor 2^k steps ahead: every chain is complete
-        step = alerts.join(jump, ["service", "ts"]).filter(F.col("j").isNotNull()).select("service", F.col("j").alias("ts"))
+        step = alerts.join(jump, ["service", "ts"]).select("service", F.col("j").alias("ts"))
         alerts = alerts.unionByName(step).distinct()
         # J_{k+1}(x) = J_k(J_k(x)): a join on the unique key (service, ts).
-        jump = jump.alias("a").join(jump.alias("b"), (F.col("a.service") == F.col("b.service")) & (F.col("a.j") == F.col("b.ts")), "left") \
+        jump = jump.alias("a").join(jump.alias("b"), (F.col("a.service") == F.col("b.service")) & (F.col("a.j") == F.col("b.ts"))) \
             .select(F.col("a.service").alias("service"), F.col("a.ts").alias("ts"), F.col("b.j").alias("j"))
         if checkpoint:
             # Both plans would grow every round (the jump plan doubles); cut them.
