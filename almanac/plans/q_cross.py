@@ -32,9 +32,22 @@ def q_monthly_summary(spark, sf):
     return C.monthly_summary(*_inputs(spark, sf))
 
 
-@register("monthly_summary_zero", W + f"""
-select month, km, coalesce(places, 0) as places, coalesce(spend, 0) as spend, coalesce(titles, 0) as titles
-from ({MONTHLY})""", "cross")
+# The correlated scalar-subquery form of the same view (missing month -> 0 for the
+# counts and the COALESCE'd sum, NULL for km): checks J1 + zero fill against J2.
+CORRELATED = f"""
+select m.month,
+  (select cast(sum(k) as double) from (select o2.entity_id, max(o2.odometer_km) - min(o2.odometer_km) as k from telemetry_long o2
+     where strftime(o2.date, '%Y-%m') = m.month and o2.odometer_km > 0 group by o2.entity_id)) as km,
+  (select count(distinct cast(round(o2.latitude, 3) as varchar) || ',' || cast(round(o2.longitude, 3) as varchar)) from telemetry_long o2
+     where strftime(o2.date, '%Y-%m') = m.month and o2.latitude is not null) as places,
+  (select cast(coalesce(sum(case when t.amount > 0 then t.amount else 0 end), 0) as double) from transactions t
+     where strftime(t.date, '%Y-%m') = m.month) as spend,
+  (select count(distinct a.item_name) from media_activity_long a
+     where a.event_type = 'VideoPlaybackStopped' and strftime(a.timestamp, '%Y-%m') = m.month) as titles
+from (select distinct strftime(date, '%Y-%m') as month from telemetry_long) m"""
+
+
+@register("monthly_summary_zero", W + CORRELATED, "cross")
 def q_monthly_summary_zero(spark, sf):
     return C.monthly_summary(*_inputs(spark, sf), fill_zero=True)
 
