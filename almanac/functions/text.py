@@ -42,7 +42,13 @@ def truncate(x, n: int) -> Column:
     return F.substring(_c(x), 1, n)
 
 
+# An incomplete UTF-8 sequence at the end of a byte string, in hex: a lead byte with
+# fewer continuation bytes than it announces (anchored at the end, so pair-aligned).
+_PARTIAL_UTF8_HEX = r"(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-7](?:[89AB][0-9A-F]){0,2})$"
+
+
 def truncate_bytes(x, n: int) -> Column:
-    """First ``n`` UTF-8 bytes (a cut inside a character drops that character)."""
-    b = F.encode(_c(x), "UTF-8")
-    return F.decode(F.substring(b, 1, n), "UTF-8")
+    """First ``n`` UTF-8 bytes (``head -c``); a character cut in the middle is dropped
+    instead of producing invalid text."""
+    cut = F.hex(F.substring(F.encode(_c(x), "UTF-8"), 1, n))
+    return F.decode(F.unhex(F.regexp_replace(cut, _PARTIAL_UTF8_HEX, "")), "UTF-8")

@@ -174,7 +174,8 @@ def outgoing_messages(events: DataFrame, routes: DataFrame, default_urls: list[s
 def extract_intent(text: Column) -> dict[str, Column]:
     """P25: the JSON object inside noisy text (first '{' to last '}') -> action, query,
     id. Invalid or absent JSON -> action 'none'; an action outside the closed list is
-    kept as 'none' as well."""
+    kept as 'none' as well. (Spark's parser accepts a valid object followed by extra
+    text inside the braces span, which Python's ``json.loads`` rejects.)"""
     obj = F.regexp_substr(text, F.lit(r"\{[\s\S]*\}"))
     v = F.try_parse_json(obj)
     parsed = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")

@@ -361,3 +361,40 @@ def test_write_srt_files_equal_content(spark, tmp_path):
         if d.name.startswith("file="):
             got[d.name[5:]] = "".join(p.read_text() for p in sorted(d.glob("part-*")))
     assert got == expected
+
+
+def test_text_helpers(spark):
+    from almanac.functions.text import fmt_number, shorten_address, slug, truncate_bytes
+
+    n = spark.createDataFrame([(1234.5,), (1234.0,), (None,), (1234567.891,)], "x double")
+    assert [r[0] for r in n.select(fmt_number(F.col("x"))).collect()] == ["1.234,50", "1.234", "0", "1.234.567,89"]
+    a = spark.createDataFrame([("Rua A, 10, Centro, City",), ("Rua A, City",), (None,), ("",)], "a string")
+    assert [r[0] for r in a.select(shorten_address(F.col("a"))).collect()] == ["Rua A, Centro", "Rua A", "Local desconhecido", "Local desconhecido"]
+    sl = spark.createDataFrame([(" @John Doe! ",), ("",), ("--",), ("Ana_B",)], "s string")
+    assert [r[0] for r in sl.select(slug(F.col("s"))).collect()] == ["john-doe", "unknown", "unknown", "ana-b"]
+    b = spark.createDataFrame([("ação",), ("a€b",), ("abc",)], "s string")
+    assert [r[0] for r in b.select(truncate_bytes(F.col("s"), 4)).collect()] == ["aç", "a€", "abc"]
+    assert [r[0] for r in b.select(truncate_bytes(F.col("s"), 3)).collect()] == ["aç", "a", "abc"]
+
+
+def test_month_range():
+    from almanac.functions.dates import month_range
+
+    assert month_range(None, "2001-08-01") == (dt.date(2001, 7, 1), dt.date(2001, 8, 1), "Julho 2001")
+    assert month_range("2023-12") == (dt.date(2023, 12, 1), dt.date(2024, 1, 1), "Dezembro 2023")
+    assert month_range(None, "2024-01-15")[2] == "Dezembro 2023"
+
+
+def test_extract_intent(spark):
+    from almanac.operators import routing as RT
+
+    df = spark.createDataFrame([
+        ('ok: {"action": "arr_search_movie", "query": "dune", "id": 0} done',),
+        ('{"action": "format_disk"}',),
+        ("no json here",),
+        ('{"action": "help", broken',),
+        ('{"query": "x", "id": 7}',),
+    ], "t string")
+    i = RT.extract_intent(F.col("t"))
+    got = [tuple(r) for r in df.select(i["action"], i["query"], i["id"]).collect()]
+    assert got == [("arr_search_movie", "dune", "0"), ("none", "", ""), ("none", "", ""), ("none", "", ""), ("none", "x", "7")]
