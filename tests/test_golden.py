@@ -398,3 +398,22 @@ def test_extract_intent(spark):
     i = RT.extract_intent(F.col("t"))
     got = [tuple(r) for r in df.select(i["action"], i["query"], i["id"]).collect()]
     assert got == [("arr_search_movie", "dune", "0"), ("none", "", ""), ("none", "", ""), ("none", "", ""), ("none", "x", "7")]
+
+
+def test_file_inventory_and_candidates(spark, tmp_path):
+    import os
+
+    from almanac.operators import jobs as JB
+    from almanac.sources.files import file_inventory
+
+    (tmp_path / "lib").mkdir()
+    files = {"a.mkv": 3000, "b.MP4": 2500, "c.srt": 5000, ".hidden.mkv": 4000, "d.oc-tmp.mkv": 4000, "e.mkv.part": 4000, "small.avi": 10}
+    for name, size in files.items():
+        p = tmp_path / "lib" / name
+        p.write_bytes(b"x" * size)
+        os.utime(p, (1_700_000_000, 1_700_000_000))
+    inv = file_inventory(spark, str(tmp_path), "2023-11-15 00:00:00")
+    plan = inv._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]  # contents are not read
+    got = sorted(os.path.basename(r["path"]) for r in JB.file_candidates(inv, 1000, 1).collect())
+    assert got == ["a.mkv", "b.MP4"]
