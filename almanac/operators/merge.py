@@ -42,10 +42,10 @@ def insert_or_replace(target: DataFrame, batch: DataFrame, keys: list[str], seq:
     if refresh_col and refresh_col in cols:
         stamp = F.localtimestamp() if now is None else ntz(now)
         b = b.withColumn(refresh_col, stamp)
-    t = target.withColumn("_src", F.lit(0)).withColumn("_seq", F.lit(0).cast("long"))
-    b = b.withColumn("_src", F.lit(1)).withColumn("_seq", F.col(seq).cast("long")).drop(seq)
-    u = t.unionByName(b.select(*cols, "_src", "_seq"))
-    return pick_per_key(u, keys, ["_src", "_seq"], highest=True).select(*cols)
+    t = target.select(*cols, F.lit(0).alias("__merge_src"), F.lit(0).cast("long").alias("__merge_seq"))
+    b = b.select(*cols, F.lit(1).alias("__merge_src"), F.col(seq).cast("long").alias("__merge_seq"))
+    u = t.unionByName(b)
+    return pick_per_key(u, keys, ["__merge_src", "__merge_seq"], highest=True).select(*cols)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: list[str], seq: str | None = None) -> DataFrame:

@@ -68,7 +68,7 @@ def stream_telemetry(spark: SparkSession, landing: str, sink: str, name: str = "
 
 # ---------------------------------------------------------------- ST2
 
-def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq: str = "_seq",
+def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq: str = "_arrival",
                 update_cols: list[str] | None = None):
     """ST2: a ``foreachBatch`` function merging each micro-batch into a partitioned
     parquet table (``mode`` = ignore | replace | upsert). Only the partitions the batch
@@ -242,8 +242,17 @@ def daily_summary_stream(telemetry: DataFrame, lateness: str = "1 day") -> DataF
         (F.col("o1") - F.col("o0")).cast("double").alias("km"), "charging_snapshots", "snapshots")
 
 
-def stream_daily_summary(spark: SparkSession, telemetry_path: str, schema, sink: str, name: str = "daily_summary") -> DataStreamWriter:
+def stream_daily_summary(spark: SparkSession, telemetry_path: str, schema, sink: str, name: str = "daily_summary",
+                         mode: str = "append") -> DataStreamWriter:
+    """ST6 sink. ``append``: each day is written once, after the watermark passes it.
+    ``update``: every micro-batch's changed (entity, day) rows replace their previous
+    version in a month-partitioned parquet table (idempotent merge per batch), so the
+    table always holds the running figures of open days too."""
     src = spark.readStream.schema(schema).parquet(telemetry_path)
     q = daily_summary_stream(src)
-    return (q.writeStream.format("parquet").option("path", sink).option("checkpointLocation", stream_checkpoint(spark, name))
-            .outputMode("append"))
+    ck = stream_checkpoint(spark, name)
+    if mode == "update":
+        q = q.withColumn("month", F.date_format("date", "yyyy-MM"))
+        return (q.writeStream.outputMode("update").option("checkpointLocation", ck)
+                .foreachBatch(upsert_sink(sink, ["entity_id", "date"], "replace", "month")))
+    return q.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck).outputMode("append")

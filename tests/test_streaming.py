@@ -126,3 +126,17 @@ def test_stream_upsert_is_idempotent(spark):
         assert got.count() == p.count()
         doubled = got.filter(F.col("date") >= "2024-01-15").join(p.select("user_name", "date", F.col("minutes_watched").alias("m0")), ["user_name", "date"])
         assert doubled.filter(F.col("minutes_watched") != F.col("m0") * 2).count() == 0
+
+
+def test_stream_daily_summary_update_mode_covers_every_day(spark):
+    from almanac.operators.telemetry import telemetry_daily_summary
+
+    base = tempfile.mkdtemp(prefix="st6u-", dir="/tmp")
+    t = FX.load(spark, SF_SMALL, "telemetry")
+    for i, (a, b) in enumerate(RANGES):  # landed in three increments
+        t.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)).write.mode("append").parquet(f"{base}/tel")
+    run(J.stream_daily_summary(spark, f"{base}/tel", t.schema, f"{base}/out", name=f"du-{os.path.basename(base)}", mode="update"))
+    got = spark.read.parquet(f"{base}/out").drop("month")
+    exp = telemetry_daily_summary(t)
+    assert got.count() == exp.count()
+    assert sorted(map(tuple, got.select(*exp.columns).collect())) == sorted(map(tuple, exp.collect()))
