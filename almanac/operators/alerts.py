@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.session import cut_lineage
+
 
 # Error patterns that call for a restart; cooldown and window seconds.
 ERROR_PATTERNS = r"(?i)tick timeout|device nonce required|gateway connect failed"
@@ -80,7 +82,8 @@ def alert_cooldown(log: DataFrame, cooldown_sec: int = COOLDOWN_SEC, service: st
     """
     errors = error_events(log, service, ts, line)
     if checkpoint:
-        errors = errors.checkpoint()
+        # The error set comes from a full log scan: computed once (cache + checkpoint).
+        errors = cut_lineage(errors)
     gap = F.make_dt_interval(secs=F.lit(cooldown_sec))
     prev = previous_error(errors)
     heads = prev.filter(F.col("prev").isNull() | (F.col("ts") >= F.col("prev") + gap)).select("service", "ts")

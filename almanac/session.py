@@ -93,3 +93,15 @@ def ensure_parallelism(df, factor: int = 1):
     except Exception:  # noqa: BLE001 -- Spark Connect exposes no RDD; leave the plan as is
         return df
     return df.repartition(target) if n < target else df
+
+
+def cut_lineage(df):
+    """Reliable checkpoint (files in the shared ``spark.checkpoint.dir``) computed once:
+    the plan is cached so the checkpoint's count and its write read the same blocks,
+    and the cache is released as soon as the files exist."""
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
