@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.dates import month_key, month_label
-from almanac.functions.numeric import avg_exact, py_round0, round_half_away
+from almanac.functions.numeric import py_round0, round_half_away
 from almanac.functions.text import fmt_number, shorten_address
 from almanac.operators import telemetry as T
-from almanac.operators.common import assemble_by_key, top_n_per
+from almanac.operators.common import assemble_by_key
 from almanac.operators.media import STOP
 from almanac.operators.transactions import expense_value, is_expense
 

@@ -8,7 +8,7 @@ rewritten (the merge reads those partitions only, see ``touched_partitions``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.dates import ntz
