@@ -96,13 +96,13 @@ def _pyround(x, n):
            sum(battery_soc) as ss, count(battery_soc) as sn, sum(battery_range_km) as rs, count(battery_range_km) as rn, count(*) as n
          from telemetry_long where battery_soc is not null group by 1, 2),
 stats as (select month, cast(coalesce(sum(k), 0) as double) as km, round(cast(sum(ss) as double) / sum(sn), 0) as avg_battery,
-            round(cast(sum(rs) as double) / sum(rn), 0) as avg_range, sum(n) as snapshots from st group by month),
+            round(cast(sum(rs) as double) / sum(rn), 0) as avg_range, cast(sum(n) as bigint) as snapshots from st group by month),
 cells as (select strftime(date, '%Y-%m') as month, count(distinct (round(latitude, 3), round(longitude, 3))) as places
           from telemetry_long where latitude is not null group by 1),
 daily as (select strftime(date, '%Y-%m') as month, date, sum(case when amount > 0 then amount else 0 end) as day_spend,
             count(case when amount > 0 then 1 end) as n_pos from transactions group by 1, 2),
 fin as (select month, cast(coalesce(sum(day_spend), 0) as double) as spend, round(cast(sum(day_spend) as double) / count(*), 2) as avg_per_day,
-          sum(n_pos) as spend_transactions from daily group by month),
+          cast(sum(n_pos) as bigint) as spend_transactions from daily group by month),
 cats as (select strftime(date, '%Y-%m') as month, category as name, cast(round(sum(abs(amount)), 2) as double) as amount
          from transactions where amount > 0 group by 1, 2),
 topcat as (select month, arg_max(name, amount) as name, max(amount) as amount from (

@@ -140,7 +140,7 @@ def q_extract_intent(spark, sf):
 
 # ---------------------------------------------------------------- subtitles
 SRT_BLOCKS = """select 'conv' || conv_id || case when turn >= 500 then '.p' || cast(floor(turn / 500) as bigint) else '' end || '.en.srt' as file,
-  conv_id, cast(row_number() over (partition by conv_id, floor(turn / 500) order by turn) - 1 as bigint) as pos, cast(turn + 1 as int) as idx,
+  conv_id, cast(row_number() over (partition by conv_id, floor(turn / 500) order by turn) - 1 as integer) as pos, cast(turn + 1 as int) as idx,
   '00:00:' || turn || ',000 --> 00:00:' || turn || ',900' as ts, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text
 from conversations"""
 
@@ -186,7 +186,8 @@ def q_translation_resolve(spark, sf):
 @register("translation_progress", RESOLVED + """
 , pb as (select file, batch, count(*) as n, count(*) filter (where used_retry) as r, count(*) filter (where used_fallback) as fb,
    count(*) filter (where batch_text is not null) as got from f group by file, batch)
-select file, sum(n) as done, sum(n) as total, sum(r) as retry, sum(fb) as fallback, count(*) filter (where got = 0) as errors
+select file, cast(sum(n) as bigint) as done, cast(sum(n) as bigint) as total, cast(sum(r) as bigint) as retry,
+  cast(sum(fb) as bigint) as fallback, count(*) filter (where got = 0) as errors
 from pb group by file""".replace("\n, pb as", ", pb as", 1), "subtitles")
 def q_translation_progress(spark, sf):
     return SB.translation_progress(_resolved(spark, sf))

@@ -133,7 +133,7 @@ def q_battery_daily_30d(spark, sf):
 
 
 @register("soc_by_weekday", W + f"""
-select entity_id, dayofweek(date) as weekday_no,
+select entity_id, cast(dayofweek(date) as integer) as weekday_no,
   {T.WEEKDAYS_PT!r}[dayofweek(date)+1] as weekday,
   round({avg('battery_soc')}, 1) as avg_soc, count(*) as snapshots
 from telemetry where date >= date '{AS_OF}' - interval 90 day group by entity_id, dayofweek(date)""".replace("'Domingo', ", "'Domingo', ").replace('"', "'"), "telemetry")

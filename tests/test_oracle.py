@@ -62,3 +62,16 @@ def test_results_do_not_depend_on_time_zones(spark, duck):
             os.environ["TZ"] = old_tz
         time.tzset()
         spark.conf.set("spark.sql.session.timeZone", old_session)
+
+
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+
+
+@pytest.mark.parametrize("key", sorted(ORACLE))
+def test_column_types_match_oracle(spark, duck, key):
+    spark_types = {f.name: f.dataType.simpleString() for f in QUERIES[key](spark, SF_ORACLE).schema.fields}
+    duck_types = {c[0]: str(c[1]) for c in duck.execute(f"describe {ORACLE[key]}").fetchall()}
+    for col, t in spark_types.items():
+        expected = t.upper() if t.startswith("decimal") else DUCK_TYPE.get(t, t)
+        assert duck_types.get(col) == expected, f"{key}.{col}: spark {t} / oracle {duck_types.get(col)}"
