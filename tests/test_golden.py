@@ -417,3 +417,16 @@ def test_file_inventory_and_candidates(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[-1]  # contents are not read
     got = sorted(os.path.basename(r["path"]) for r in JB.file_candidates(inv, 1000, 1).collect())
     assert got == ["a.mkv", "b.MP4"]
+
+
+def test_view_catalogue_and_sql(spark):
+    from almanac.sources import sinks as SK
+    from tests.conftest import SF_SMALL
+
+    names = SK.register_views(spark, SF_SMALL)
+    listed = {t.name for t in spark.catalog.listTables()}
+    assert set(names) <= listed
+    n = SK.sql(spark, "select count(*) as n from telemetry where is_charging").collect()[0]["n"]
+    assert n == spark.table("telemetry").filter("is_charging").count() > 0
+    rows = SK.to_json_rows(SK.sql(spark, "select count(*) as n from transactions")).collect()
+    assert rows[0]["json"].startswith('{"columns":[{"text":"n","type":"string"}],"rows":[[')
