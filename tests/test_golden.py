@@ -430,3 +430,13 @@ def test_view_catalogue_and_sql(spark):
     assert n == spark.table("telemetry").filter("is_charging").count() > 0
     rows = SK.to_json_rows(SK.sql(spark, "select count(*) as n from transactions")).collect()
     assert rows[0]["json"].startswith('{"columns":[{"text":"n","type":"string"}],"rows":[[')
+
+
+def test_ensure_parallelism(spark):
+    from almanac.session import ensure_parallelism
+
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 1000, numPartitions=1)
+    assert ensure_parallelism(one).rdd.getNumPartitions() == cores
+    many = spark.range(0, 1000, numPartitions=cores * 2)
+    assert ensure_parallelism(many) is many
