@@ -8,13 +8,16 @@ only the effort), and a document lies in the region of each of its first n - cei
 Documents within the threshold share one of these regions. Inside the regions:
 
 * equal sets are one point from the start;
-* every point's home pivot is the document that centres most of its regions (the nearest in shared
-  shingles); the distance to it is computed exactly, and points within the threshold are linked;
-* a region whose points are all in one component is done. In the others pivots are taken from all
-  but the largest component, the triangle inequality leaves those points whose distance to the home
-  pivot they share differs by no more than the threshold (and whose sizes allow a link), the pairs
-  are computed exactly, and the pivots leave the region. Each round takes four times as many pivots;
-  rounds go on until no region is left, so no link between different texts is lost.
+* every point's home pivot is the one, among the centres of its regions, that it shares most regions
+  with; the distance to it is computed exactly, and points within the threshold are linked;
+* a region whose points are all in one component is done. In the others some points become pivots:
+  they are compared with all points of other components and then leave the region. The first rounds
+  take pivots from the region's largest component, later ones from the rest, four times as many each
+  round, until no region is left: no link between different texts is lost;
+* before a pair is computed it must pass bounds that no link can miss: the sizes; the triangle
+  inequality, if both points have the same home pivot; and the distance of the two sets' images in a
+  small space (how many of a set's shingles fall on each of 64 cells): the image's weighted Jaccard
+  distance is a metric too and never above the sets' own.
 
 Defined results: null text, or text without words, has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle; rows with a null doc_id have a null component and link
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.links import components
@@ -39,6 +42,10 @@ from almanac.llm.words import digest, groups, mix, sequences
 SHINGLE, PERCENT = 4, 85
 #: Counters of the sketch, a power of two, and the blocks that it is summed in.
 COUNTERS, BLOCKS = 1 << 20, 64
+#: Cells of a set's image.
+CELLS = 64
+#: Rounds that take pivots from the largest component of a region.
+INNER_ROUNDS = 2
 
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -87,22 +94,24 @@ def point(own: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, the set's point, and the shingles whose regions the document lies in."""
+    """doc_id, n, the set's point, the shingles whose regions the document lies in, and the set's image."""
     order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
-            n, points, prefixes = [], [], []
+            n, points, prefixes, images = [], [], [], []
             for own in shingle_sets(texts, size):
                 k = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
                 rank = order.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 n.append(len(own))
                 points.append(point(own))
                 prefixes.append(own[np.lexsort((own, rank))[:k]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "point", "prefix"])
+                images.append(np.bincount((own >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32))
+            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(images, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "point", "prefix", "image"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, point long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, point long, prefix array<long>, image array<int>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -128,6 +137,35 @@ def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def may_link(percent: int) -> Column:
+    """Bounds on (n, image) and (pn, pimage) that every link meets."""
+    sizes = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    common = F.aggregate(F.zip_with("image", "pimage", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda s, x: s + x)
+    return sizes & ((100 + percent) * common >= percent * (F.col("n") + F.col("pn")))
+
+
+class Sets:
+    """The shingles of points, read from the texts when they are first asked for."""
+
+    def __init__(self, docs: DataFrame, owners: DataFrame, size: int):
+        self.docs, self.owners, self.size = docs, owners, size
+        self.table: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("point")).unionByName(pairs.select(F.col("b").alias("point"))).distinct()
+        if self.table is not None:
+            wanted = wanted.join(self.table.select("point"), "point", "left_anti")
+        wanted = materialize(wanted.join(self.owners, "point"), "wanted")
+        n = wanted.count()
+        if n or self.table is None:
+            found = sets_of(only_with(self.docs, wanted.select(F.col("first").alias("doc_id")).distinct(), ["doc_id"], n), self.size)
+            points = wanted.select("point")
+            found = found.join(F.broadcast(points) if n <= BROADCAST_IDS else points, "point", "left_semi").dropDuplicates(["point"])
+            found = materialize(found, "shingles")
+            self.table = found if self.table is None else self.table.unionByName(found)
+        return self.table
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     bounded_batches(docs.sparkSession)
@@ -136,52 +174,53 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     real = about.where("n > 0 and doc_id is not null")
     points = materialize(real.groupBy("point").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "points")
     single = real.join(points.where("copies > 1").select("point", "first"), "point", "left").where("first is null or first = doc_id")
-    members = single.select(F.explode("prefix").alias("token"), "point", "n", "doc_id")
-    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    region = materialize(members.join(sizes, "token"), "regions")
-    wanted = materialize(region.select("point", "doc_id").distinct(), "wanted")
-    sets = sets_of(only_with(docs, wanted.select("doc_id").distinct(), ["doc_id"]), size)
-    sets = materialize(sets.join(wanted.select("point").distinct(), "point", "left_semi").dropDuplicates(["point"]), "shingles")
-    region = region.select("token", "point", "n").distinct()
-
-    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    least_point = F.struct("point", F.col("n").alias("pn"))
-    centre = region.groupBy("token").agg(F.min(least_point).alias("c")).select("token", F.col("c.point").alias("pivot"), F.col("c.pn").alias("pn"))
-    shared = region.join(centre, "token").where(fits).where("point <> pivot").groupBy("point", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    homes = shared.groupBy("point").agg(F.max(F.struct("k", "pivot")).alias("h")).select("point", F.col("h.pivot").alias("pivot"))
-    homes = materialize(homes, "homes")
-    known = materialize(distances(homes.select(*ordered("point", "pivot")).distinct(), sets), "pairs")
+    members = single.select(F.explode("prefix").alias("token"), "point")
+    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("point").alias("pivot")).where("k > 1").select("token", "pivot")
+    region = materialize(members.join(shared, "token").distinct(), "regions")
+    images = single.select("point", "n", "image").dropDuplicates(["point"])
+    images = materialize(images.join(region.select("point").distinct(), "point", "left_semi"), "images")
+    sets = Sets(docs, points.select("point", "first"), size)
     close = F.expr(f"100 * common >= {percent} * either")
+    pivots_ = images.select(F.col("point").alias("pivot"), F.col("n").alias("pn"), F.col("image").alias("pimage"))
+
+    pairs = region.where("point <> pivot").groupBy("point", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.join(images, "point").join(pivots_, "pivot").where(may_link(percent))
+    homes = materialize(pairs.groupBy("point").agg(F.max(F.struct("k", "pivot")).alias("h")).select("point", F.col("h.pivot").alias("pivot")), "homes")
+    first = materialize(homes.select(*ordered("point", "pivot")).distinct(), "pairs")
+    known = materialize(distances(first, sets.of(first)), "pairs")
     links = known.where(close).select("a", "b")
     label = components(links)
 
     # Distance to the home pivot, for the triangle inequality.
-    at = homes.select("point", "pivot", *ordered("point", "pivot")).join(known, ["a", "b"]).select("point", "pivot", (1 - F.col("common") / F.col("either")).alias("d"))
-    open_, pivots = region, 1
+    home = homes.select("point", F.col("pivot").alias("home"), *ordered("point", "pivot")).join(known, ["a", "b"])
+    home = home.select("point", "home", (1 - F.col("common") / F.col("either")).alias("d"))
+    images = materialize(images.join(home, "point", "left"), "images")
+    theta = (100 - percent) / 100 + 1e-9
+    apart = F.coalesce((F.col("home") == F.col("phome")) & (F.abs(F.col("d") - F.col("pd")) > theta), F.lit(False))
+    open_, take, turn = region.select("token", "point"), 4, 1
     while True:
         named = open_.join(label.select(F.col("node").alias("point"), "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))
-        parts = materialize(named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")), "parts")
+        parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
         mixed = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("most")).where("parts > 1").select("token", F.col("most.label").alias("largest"))
-        open_ = materialize(named.join(mixed, "token").select("token", "point", "n", "label", "largest"), "open")
+        open_ = materialize(named.join(mixed, "token"), "open")
         if not open_.limit(1).count():
             break
-        rank = F.row_number().over(Window.partitionBy("token").orderBy("point"))
-        chosen = open_.where("label <> largest").withColumn("rank", rank).where(F.col("rank") <= pivots)
-        chosen = materialize(chosen.select("token", F.col("point").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel")), "pivots")
-        pairs = open_.join(chosen, "token").where(fits).where("label <> plabel").select("point", "pivot").distinct()
-        theta = (100 - percent) / 100 + 1e-9
-        own = at.select("point", F.col("pivot").alias("home"), "d")
-        other = at.select(F.col("point").alias("pivot"), F.col("pivot").alias("phome"), F.col("d").alias("pd"))
-        pairs = pairs.join(own, "point", "left").join(other, "pivot", "left")
-        pairs = pairs.where(~F.coalesce((F.col("home") == F.col("phome")) & (F.abs(F.col("d") - F.col("pd")) > theta), F.lit(False)))
+        inner = F.col("label") == F.col("largest")
+        rank = F.row_number().over(Window.partitionBy("token").orderBy(inner.desc() if turn <= INNER_ROUNDS else inner, "point"))
+        chosen = materialize(open_.select("token", "point", "label", rank.alias("rank")).where(F.col("rank") <= take).drop("rank"), "pivots")
+        full = images.select("point", "n", "image", "home", "d")
+        left = open_.select("token", "point", "label").join(full, "point")
+        right = chosen.join(full, "point").toDF("pivot", "token", "plabel", "pn", "pimage", "phome", "pd")
+        pairs = left.join(right, (left["token"] == right["token"]) & (F.col("label") != F.col("plabel")) & may_link(percent) & ~apart)
         pairs = pairs.select(*ordered("point", "pivot")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialize(distances(pairs, sets), "pairs")
+        pairs = materialize(pairs, "pairs")
+        new = materialize(distances(pairs, sets.of(pairs)), "pairs")
         known = known.unionByName(new)
         links = links.unionByName(new.where(close).select("a", "b"))
         if new.where(close).limit(1).count():
             label = components(links)
-        open_ = open_.join(chosen.select("token", F.col("pivot").alias("point")), ["token", "point"], "left_anti").select("token", "point", "n")
-        pivots *= 4
+        open_ = open_.join(chosen.select("token", "point"), ["token", "point"], "left_anti").select("token", "point")
+        take, turn = 4 * take, turn + 1
 
     named = points.join(label.select(F.col("node").alias("point"), "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
