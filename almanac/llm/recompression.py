@@ -9,11 +9,12 @@ window's anchor, so equal windows have the same anchor at the same place; the 24
 which lie inside the window too, make its key.
 
 1. Each text gives its anchors' keys; Spark groups them, and a key of one document alone is done.
-2. Only documents with shared keys are read again, and of them only the windows with a shared
-   anchor; Spark groups the names of these whole windows (128 bits) and finds for each the smallest
-   doc_id it starts in, which verifies the repeat word for word.
-3. Windows whose smallest doc_id is below their own mark their words; the documents' kept words are
-   joined again.
+2. Only documents with shared keys are read again. The windows with one anchor make a block; equal
+   blocks (128-bit names of all their words) are grouped, and all windows of a block that a document
+   with a smaller doc_id has too are repeats at once. A hot passage is one row from here on.
+3. Of the blocks left, those whose key has several different ones give their windows; Spark groups
+   these by the 128-bit names of their words and finds for each the smallest doc_id it starts in.
+4. Repeated windows mark their words; the documents' kept words are joined again.
 
 Texts with the same words are one text from the start: all but the first lose every word if they have
 50 or more.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with
-from almanac.llm.words import C1, Group, digest, groups, join, mix, sequences
+from almanac.llm.words import C1, Group, digest, groups, join, mix, sequences, split
 
 WINDOW = 50
 #: Most words of a symbol of each round.
@@ -109,80 +110,116 @@ def sha256(words: list[bytes]) -> str:
 
 
 def describe(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, digest (of the words), whole (their SHA-256) and the anchors' keys."""
+    """doc_id, n_words, digest (of the words), tag, whole (their SHA-256) and the anchors' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
-            sizes, digests, whole, keys = [], [], [], []
+            sizes, digests, tags, whole, keys = [], [], [], [], []
             for g in groups(texts):
                 chosen, first, key = anchors(g, window)
                 ends = np.searchsorted(first, g.starts)
                 for k, words in enumerate(g.words):
                     sizes.append(len(words))
                     digests.append(digest(g.names[g.starts[k] : g.starts[k + 1]]))
+                    tags.append(int.from_bytes(digests[-1][:8], "little", signed=True))
                     whole.append(sha256(words))
                     keys.append(np.unique(key[chosen[ends[k] : ends[k + 1]]]))
-            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(whole, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "digest", "whole", "keys"])
+            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tags, pa.int64()), pa.array(whole, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "digest", "tag", "whole", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, digest binary, whole string, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, digest binary, tag long, whole string, keys array<long>")
 
 
-def shared_windows(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, digest, and for each window with a shared anchor its two names and first word."""
+def tag(names: np.ndarray) -> int:
+    """With the doc_id it tells texts apart, also those of rows that share a doc_id."""
+    return int.from_bytes(digest(names)[:8], "little", signed=True)
+
+
+def shared_blocks(texts: DataFrame, window: int) -> DataFrame:
+    """For each anchor with a shared key: doc_id, tag, key, the block's two names, its first window and
+    the number of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, body, wanted = columns(batch, "doc_id", "text", "keys")
-            out: dict[str, list] = {"doc_id": [], "digest": [], "h": [], "i": [], "at": []}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "tag", "key", "h", "i", "at", "m")}
             for g in groups(body):
                 chosen, first, key = anchors(g, window)
-                one, two = sequences(g.names, window, salt=17), sequences(mix(g.names + np.uint64(3)), window, salt=29)
                 ends = np.searchsorted(first, g.starts)
                 for k in range(g.first, g.last):
-                    a, b = ends[k - g.first], ends[k - g.first + 1]
-                    own = first[a:b][np.isin(key[chosen[a:b]], np.array(wanted[k], np.int64))]
+                    base = int(g.starts[k - g.first])
+                    own, at = chosen[ends[k - g.first] : ends[k - g.first + 1]], first[ends[k - g.first] : ends[k - g.first + 1]]
+                    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+                    size = np.diff(np.r_[head, len(own)])
+                    good = np.isin(key[own[head]], np.array(wanted[k], np.int64))
+                    text = tag(g.names[base : g.starts[k - g.first + 1]])
+                    for h, n in zip(head[good].tolist(), size[good].tolist(), strict=True):
+                        a = int(at[h])
+                        name = digest(g.names[a : a + n - 1 + window])
+                        out["doc_id"].append(ids[k])
+                        out["tag"].append(text)
+                        out["key"].append(int(key[own[h]]))
+                        out["h"].append(int.from_bytes(name[:8], "little", signed=True))
+                        out["i"].append(int.from_bytes(name[8:], "little", signed=True))
+                        out["at"].append(a - base)
+                        out["m"].append(n)
+            kinds = {"at": pa.int32(), "m": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+
+    return texts.select("doc_id", "text", "keys").mapInArrow(run, "doc_id long, tag long, key long, h long, i long, at int, m int")
+
+
+def single_windows(texts: DataFrame, window: int) -> DataFrame:
+    """doc_id, tag and for each window of the blocks in ``blocks`` (at, m) its two names and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags, body, blocks = columns(batch, "doc_id", "tag", "text", "blocks")
+            out: dict[str, list] = {k: [] for k in ("doc_id", "tag", "h", "i", "at")}
+            for g in groups(body):
+                one, two = sequences(g.names, window, salt=17), sequences(mix(g.names + np.uint64(3)), window, salt=29)
+                for k in range(g.first, g.last):
+                    base = int(g.starts[k - g.first])
+                    at = np.concatenate([np.arange(b["at"], b["at"] + b["m"]) for b in blocks[k]])
                     out["doc_id"].append(ids[k])
-                    out["digest"].append(digest(g.names[g.starts[k - g.first] : g.starts[k - g.first + 1]]))
-                    out["h"].append(one[own].view(np.int64))
-                    out["i"].append(two[own].view(np.int64))
-                    out["at"].append((own - g.starts[k - g.first]).astype(np.int32))
-            kinds = {"doc_id": pa.int64(), "digest": pa.binary(), "h": pa.list_(pa.int64()), "i": pa.list_(pa.int64()), "at": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
+                    out["tag"].append(tags[k])
+                    out["h"].append(one[base + at].view(np.int64))
+                    out["i"].append(two[base + at].view(np.int64))
+                    out["at"].append(at.astype(np.int32))
+            kinds = {"h": pa.list_(pa.int64()), "i": pa.list_(pa.int64()), "at": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
-    rows = texts.select("doc_id", "text", "keys").mapInArrow(run, "doc_id long, digest binary, h array<long>, i array<long>, at array<int>")
-    return rows.select("doc_id", "digest", F.explode(F.arrays_zip("h", "i", "at")).alias("w")).select("doc_id", "digest", "w.h", "w.i", "w.at")
+    rows = texts.select("doc_id", "tag", "text", "blocks").mapInArrow(run, "doc_id long, tag long, h array<long>, i array<long>, at array<int>")
+    return rows.select("doc_id", "tag", F.explode(F.arrays_zip("h", "i", "at")).alias("w")).select("doc_id", "tag", "w.h", "w.i", "w.at")
 
 
 def cut(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, digest, n_removed, kept_sha256 and kept (the words left), from text and ``at``."""
+    """doc_id, tag, n_removed, kept_sha256 and kept (the words left), from text and ``spans`` (first
+    window, number of windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, body, at = columns(batch, "doc_id", "text", "at")
-            out: dict[str, list] = {k: [] for k in ("doc_id", "digest", "n_removed", "kept_sha256", "kept")}
-            for g in groups(body):
-                for k in range(g.first, g.last):
-                    words = g.words[k - g.first]
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    own = np.array(at[k], np.int64)
-                    np.add.at(edges, own, 1)
-                    np.add.at(edges, own + window, -1)
-                    gone = np.cumsum(edges[:-1]) > 0
-                    left = [w for w, g_ in zip(words, gone.tolist(), strict=True) if not g_]
-                    out["doc_id"].append(ids[k])
-                    out["digest"].append(digest(g.names[g.starts[k - g.first] : g.starts[k - g.first + 1]]))
-                    out["n_removed"].append(int(gone.sum()))
-                    out["kept_sha256"].append(sha256(left))
-                    out["kept"].append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"]), pa.array(out["kept"])], names=list(out))
-
-    return texts.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, digest binary, n_removed long, kept_sha256 string, kept string")
+            ids, tags, body, spans = columns(batch, "doc_id", "tag", "text", "spans")
+            removed_, hashes, left_ = [], [], []
+            for text, own in zip(body, spans, strict=True):
+                words = split(text, lower=False)
+                edges = np.zeros(len(words) + 1, np.int64)
+                for s in own:
+                    edges[s["at"]] += 1
+                    edges[s["at"] + s["m"] - 1 + window] -= 1
+                gone = np.cumsum(edges[:-1]) > 0
+                left = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+                removed_.append(int(gone.sum()))
+                hashes.append(sha256(left))
+                left_.append(b" ".join(left).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(removed_, pa.int64()), pa.array(hashes, pa.string()), pa.array(left_, pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256", "kept"])
+
+    return texts.select("doc_id", "tag", "text", "spans").mapInArrow(run, "doc_id long, tag long, n_removed long, kept_sha256 string, kept string")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(about, partly): one row per document with doc_id, n_words, digest, whole and ``gone`` (all its
+    """(about, partly): one row per document with doc_id, n_words, digest, tag, whole and ``gone`` (all its
     words are removed); and the documents that lose some words, as made by ``cut``."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -190,33 +227,42 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     real = about.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     copies = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     copies = materialize(copies.select("digest", "first"), "copies")
-    texts = real.join(copies, "digest", "left").where("first is null or first = doc_id").select("doc_id", "digest", "keys")
-    rows = texts.select("doc_id", "digest", F.explode("keys").alias("key"))
+    texts = real.join(copies, "digest", "left").where("first is null or first = doc_id").select("doc_id", "tag", "keys")
+    rows = texts.select("doc_id", "tag", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    per_text = rows.join(shared, "key").groupBy("doc_id", "digest").agg(F.collect_set("key").alias("keys"))  # a text's own anchors
+    per_text = rows.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_set("key").alias("keys"))  # a text's own anchors
     wanted = materialize(per_text, "shared")
-    some = only_with(docs, wanted.select("doc_id").distinct(), ["doc_id"])
-    some = with_digest(some).join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    some = materialize(some, "texts")
-    windows = materialize(shared_windows(some, window), "windows")
+    some = with_tag(only_with(docs, wanted.select("doc_id").distinct(), ["doc_id"]))
+    some = materialize(some.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]), "texts")
+
+    blocks = materialize(shared_blocks(some, window), "blocks")
+    least = materialize(blocks.groupBy("h", "i").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "i", "lo"), "block-firsts")
+    placed = materialize(blocks.join(least, ["h", "i"], "left"), "placed")
+    whole = placed.where("lo < doc_id").select("doc_id", "tag", "at", "m")
+    heads = placed.where("lo is null or lo = doc_id")
+    several = heads.select("key", "h", "i").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    unsure = heads.join(several, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "m")).alias("blocks"))
+    windows = materialize(single_windows(some.drop("keys").join(unsure, ["doc_id", "tag"]), window), "windows")
     first = windows.groupBy("h", "i").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "i", "lo")
-    marked = windows.join(first, ["h", "i"]).where("lo < doc_id").groupBy("doc_id", "digest").agg(F.collect_list("at").alias("at"))
-    partly = cut(some.join(marked, ["doc_id", "digest"]), window)
+    first = materialize(first, "window-firsts")
+    marked = windows.join(first, ["h", "i"]).where("lo < doc_id").select("doc_id", "tag", "at", F.lit(1).alias("m"))
+    spans = marked.unionByName(whole).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "m")).alias("spans"))
+    partly = cut(some.join(spans, ["doc_id", "tag"]), window)
     gone = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)) & (F.col("n_words") >= window)
     about = about.drop("keys").join(copies, "digest", "left").withColumn("gone", gone).drop("first")
     return about, materialize(partly, "cut")
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, digest)"""
+def with_tag(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
-            keys = [digest(g.names[a:b]) for g in groups(texts) for a, b in zip(g.starts[:-1], g.starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(keys, pa.binary())], names=["doc_id", "text", "digest"])
+            tags = [tag(g.names[a:b]) for g in groups(texts) for a, b in zip(g.starts[:-1], g.starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(tags, pa.int64())], names=["doc_id", "text", "tag"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, tag long")
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -225,7 +271,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     about, partly = repeats(docs, window)
-    out = about.join(partly.drop("kept"), ["doc_id", "digest"], "left")
+    out = about.join(partly.drop("kept"), ["doc_id", "tag"], "left")
     return out.select(
         "doc_id", "n_words",
         F.when(F.col("gone"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -237,8 +283,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the kept words as text where words are removed; other rows and columns (but for
     n_chars, if there is one) as they are."""
     about, partly = repeats(docs, window)
-    gone = about.where("gone").select("doc_id", "digest", F.lit("").alias("kept"))
-    new = materialize(partly.select("doc_id", "digest", "kept").unionByName(gone).distinct(), "new-texts")
+    gone = about.where("gone").select("doc_id", "tag", F.lit("").alias("kept"))
+    new = materialize(partly.select("doc_id", "tag", "kept").unionByName(gone).distinct(), "new-texts")
     ids = new.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     text = docs.schema["text"].dataType
@@ -248,14 +294,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            keys = [digest(g.names[a:b]) for g in groups(batch.column(at).to_pylist()) for a, b in zip(g.starts[:-1], g.starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "__digest"])
+            tags = [tag(g.names[a:b]) for g in groups(batch.column(at).to_pylist()) for a, b in zip(g.starts[:-1], g.starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*batch.schema.names, "__tag"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", __digest binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", __tag long"
     keyed = keyed.mapInArrow(run, schema)
     new = new.toDF("__id", "__key", "__new")
     kept = F.col("__new")
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__key"))
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__key"))
     values = [F.col(f"`{c}`") for c in docs.columns]
     for k, c in enumerate(docs.columns):
         if c == "text":
