@@ -16,7 +16,7 @@ Documents within the threshold share one of these regions. Inside the regions:
   round, until no region is left: no link between different texts is lost;
 * before a pair is computed it must pass bounds that no link can miss: the sizes; the triangle
   inequality, if both points have the same home pivot; and the distance of the two sets' images in a
-  small space (how many of a set's shingles fall on each of 64 cells): the image's weighted Jaccard
+  small space (how many of a set's shingles fall on each of 64 cells; sets with over 127 on a cell have none): the image's weighted Jaccard
   distance is a metric too and never above the sets' own.
 
 Defined results: null text, or text without words, has an empty set and is linked with nothing;
@@ -107,11 +107,12 @@ def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n.append(len(own))
                 points.append(point(own))
                 prefixes.append(own[np.lexsort((own, rank))[:k]].view(np.int64))
-                images.append(np.bincount((own >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32))
-            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(images, pa.list_(pa.int32()))]
+                cells = np.bincount((own >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS)
+                images.append(cells.astype(np.int8) if cells.max() < 128 else None)
+            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(images, pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "point", "prefix", "image"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, point long, prefix array<long>, image array<int>")
+    return docs.mapInArrow(run, "doc_id long, n long, point long, prefix array<long>, image array<tinyint>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -141,7 +142,7 @@ def may_link(percent: int) -> Column:
     """Bounds on (n, image) and (pn, pimage) that every link meets."""
     sizes = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     common = F.aggregate(F.zip_with("image", "pimage", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda s, x: s + x)
-    return sizes & ((100 + percent) * common >= percent * (F.col("n") + F.col("pn")))
+    return sizes & F.coalesce((100 + percent) * common >= percent * (F.col("n") + F.col("pn")), F.lit(True))
 
 
 class Sets:
@@ -177,13 +178,17 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     members = single.select(F.explode("prefix").alias("token"), "point")
     shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("point").alias("pivot")).where("k > 1").select("token", "pivot")
     region = materialize(members.join(shared, "token").distinct(), "regions")
+    # Regions of the same points are one region, with the number of their shingles as its weight.
+    same = region.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("pivot").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("s1"), F.sum(F.pmod(F.xxhash64("point", F.lit(1)), F.lit(1 << 32))).alias("s2"))
+    one = same.where("k > 1").groupBy("k", "s1", "s2").agg(F.min("token").alias("token"), F.min("pivot").alias("pivot"), F.count(F.lit(1)).alias("weight"))
+    region = materialize(region.drop("pivot").join(one.select("token", "pivot", "weight"), "token"), "regions")
     images = single.select("point", "n", "image").dropDuplicates(["point"])
     images = materialize(images.join(region.select("point").distinct(), "point", "left_semi"), "images")
     sets = Sets(docs, points.select("point", "first"), size)
     close = F.expr(f"100 * common >= {percent} * either")
     pivots_ = images.select(F.col("point").alias("pivot"), F.col("n").alias("pn"), F.col("image").alias("pimage"))
 
-    pairs = region.where("point <> pivot").groupBy("point", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    pairs = region.where("point <> pivot").groupBy("point", "pivot").agg(F.sum("weight").alias("k"))
     pairs = pairs.join(images, "point").join(pivots_, "pivot").where(may_link(percent))
     homes = materialize(pairs.groupBy("point").agg(F.max(F.struct("k", "pivot")).alias("h")).select("point", F.col("h.pivot").alias("pivot")), "homes")
     first = materialize(homes.select(*ordered("point", "pivot")).distinct(), "pairs")
