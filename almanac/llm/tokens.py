@@ -1,23 +1,25 @@
 """Token ids of whole texts by the ``tokenizers`` library, cached by word.
 
-Both vocabularies never merge across the start of a white-space run or from a letter to a mark, so the ids of a text are
-those of its words (and of the marks after them) one after the other: each distinct word goes to the library once while it is
-in the worker's bounded cache.
+Both vocabularies never merge across the start of a white-space run or from a letter to
+a mark, so the ids of a text are those of its words (and of the marks after them) one after the other:
+each distinct word goes to the library once while it is in the worker's bounded cache.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from struct import pack
 
+import numpy as np
 
 #: White space as the library's patterns see it (the Unicode property White_Space). Fixed values.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters of most words here, before a place where both vocabularies always cut.
 LETTERS = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+(?=[!-@\\[-`{-~" + WHITE + "]|\\Z)"
 #: Words cached by a worker; the cache keeps one older generation.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
+#: The first words met are mostly the frequent ones; they have a small table of their own.
+FREQUENT = 30_000
 
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
@@ -33,6 +35,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         end = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+"
         self.words = re.compile(f"{' ?' if keep_space else ''}{LETTERS}|{end}").findall
+        self.frequent: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -40,22 +43,26 @@ class WordEncoder:
         split = [self.words(t or "") for t in texts]
         if len(self.cache) > CACHE_WORDS:  # words in use come back from the older half
             self.cache, self.older = {}, self.cache
-        found = [list(map(self.cache.get, words)) for words in split]
-        lacking = [(k, i) for k, ids in enumerate(found) if None in ids for i, x in enumerate(ids) if x is None]
-        self._learn({split[k][i] for k, i in lacking})
-        for k, i in lacking:
-            found[k][i] = self.cache[split[k][i]]
+        found = [list(map(self.frequent.get, words)) for words in split]
+        lacking = [(ids, i, words[i]) for words, ids in zip(split, found, strict=True) if None in ids for i, x in enumerate(ids) if x is None]
+        cache = self.cache
+        self._learn({word for _, _, word in lacking if word not in cache})
+        for ids, i, word in lacking:
+            ids[i] = cache[word]
+        if len(self.frequent) < FREQUENT:
+            self.frequent.update((word, cache[word]) for _, _, word in lacking[: FREQUENT - len(self.frequent)])
         return [b"".join(ids) for ids in found]
 
     def _learn(self, new: set[str]) -> None:
         known = self.older.keys() & new
         self.cache.update((w, self.older[w]) for w in known)
         rest = list(new - known)
-        for k in range(0, len(rest), 10_000):
-            part = rest[k : k + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.cache[word] = pack(f"<{len(ids)}I", *ids)
+        for k in range(0, len(rest), 1000):
+            part = rest[k : k + 1000]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)  # each word on its own
+            raw = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            self.cache.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 def encoder(path: str, keep_space: bool) -> WordEncoder:
