@@ -1,6 +1,6 @@
 """Token-id files of patched frame-of-reference blocks.
 
-A file holds consecutive documents' ids, cut into blocks of 256. A block stores its minimum, and
+A file holds consecutive documents' ids, cut into blocks of 1024. A block stores its minimum, and
 each id less that minimum in as many bits as ``share`` of its ids need; the bits above that width of
 the others go to an exception list of (place, high part). The header has the documents' ids and
 lengths and the start of every block in the file, so a reader can seek.
@@ -16,7 +16,7 @@ other, ordered by text; null ids come first; an empty table gives no files and n
 Layout, little-endian: magic; documents, blocks (uint32); per document a null flag (uint8), id
 (int64) and length (int64); per block its byte offset (int64); then per block minimum (uint32),
 width (uint8), exceptions (uint16), ids (uint16), packed ids (uint64 words), exception places
-(uint8) and high parts (uint32).
+(uint16) and high parts (uint32).
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ from almanac.llm.tokens import encoder
 from almanac.llm.util import bounded_batches, columns, materialize, shared_path
 
 MAGIC = b"PFOR0001"
-BLOCK, SHARE, END_ID, FILE_IDS = 256, 0.9, 2, 4_000_000
+BLOCK, SHARE, END_ID, FILE_IDS = 1024, 0.9, 2, 4_000_000
+#: Bits of the numbers below 2**16.
+BITS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
 COUNTS, BLOCK_HEAD = Struct("<II"), Struct("<IBHH")
 
 
@@ -78,17 +80,21 @@ def dump(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, share:
     v = v.reshape(n_blocks, BLOCK)
     low = v.min(1) if n_blocks else np.zeros(0, np.uint64)
     v = v - low[:, None]
-    bits = np.ceil(np.log2(v.astype(np.float64) + 1)).astype(np.int64)
+    small = int(v.max(initial=0)) < len(BITS)
+    bits = BITS[v] if small else np.ceil(np.log2(v.astype(np.float64) + 1)).astype(np.uint8)
     widths = np.sort(bits, 1)[:, max(0, int(np.ceil(share * BLOCK)) - 1)] if n_blocks else np.zeros(0, np.int64)
     over = bits > widths[:, None]
+    block, place = np.nonzero(over)
+    high = (v[block, place] >> widths[block].astype(np.uint64)).astype("<u4").tobytes()
+    place = place.astype("<u2").tobytes()
+    first = np.cumsum([0, *np.bincount(block, minlength=n_blocks)]).tolist()
     bodies: list[bytes] = [b""] * n_blocks
     for width in np.unique(widths):
         at = np.flatnonzero(widths == width)
         packed = pack_bits(v[at] & np.uint64((1 << int(width)) - 1), int(width))
         for k, words in zip(at, packed, strict=True):
-            places = np.flatnonzero(over[k])
-            high = (v[k, places] >> np.uint64(width)).astype("<u4")
-            bodies[k] = BLOCK_HEAD.pack(int(low[k]), int(width), len(places), int(sizes[k])) + words.astype("<u8").tobytes() + places.astype(np.uint8).tobytes() + high.tobytes()
+            a, b = first[k], first[k + 1]
+            bodies[k] = BLOCK_HEAD.pack(int(low[k]), int(width), b - a, int(sizes[k])) + words.astype("<u8").tobytes() + place[2 * a : 2 * b] + high[4 * a : 4 * b]
     head = len(MAGIC) + COUNTS.size + len(lengths) * 17 + n_blocks * 8
     starts = head + np.cumsum([0, *map(len, bodies)])[:n_blocks]
     nulls = np.array([d is None for d in doc_ids], np.uint8)
@@ -117,8 +123,8 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for k, (low, width, n_over, _) in enumerate(heads):
         if n_over:
             p = starts[k] + BLOCK_HEAD.size + BLOCK * width // 8
-            places = np.frombuffer(data, np.uint8, n_over, p)
-            values[k, places] |= np.frombuffer(data, "<u4", n_over, p + n_over).astype(np.uint64) << np.uint64(width)
+            places = np.frombuffer(data, "<u2", n_over, p)
+            values[k, places] |= np.frombuffer(data, "<u4", n_over, p + 2 * n_over).astype(np.uint64) << np.uint64(width)
         values[k] += np.uint64(low)
     total = int(lengths.sum())
     return [None if z else k for z, k in zip(nulls.tolist(), keys.tolist(), strict=True)], lengths, values.reshape(-1)[:total].astype("<u4")
