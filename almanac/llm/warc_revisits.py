@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.llm.util import materialize
+
 #: Headers that a 304 response may update. Fixed values.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't choose the resource.
@@ -89,14 +91,15 @@ def resolve(records: DataFrame) -> DataFrame:
         F.unix_timestamp(F.col("warc_date").cast("timestamp")).alias("t"), "status", header_map(F.col("headers")).alias("h"), "payload_digest",
     )
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
+    r = materialize(r.where("warc_type = 'revisit' or (warc_type = 'response' and status = 200)"), "records")
     time = F.coalesce(F.col("t"), F.when(full, F.lit(-(1 << 40))))
-    r = r.withColumn("t", time).where("url is not null and t is not null and (warc_type = 'revisit' or (warc_type = 'response' and status = 200))")
+    timed = r.withColumn("t", time).where("url is not null and t is not null")
     value = F.struct("t", F.col("record_id").alias("id"), F.col("h").getItem("etag").alias("etag"), F.col("h").getItem("last-modified").alias("modified"), F.col("payload_digest").alias("digest"))
-    found = latest_before(r.select("record_id", "warc_type", "url", "t", F.when(full, value).alias("v")), "url", "t", "v")
-    matched = found.where("warc_type = 'revisit'").select(F.col("record_id").alias("rid"), "url", "prior.id", "prior.etag", "prior.modified", "prior.digest").distinct()
-    revisits = records.where("warc_type = 'revisit'").select("record_id", canonical_url(F.col("target_uri")).alias("canonical_url"), header_map(F.col("headers")).alias("h"))
-    out = revisits.join(matched, (F.col("record_id") == F.col("rid")) & (F.col("canonical_url") == F.col("url")), "left")
-    responses = records.where(full).select(F.col("record_id").alias("id"), header_map(F.col("headers")).alias("full"), F.lit(True).alias("there")).dropDuplicates(["id"])
+    found = latest_before(timed.select("record_id", "warc_type", "url", "t", F.when(full, value).alias("v")), "url", "t", "v")
+    matched = found.where("warc_type = 'revisit'").select(F.col("record_id").alias("rid"), F.col("url").alias("rurl"), "prior.id", "prior.etag", "prior.modified", "prior.digest").distinct()
+    revisits = r.where("warc_type = 'revisit'").select("record_id", F.col("url").alias("canonical_url"), "h")
+    out = revisits.join(matched, (F.col("record_id") == F.col("rid")) & (F.col("canonical_url") == F.col("rurl")), "left")
+    responses = r.where(full).select(F.col("record_id").alias("id"), F.col("h").alias("full")).dropDuplicates(["id"])
     out = out.join(responses, "id", "left")
     tag, date = F.col("h").getItem("etag"), F.col("h").getItem("last-modified")
     outcome = (
