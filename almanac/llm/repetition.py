@@ -29,7 +29,7 @@ MIN_REPEAT, MAX_COVERED, MAX_LONGEST, MIN_LONGEST = 8, 0.3, 0.3, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 #: Words of the texts that are sorted together.
-SORTED_WORDS = 500_000
+SORTED_WORDS = 200_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

@@ -17,7 +17,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters of most words here, before a place where both vocabularies always cut.
 LETTERS = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+(?=[!-@\\[-`{-~" + WHITE + "]|\\Z)"
 #: Words cached by a worker; the cache keeps one older generation.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: The first words met are mostly the frequent ones; they have a small table of their own.
 FREQUENT = 30_000
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from almanac.session import checkpoint_dir
 
 #: Rows of an Arrow batch sent to a Python worker; long documents make larger batches risky.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Ids that may be broadcast as a filter (8 bytes each); a larger list is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

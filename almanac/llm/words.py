@@ -11,7 +11,7 @@ import xxhash
 #: Odd constants of the mixing steps.
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words of the texts that are handled together.
-TOGETHER = 1_000_000
+TOGETHER = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
