@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.links import components
-from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with
+from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with, small
 from almanac.llm.words import digest, groups, mix, sequences
 
 SHINGLE, PERCENT = 4, 85
@@ -174,7 +174,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     about = materialize(describe(docs, size, percent), "sets")
     real = about.where("n > 0 and doc_id is not null")
     points = materialize(real.groupBy("point").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "points")
-    single = real.join(points.where("copies > 1").select("point", "first"), "point", "left").where("first is null or first = doc_id")
+    single = real.join(small(points.where("copies > 1").select("point", "first")), "point", "left").where("first is null or first = doc_id")
     members = single.select(F.explode("prefix").alias("token"), "point")
     shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("point").alias("pivot")).where("k > 1").select("token", "pivot")
     region = materialize(members.join(shared, "token").distinct(), "regions")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with
+from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with, small
 from almanac.llm.words import C1, Group, digest, groups, join, mix, sequences, split
 
 WINDOW = 50
@@ -227,7 +227,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     real = about.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     copies = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     copies = materialize(copies.select("digest", "first"), "copies")
-    texts = real.join(copies, "digest", "left").where("first is null or first = doc_id").select("doc_id", "tag", "keys")
+    texts = real.join(small(copies), "digest", "left").where("first is null or first = doc_id").select("doc_id", "tag", "keys")
     rows = texts.select("doc_id", "tag", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     per_text = rows.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_set("key").alias("keys"))  # a text's own anchors

@@ -44,6 +44,11 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are within BROADCAST_IDS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def only_with(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``on`` columns occur in ``keys`` (distinct, non-null). The keys are
     broadcast when their counted number is within BROADCAST_IDS, else both sides are shuffled."""
