@@ -55,11 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object store) folder; it is read from the
-    session and used as is. Only when it is unset -- local tests -- a scratch
-    folder is created under /tmp.
+    session and used as is. When it is unset, a local master gets a scratch folder
+    under /tmp; any other is an error, as executors would each write to their own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="almanac-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
