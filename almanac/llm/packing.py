@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.tokens import encoder
-from almanac.llm.util import bounded_batches, columns, materialize
+from almanac.llm.tokens import encoder, gathered
+from almanac.llm.util import bounded_batches, materialize
 
 WINDOW, GRAIN, DEPTH, END_ID = 4096, 16, 3, 2
 #: Pieces ranked together within one length class.
@@ -35,9 +35,8 @@ def pieces(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab, keep_space=False)
-        for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
+        enc = encoder(vocab)
+        for ids, texts in gathered(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc_id, raw in zip(ids, enc.encode(texts), strict=True):
                 raw += end

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.tokens import encoder
+from almanac.llm.tokens import encoder, gathered
 from almanac.llm.util import bounded_batches, columns, materialize, shared_path
 
 MAGIC = b"PFOR0001"
@@ -152,7 +152,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = END_ID, file_i
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, roll = encoder(vocab, keep_space=True), TaskContext.get().partitionId(), 0
+        enc, part, roll = encoder(vocab), TaskContext.get().partitionId(), 0
         attempt = uuid.uuid4().hex[:12]
         keys: list[int | None] = []
         raw: list[bytes] = []
@@ -163,8 +163,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = END_ID, file_i
             put(folder, name, dump(keys, [len(x) // 4 for x in raw], np.frombuffer(b"".join(raw), "<u4")))
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "roll": roll, "n_docs": len(keys), "n_ids": size // 4}], schema)
 
-        for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
+        for ids, texts in gathered(batches):
             for doc_id, x in zip(ids, enc.encode(texts), strict=True):
                 if keys and size + len(x) + 4 > 4 * file_ids:
                     yield flush()
