@@ -32,7 +32,6 @@ from almanac.session import cut_lineage
 ERROR_PATTERNS = r"(?i)tick timeout|device nonce required|gateway connect failed"
 COOLDOWN_SEC = 180
 WINDOW_SEC = 300
-MAX_ROUNDS = 64
 
 
 def error_events(log: DataFrame, service: str = "service", ts: str = "timestamp", line: str = "line") -> DataFrame:
@@ -96,9 +95,7 @@ def alert_cooldown(log: DataFrame, cooldown_sec: int = COOLDOWN_SEC, service: st
     alerts = heads
     if checkpoint:
         jump, alerts = jump.checkpoint(), alerts.checkpoint()
-    for _ in range(MAX_ROUNDS):
-        if jump.limit(1).count() == 0:
-            break  # no node has a successor 2^k steps ahead: every chain is complete
+    while jump.limit(1).count():  # else no node has a successor 2^k steps ahead: every chain is complete
         step = alerts.join(jump, ["service", "ts"]).select("service", F.col("j").alias("ts"))
         alerts = alerts.unionByName(step).distinct()
         # J_{k+1}(x) = J_k(J_k(x)): a join on the unique key (service, ts).

@@ -8,7 +8,7 @@ rewritten (the merge reads those partitions only, see ``touched_partitions``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.dates import ntz
@@ -86,9 +86,25 @@ def touched_partitions(batch: DataFrame, part_col: str) -> list:
     return [r[0] for r in batch.select(part_col).distinct().collect()]
 
 
-def write_partitions(df: DataFrame, path: str, part_col: str, staging: str | None = None) -> None:
+def in_partitions(part_col: str, values: list) -> Column:
+    """Rows of these partitions; None stands for the NULL partition."""
+    known = F.col(part_col).isin([v for v in values if v is not None])
+    return F.coalesce(known, F.lit(False)) | (F.col(part_col).isNull() if None in values else F.lit(False))
+
+
+#: Characters written as %XX in the name of a partition's folder. Fixed values.
+ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
+
+
+def partition_folder(part_col: str, value) -> str:
+    text = "__HIVE_DEFAULT_PARTITION__" if value is None or value == "" else str(value)
+    return f"{part_col}=" + "".join(f"%{ord(c):02X}" if c < " " or c in ESCAPED else c for c in text)
+
+
+def write_partitions(df: DataFrame, path: str, part_col: str, staging: str | None = None, replaced: list | None = None) -> None:
     """Persist with dynamic partition overwrite: only partitions present in ``df`` are
-    replaced. When ``df`` was computed from ``path`` itself, it is first written to a
+    replaced, and those of ``replaced`` that have no rows any more are emptied. When ``df`` was
+    computed from ``path`` itself, it is first written to a
     ``staging`` location (Spark cannot overwrite a path it is reading)."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -97,6 +113,8 @@ def write_partitions(df: DataFrame, path: str, part_col: str, staging: str | Non
         df.write.mode("overwrite").partitionBy(part_col).parquet(staging)
         src = spark.read.parquet(staging)
     src.repartition(part_col).write.mode("overwrite").partitionBy(part_col).parquet(path)
+    for value in set(replaced or []) - set(touched_partitions(src, part_col)) if replaced else ():
+        src.drop(part_col).limit(0).write.mode("overwrite").parquet(f"{path}/{partition_folder(part_col, value)}")
 
 
 def append(df: DataFrame, path: str, part_col: str | None = None) -> None:

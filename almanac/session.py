@@ -82,21 +82,6 @@ def materialize(df, name: str = "t"):
     return spark.read.parquet(path)
 
 
-def ensure_parallelism(df, factor: int = 1):
-    """Spread a DataFrame with fewer partitions than cores (a few large input splits)
-    before CPU-heavy per-row work such as JSON parsing. On a cluster reading many
-    files this is a no-op; it only inserts a round-robin shuffle when the input
-    would otherwise be parsed by a handful of tasks."""
-    if df.isStreaming:
-        return df  # micro-batches are sized by the source options (maxFilesPerTrigger, ...)
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * factor
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- Spark Connect exposes no RDD; leave the plan as is
-        return df
-    return df.repartition(target) if n < target else df
-
-
 def cut_lineage(df):
     """Reliable checkpoint (files in the shared ``spark.checkpoint.dir``) computed once:
     the plan is cached so the checkpoint's count and its write read the same blocks,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from almanac.functions.dates import recent_window
 from almanac.functions.numeric import py_round0
 from almanac.functions.sensors import sensor_bool, sensor_double, sensor_fallback
-from almanac.session import ensure_parallelism
 
 TELEMETRY_DOC = "struct<latitude: double, longitude: double, items: array<struct<code: string, value: string>>>"
 
@@ -29,7 +28,7 @@ BOOL_TRUE = {"is_locked": "1", "is_charging": "5", "is_ac_on": "1"}
 def ingest_telemetry(raw: DataFrame, json_col: str = "raw_json") -> DataFrame:
     """Status documents -> telemetry rows (entity_id and landing timestamp kept)."""
     doc = F.from_json(F.col(json_col), TELEMETRY_DOC)
-    x = ensure_parallelism(raw).withColumn("_d", doc)
+    x = raw.withColumn("_d", doc)
     items = F.col("_d.items")
     odo = sensor_fallback(sensor_double(items, SENSOR_CODES["odometer_primary"]), sensor_double(items, SENSOR_CODES["odometer_fallback"]))
     cols = [
@@ -49,27 +48,48 @@ def ingest_telemetry(raw: DataFrame, json_col: str = "raw_json") -> DataFrame:
     return x.select(*cols)
 
 
-TX_PAGE = ("struct<page: int, hasNextPage: boolean, results: array<struct<id: string, date: string, amount: decimal(12,2), "
+TX_PAGE = ("struct<page: int, hasNextPage: boolean, results: array<struct<id: string, date: string, amount: string, "
            "category: string, description: string, merchant: struct<name: string>>>>")
 # Category label for uncategorised transactions.
 DEFAULT_CATEGORY = "Outros"
 
 
 def _iso_ts(s: Column) -> Column:
-    """ISO text cut to 19 characters -> TIMESTAMP_NTZ (wall clock, as landed)."""
-    return F.to_timestamp_ntz(F.regexp_replace(F.substring(s, 1, 19), "T", " "))
+    """ISO text cut to 19 characters -> TIMESTAMP_NTZ (wall clock, as landed); NULL if unreadable."""
+    return F.regexp_replace(F.substring(s, 1, 19), "T", " ").try_cast("timestamp_ntz")
+
+
+def _iso_date(s: Column) -> Column:
+    """The first 10 characters as a DATE; NULL if unreadable."""
+    return F.substring(s, 1, 10).try_cast("date")
+
+
+def _page_transactions(pages: DataFrame, json_col: str) -> DataFrame:
+    """Records with an id and a date, with ``_problem``: what can't be read, else NULL."""
+    r = pages.select(F.explode(F.from_json(F.col(json_col), TX_PAGE)["results"]).alias("r")).select("r.*")
+    r = r.filter(F.col("id").isNotNull() & (F.col("id") != "") & F.col("date").isNotNull() & (F.col("date") != ""))
+    fits = F.col("amount").try_cast("decimal(12,2)").isNotNull()
+    return r.withColumn("_problem", F.when(_iso_date(F.col("date")).isNull(), F.lit("date"))
+                        .when(F.col("amount").isNotNull() & ~fits, F.lit("amount")))
+
+
+def unreadable_transactions(pages: DataFrame, account_type: str, json_col: str = "page_json") -> DataFrame:
+    """The records that ``ingest_transactions`` leaves out because their date can't be read or their
+    amount is no number or too large for the ledger: id, date and amount as landed, problem."""
+    r = _page_transactions(pages, json_col).filter(F.col("_problem").isNotNull())
+    return r.select("id", "date", "amount", F.col("_problem").alias("problem"), F.lit(account_type).alias("account_type"))
 
 
 def ingest_transactions(pages: DataFrame, account_type: str, json_col: str = "page_json",
                         as_of=None, lookback_days: int | None = None) -> DataFrame:
     """Transaction pages -> rows. Missing id or date drops the row; blank category
-    -> default label; merchant = description, else the nested merchant name; amount
-    defaults to 0. Optional look-back window relative to ``as_of``."""
-    r = pages.select(F.explode(F.from_json(F.col(json_col), TX_PAGE)["results"]).alias("r")).select("r.*")
-    r = r.filter(F.col("id").isNotNull() & (F.col("id") != "") & F.col("date").isNotNull() & (F.col("date") != ""))
+    -> default label; merchant = description, else the nested merchant name; an absent amount
+    is 0. Records that can't be read go to ``unreadable_transactions``. Optional look-back window
+    relative to ``as_of``."""
+    r = _page_transactions(pages, json_col).filter(F.col("_problem").isNull())
     out = r.select(
-        F.col("id"), F.to_date(F.substring("date", 1, 10)).alias("date"), _iso_ts(F.col("date")).alias("timestamp"),
-        F.coalesce(F.col("amount"), F.lit(0).cast("decimal(12,2)")).alias("amount"),
+        F.col("id"), _iso_date(F.col("date")).alias("date"), _iso_ts(F.col("date")).alias("timestamp"),
+        F.coalesce(F.col("amount").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("amount"),
         F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(DEFAULT_CATEGORY)).alias("category"),
         F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("merchant.name"), F.lit("")).alias("merchant"),
         F.coalesce(F.col("description"), F.lit("")).alias("description"),
@@ -118,7 +138,7 @@ def ingest_media_library(pages: DataFrame, item_type: str, json_col: str = "page
         F.array_join(F.transform(F.coalesce(F.col("Studios"), F.array()), lambda s: F.coalesce(s["Name"], F.lit(""))), ",").alias("studios"),
         F.coalesce(F.col("Overview"), F.lit("")).alias("overview"),
         F.when(F.coalesce(F.col("DateCreated"), F.lit("")) != "", _iso_ts(F.col("DateCreated"))).alias("date_created"),
-        F.when(F.coalesce(F.col("PremiereDate"), F.lit("")) != "", F.to_date(F.substring("PremiereDate", 1, 10))).alias("premiere_date"),
+        F.when(F.coalesce(F.col("PremiereDate"), F.lit("")) != "", _iso_date(F.col("PremiereDate"))).alias("premiere_date"),
         F.col("SeriesName").alias("series_name"), F.col("SeasonName").alias("season_name"), F.col("IndexNumber").alias("episode_index"),
         F.when(has_ms, F.bround(F.coalesce(ms0["Size"], F.lit(0)).cast("double") / F.lit(1e9), 2).try_cast("decimal(8,2)")).alias("file_size_gb"),
         F.when(has_ms, ms0["Container"]).alias("container"),
@@ -127,17 +147,19 @@ def ingest_media_library(pages: DataFrame, item_type: str, json_col: str = "page
     )
 
 
-PLAYBACK_DOC = "array<struct<user_name: string, user_usage: map<string, int>>>"
+PLAYBACK_DOC = "array<struct<user_name: string, user_usage: map<string, string>>>"
 # Header pseudo-user of the usage report.
 PLAYBACK_HEADER_USER = "labels_user"
 
 
 def ingest_playback(docs: DataFrame, json_col: str = "usage_json") -> DataFrame:
-    """Per-user {date: minutes} maps -> (user_name, date, minutes_watched), minutes > 0."""
+    """Per-user {date: minutes} maps -> (user_name, date, minutes_watched), minutes > 0. An entry
+    whose minutes are no whole number is left out alone."""
     u = docs.select(F.explode(F.from_json(F.col(json_col), PLAYBACK_DOC)).alias("u")).select("u.*")
     u = u.filter(F.coalesce(F.col("user_name"), F.lit("")) != F.lit(PLAYBACK_HEADER_USER))
     e = u.select(F.coalesce(F.col("user_name"), F.lit("")).alias("user_name"), F.explode("user_usage").alias("d", "m"))
-    return e.filter(F.col("m") > 0).select("user_name", F.to_date("d").alias("date"), F.col("m").alias("minutes_watched"))
+    e = e.withColumn("m", F.col("m").try_cast("int"))
+    return e.filter(F.col("m") > 0).select("user_name", F.col("d").try_cast("date").alias("date"), F.col("m").alias("minutes_watched"))
 
 
 ACTIVITY_PAGE = "struct<Items: array<struct<Id: bigint, Type: string, Name: string, UserId: string, Date: string, Severity: string>>>"
@@ -186,8 +208,8 @@ def ingest_weather(docs: DataFrame, json_col: str = "forecast_json") -> DataFram
     today = F.get(F.col("_f.weather"), 0)
     hourly = F.coalesce(today["hourly"], F.array())
     pairs = F.transform(hourly, lambda h: F.struct(
-        F.floor(F.coalesce(h["time"], F.lit("0")).cast("int") / 100).cast("int").alias("hour"),
-        F.coalesce(h["chanceofrain"], F.lit("0")).cast("int").alias("chance")))
+        F.floor(F.coalesce(h["time"], F.lit("0")).try_cast("int") / 100).cast("int").alias("hour"),
+        F.coalesce(h["chanceofrain"], F.lit("0")).try_cast("int").alias("chance")))
     rain = F.filter(pairs, lambda p: (p["chance"] >= RAIN_CHANCE_MIN) & (p["hour"] >= RAIN_HOURS[0]) & (p["hour"] <= RAIN_HOURS[1]))
     desc = F.coalesce(F.get(cur["lang_pt"], 0)["value"], F.get(cur["weatherDesc"], 0)["value"], F.lit("?"))
 

@@ -11,6 +11,7 @@ TIMESTAMP, so it is cast at the streaming edge only (session zone UTC).
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -71,8 +72,9 @@ def stream_telemetry(spark: SparkSession, landing: str, sink: str, name: str = "
 def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq: str = "_arrival",
                 update_cols: list[str] | None = None):
     """ST2: a ``foreachBatch`` function merging each micro-batch into a partitioned
-    parquet table (``mode`` = ignore | replace | upsert). Only the partitions the batch
-    touches are read and rewritten; the merged partitions go through a staging folder
+    parquet table (``mode`` = ignore | replace | upsert). The partitions of the batch's rows
+    and of the stored rows with its keys are read and rewritten, so a key is held once in the
+    whole table; the merged partitions go through a staging folder
     keyed by batch id, so a replayed batch rewrites the same result (idempotent)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -83,7 +85,10 @@ def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq
         if not parts:
             return
         try:
-            target = spark.read.parquet(target_path).filter(F.col(part_col).isin(parts))
+            stored = spark.read.parquet(target_path)
+            held = stored.join(batch.select(*keys).distinct(), keys, "left_semi")
+            parts = list({*parts, *MG.touched_partitions(held, part_col)})
+            target = stored.filter(MG.in_partitions(part_col, parts))
         except AnalysisException as e:  # first batch: the table does not exist yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
@@ -97,7 +102,7 @@ def upsert_sink(target_path: str, keys: list[str], mode: str, part_col: str, seq
         else:
             raise ValueError(mode)
         staging = f"{checkpoint_dir(spark).rstrip('/')}/staging/{zlib.crc32(target_path.encode()):08x}/{batch_id}"
-        MG.write_partitions(merged, target_path, part_col, staging=staging)
+        MG.write_partitions(merged, target_path, part_col, staging=staging, replaced=parts)
 
     return run
 
@@ -137,6 +142,7 @@ def _alert_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     if not state.hasTimedOut:
         for pdf in pdfs:
             pending.extend(pd.to_datetime(pdf["timestamp"]).tolist())
+    pending = set(pending)
     wm = state.getCurrentWatermarkMs()
     wm_ts = pd.Timestamp(wm, unit="ms") if wm and wm > 0 else None
     ready = sorted(t for t in pending if wm_ts is not None and t <= wm_ts)
@@ -156,8 +162,9 @@ def _alert_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 
 
 def alerts_stream(src: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """ST4 transformation: error lines -> restart alerts with a per-service cooldown."""
-    e = src.filter(F.col("line").rlike(AL.ERROR_PATTERNS)).select("service", "timestamp").dropDuplicates(["service", "timestamp"])
+    """ST4 transformation: error lines -> restart alerts with a per-service cooldown.
+    The fold drops repeated times itself, so no state is kept for past errors."""
+    e = src.filter(F.col("line").rlike(AL.ERROR_PATTERNS)).select("service", "timestamp")
     e = _event_time(e).withWatermark("event_time", lateness)
     return e.groupBy("service").applyInPandasWithState(_alert_fold, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -199,9 +206,12 @@ def _session_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
             play_ts, play_dev, matched = ts, dev, False
         elif play_ts is not None and not matched and ts > pd.Timestamp(play_ts):
             mins = (ts - pd.Timestamp(play_ts)).value / 1e9 / 60.0
-            rows.append((user, item, play_dev, pd.Timestamp(play_ts), ts, float(round(mins * 10) / 10)))
+            rows.append((user, item, play_dev, pd.Timestamp(play_ts), ts, math.floor(mins * 10 + 0.5) / 10))  # half up, as in the batch form
             matched = True
-    state.update((play_ts, play_dev, matched, [(t, p, d) for t, p, d in keep]))
+    if keep or not matched:
+        state.update((play_ts, play_dev, matched, [(t, p, d) for t, p, d in keep]))
+    elif state.exists:  # a closed session needs no memory
+        state.remove()
     if keep:
         state.setTimeoutTimestamp(int(pd.Timestamp(min(p[0] for p in keep)).value // 10**6) + 1)
     if rows:

@@ -432,11 +432,27 @@ def test_view_catalogue_and_sql(spark):
     assert rows[0]["json"].startswith('{"columns":[{"text":"n","type":"string"}],"rows":[[')
 
 
-def test_ensure_parallelism(spark):
-    from almanac.session import ensure_parallelism
-
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(0, 1000, numPartitions=1)
-    assert ensure_parallelism(one).rdd.getNumPartitions() == cores
-    many = spark.range(0, 1000, numPartitions=cores * 2)
-    assert ensure_parallelism(many) is many
+def test_unreadable_transactions_are_kept_apart(spark):
+    from decimal import Decimal
+
+    from almanac.sources import ingest as I
+
+    page = ('{"page":1,"results":[{"id":"a","date":"2024-01-02","amount":99999999999.5},{"id":"b","date":"2024-13-45","amount":1},'
+            '{"id":"c","date":"2024-01-03"},{"id":"d","date":"2024-01-04","amount":-12.34},{"id":"e","date":"2024-01-05","amount":"x"},'
+            '{"id":"","date":"2024-01-05","amount":3},{"id":"f","amount":3}]}')
+    pages = spark.createDataFrame([(page,)], "page_json string")
+    got = {r["id"]: r["amount"] for r in I.ingest_transactions(pages, "checking_account").collect()}
+    assert got == {"c": Decimal("0.00"), "d": Decimal("-12.34")}
+    bad = {r["id"]: r["problem"] for r in I.unreadable_transactions(pages, "checking_account").collect()}
+    assert bad == {"a": "amount", "b": "date", "e": "amount"}
+
+
+def test_one_bad_value_does_not_stop_the_ingest(spark):
+    from almanac.sources import ingest as I
+
+    usage = '[{"user_name":"u","user_usage":{"2024-01-01":"30","2024-01-02":15,"2024-01-03":"x","2024-01-04":0}}]'
+    rows = I.ingest_playback(spark.createDataFrame([(usage,)], "usage_json string")).collect()
+    assert sorted((str(r["date"]), r["minutes_watched"]) for r in rows) == [("2024-01-01", 30), ("2024-01-02", 15)]
+    forecast = '{"weather":[{"hourly":[{"time":"x","chanceofrain":"90"},{"time":"900","chanceofrain":"50"}]}]}'
+    row = I.ingest_weather(spark.createDataFrame([(forecast,)], "forecast_json string")).collect()[0]
+    assert row["first_rain_hour"] == 9

@@ -128,6 +128,34 @@ def test_stream_upsert_is_idempotent(spark):
         assert doubled.filter(F.col("minutes_watched") != F.col("m0") * 2).count() == 0
 
 
+def test_upsert_sink_keeps_null_partitions_and_holds_a_key_once(spark):
+    schema = "k string, v int, month string"
+    for mode, moved in (("ignore", ("a", 1, "2024-01")), ("replace", ("a", 9, "2024-02"))):
+        path = tempfile.mkdtemp(prefix="st2n-", dir="/tmp") + "/table"
+        sink = J.upsert_sink(path, ["k"], mode, "month")
+        sink(spark.createDataFrame([("a", 1, "2024-01"), ("b", 2, None), ("d", 4, None)], schema), 0)
+        for _ in range(2):  # a replayed batch gives the same table
+            sink(spark.createDataFrame([("a", 9, "2024-02"), ("c", 3, None)], schema), 1)
+            got = {(r["k"], r["v"], r["month"]) for r in spark.read.parquet(path).collect()}
+            assert got == {moved, ("b", 2, None), ("c", 3, None), ("d", 4, None)}
+            assert spark.read.parquet(path).count() == 4
+
+
+def test_stream_sessions_round_half_up_on_whole_seconds(spark):
+    base = tempfile.mkdtemp(prefix="st5s-", dir="/tmp")
+    os.makedirs(f"{base}/land")
+    rows = [("u", "i", 0, M.PLAY), ("u", "i", 15, M.STOP), ("u", "j", 0, M.PLAY), ("u", "j", 45, M.STOP), ("z", "z", 59, M.PLAY)]
+    df = spark.createDataFrame(rows, "user_name string, item_name string, s int, event_type string")
+    stamp = F.format_string("2024-01-01 10:00:%02d", "s").cast("timestamp_ntz")
+    df = df.select(F.lit(1).cast("bigint").alias("id"), "event_type", "user_name", "item_name", F.lit("d").alias("device"), stamp.alias("timestamp"))
+    df.coalesce(1).write.json(f"{base}/_a")
+    shutil.copy(glob.glob(f"{base}/_a/*.json")[0], f"{base}/land/a.json")
+    src = J.read_landing(spark, f"{base}/land", J.ACTIVITY_LANDING)
+    run(J.sessions_stream(src, lateness="0 seconds").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck"))
+    got = {r["item_name"]: r["duration_minutes"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {r["item_name"]: r["duration_minutes"] for r in M.watch_sessions(df).collect()} == {"i": 0.3, "j": 0.8}
+
+
 def test_stream_daily_summary_update_mode_covers_every_day(spark):
     from almanac.operators.telemetry import telemetry_daily_summary
 
