@@ -127,7 +127,11 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their exact similarity as numbers of common and of all shingles."""
+    """Pairs (a, b) with their exact similarity as numbers of common and of all shingles. Only the
+    sets that the pairs name are shuffled, when their list is short enough to be broadcast."""
+    if 2 * pairs.count() <= BROADCAST_IDS:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+        sets = sets.join(F.broadcast(named), "point", "left_semi")
     one = pairs.join(sets.select(F.col("point").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("point").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -221,9 +225,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         pairs = materialize(pairs, "pairs")
         new = materialize(distances(pairs, sets.of(pairs)), "pairs")
         known = known.unionByName(new)
-        links = links.unionByName(new.where(close).select("a", "b"))
-        if new.where(close).limit(1).count():
-            label = components(links)
+        links = new.where(close).select("a", "b")
+        if links.limit(1).count():
+            # A component so far is a star around its label: its links need not be gone through again.
+            label = components(links.unionByName(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
         open_ = open_.join(chosen.select("token", "point"), ["token", "point"], "left_anti").select("token", "point")
         take, turn = 4 * take, turn + 1
 
