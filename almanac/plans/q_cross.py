@@ -9,18 +9,22 @@ from almanac.sources import fixtures as FX
 W = with_views("telemetry_long", "transactions", "media_activity_long")
 GRID = "cast(round(latitude, 3) as varchar) || ',' || cast(round(longitude, 3) as varchar)"
 
+# One list of facts of all sources, grouped once. A figure without facts of its kind in a month is NULL;
+# months are those with telemetry.
 MONTHLY = f"""
-select months.month, km.km, loc.places, fin.spend, media.titles
-from (select distinct strftime(date, '%Y-%m') as month from telemetry_long) months
-left join (select m, cast(sum(k) as double) as km from (
-    select entity_id, strftime(date, '%Y-%m') as m, max(odometer_km) - min(odometer_km) as k
-    from telemetry_long where odometer_km > 0 group by 1, 2) group by m) km on km.m = months.month
-left join (select strftime(date, '%Y-%m') as m, count(distinct {GRID}) as places
-    from telemetry_long where latitude is not null group by 1) loc on loc.m = months.month
-left join (select strftime(date, '%Y-%m') as m, cast(coalesce(sum(case when amount > 0 then amount else 0 end), 0) as double) as spend
-    from transactions group by 1) fin on fin.m = months.month
-left join (select strftime(timestamp, '%Y-%m') as m, count(distinct item_name) as titles
-    from media_activity_long where event_type = 'VideoPlaybackStopped' group by 1) media on media.m = months.month"""
+, facts as (
+  select 'snapshots' as kind, strftime(date, '%Y-%m') as month,
+    max(odometer_km) filter (where odometer_km > 0) - min(odometer_km) filter (where odometer_km > 0) as km, null as label, null as amount
+  from telemetry_long group by 2, entity_id
+  union all select 'place', strftime(date, '%Y-%m'), null, {GRID}, null from telemetry_long where latitude is not null
+  union all select 'ledger', strftime(date, '%Y-%m'), null, null, greatest(amount, 0) from transactions
+  union all select 'title', strftime(timestamp, '%Y-%m'), null, item_name, null from media_activity_long
+    where event_type = 'VideoPlaybackStopped')
+select month, cast(sum(km) as double) as km,
+  case when bool_or(kind = 'place') then count(distinct label) filter (where kind = 'place') end as places,
+  case when bool_or(kind = 'ledger') then cast(coalesce(sum(amount), 0) as double) end as spend,
+  case when bool_or(kind = 'title') then count(distinct label) filter (where kind = 'title') end as titles
+from facts group by month having bool_or(kind = 'snapshots')"""
 
 
 def _inputs(spark, sf):
@@ -32,22 +36,11 @@ def q_monthly_summary(spark, sf):
     return C.monthly_summary(*_inputs(spark, sf))
 
 
-# The correlated scalar-subquery form of the same view (missing month -> 0 for the
-# counts and the COALESCE'd sum, NULL for km): checks J1 + zero fill against J2.
-CORRELATED = f"""
-select m.month,
-  (select cast(sum(k) as double) from (select o2.entity_id, max(o2.odometer_km) - min(o2.odometer_km) as k from telemetry_long o2
-     where strftime(o2.date, '%Y-%m') = m.month and o2.odometer_km > 0 group by o2.entity_id)) as km,
-  (select count(distinct cast(round(o2.latitude, 3) as varchar) || ',' || cast(round(o2.longitude, 3) as varchar)) from telemetry_long o2
-     where strftime(o2.date, '%Y-%m') = m.month and o2.latitude is not null) as places,
-  (select cast(coalesce(sum(case when t.amount > 0 then t.amount else 0 end), 0) as double) from transactions t
-     where strftime(t.date, '%Y-%m') = m.month) as spend,
-  (select count(distinct a.item_name) from media_activity_long a
-     where a.event_type = 'VideoPlaybackStopped' and strftime(a.timestamp, '%Y-%m') = m.month) as titles
-from (select distinct strftime(date, '%Y-%m') as month from telemetry_long) m"""
+# The same with a zero, but for the distance, where a month has no facts of a kind.
+MONTHLY_ZERO = MONTHLY.replace("select month, cast(sum(km)", "select month, km, coalesce(places, 0) as places, coalesce(spend, 0) as spend, coalesce(titles, 0) as titles\nfrom (select month, cast(sum(km)") + ")"
 
 
-@register("monthly_summary_zero", W + CORRELATED, "cross")
+@register("monthly_summary_zero", W + MONTHLY_ZERO, "cross")
 def q_monthly_summary_zero(spark, sf):
     return C.monthly_summary(*_inputs(spark, sf), fill_zero=True)
 

@@ -19,16 +19,19 @@ def lib(spark, sf):
     return FX.load(spark, sf, "media_library")
 
 
-SESSIONS = f"""starts as (select user_name, item_name, device, timestamp as start_time,
-    lead(timestamp) over (partition by user_name, item_name order by timestamp) as next_start
-  from media_activity where event_type = '{M.PLAY}'),
-stops as (select user_name, item_name, timestamp as stop_time from media_activity where event_type = '{M.STOP}'),
+# A session runs from a play to the nearest stop after it, if no other play of the same user and item
+# lies between; of plays at one instant the one without a device, else the last device, counts.
+SESSIONS = f"""plays as (
+  select user_name, item_name, timestamp as start_time, case when bool_and(device is not null) then max(device) end as device
+  from media_activity where event_type = '{M.PLAY}' group by user_name, item_name, timestamp),
+ends as (select distinct user_name, item_name, timestamp as stop_time from media_activity where event_type = '{M.STOP}'),
 sessions as (
-  select s.user_name, s.item_name, s.device, s.start_time, min(st.stop_time) as stop_time,
-    round(date_diff('microsecond', s.start_time, min(st.stop_time)) / 1e6 / 60.0, 1) as duration_minutes
-  from starts s left join stops st on st.user_name = s.user_name and st.item_name = s.item_name
-    and st.stop_time > s.start_time and (s.next_start is null or st.stop_time <= s.next_start)
-  group by s.user_name, s.item_name, s.device, s.start_time having min(st.stop_time) is not null)
+  select p.user_name, p.item_name, p.device, p.start_time, e.stop_time,
+    round(date_diff('microsecond', p.start_time, e.stop_time) / 1e6 / 60.0, 1) as duration_minutes
+  from plays p
+  asof join ends e on e.user_name = p.user_name and e.item_name = p.item_name and p.start_time < e.stop_time
+  asof left join plays n on n.user_name = p.user_name and n.item_name = p.item_name and p.start_time < n.start_time
+  where n.start_time is null or e.stop_time <= n.start_time)
 """
 
 

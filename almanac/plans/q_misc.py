@@ -139,8 +139,8 @@ def q_extract_intent(spark, sf):
 
 
 # ---------------------------------------------------------------- subtitles
-SRT_BLOCKS = """select 'conv' || conv_id || case when turn >= 500 then '.p' || cast(floor(turn / 500) as bigint) else '' end || '.en.srt' as file,
-  conv_id, cast(row_number() over (partition by conv_id, floor(turn / 500) order by turn) - 1 as integer) as pos, cast(turn + 1 as int) as idx,
+SRT_BLOCKS = """select 'conv' || conv_id || '.en.srt' as file,
+  conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as pos, cast(turn + 1 as int) as idx,
   '00:00:' || turn || ',000 --> 00:00:' || turn || ',900' as ts, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text
 from conversations"""
 

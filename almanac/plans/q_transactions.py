@@ -116,15 +116,22 @@ def q_tx_weekly(spark, sf):
 L = X.OVERVIEW_LABELS
 
 
-@register("tx_overview", W + f"""
-select '{L[0]}' as metric, cast(count(*) as varchar) as value from transactions
-union all select '{L[1]}', min(date) || '{X.PERIOD_SEP}' || max(date) from transactions
-union all select '{L[2]}', '{X.CURRENCY}' || cast(cast(round(sum({EXP}), 2) as decimal(38,2)) as varchar) from transactions
-union all select '{L[3]}', '{X.CURRENCY}' || cast(cast(round(sum({INC}), 2) as decimal(38,2)) as varchar) from transactions
-union all select '{L[4]}', '{X.CURRENCY}' || cast(cast(round(cast(sum(m) as double)/count(m), 2) as decimal(38,2)) as varchar)
-  from (select sum({EXP}) as m from transactions group by strftime(date, '%Y-%m'))
-union all select '{L[5]}', '{X.CURRENCY}' || cast(cast(round(cast(sum(case when amount < 0 then abs(amount) end) as double)
-  / count(case when amount < 0 then 1 end), 2) as decimal(38,2)) as varchar) from transactions""", "transactions")
+def _money(x: str) -> str:
+    return f"'{X.CURRENCY}' || cast(cast(round({x}, 2) as decimal(38,2)) as varchar)"
+
+
+# One aggregate over the ledger, its figures turned into rows.
+OVERVIEW = f"""
+, figures as (
+  select count(*) as n, min(date) || '{X.PERIOD_SEP}' || max(date) as period, sum({EXP}) as expense, sum({INC}) as income,
+    count(distinct coalesce(strftime(date, '%Y-%m'), '')) as months, nullif(count(*) filter (where amount < 0), 0) as n_expense
+  from transactions)
+select unnest({list(L)}) as metric, unnest([cast(n as varchar), period, {_money('expense')}, {_money('income')},
+  {_money('cast(expense as double) / nullif(months, 0)')}, {_money('cast(expense as double) / n_expense')}]) as value
+from figures"""
+
+
+@register("tx_overview", W + OVERVIEW, "transactions")
 def q_tx_overview(spark, sf):
     return X.tx_overview(tx(spark, sf))
 

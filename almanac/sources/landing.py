@@ -92,24 +92,15 @@ def library_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("page_no", F.to_json(F.struct("Items")).alias("page_json"))
 
 
-SRT_PART = 500
-
-
-def srt_file_name(conv_id, turn):
-    """``conv<id>.en.srt``; conversations longer than 500 turns continue in
-    ``conv<id>.p<k>.en.srt`` so no file folds an unbounded number of blocks."""
-    part = F.floor(turn / SRT_PART)
-    return F.concat(F.lit("conv"), conv_id.cast("string"),
-                    F.when(part > 0, F.concat(F.lit(".p"), part.cast("string"))).otherwise(F.lit("")), F.lit(".en.srt"))
-
-
 def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtitle files built from conversations: one block per turn (index turn+1, a
-    time line, the turn text), at most 500 blocks per file; even conversations use CRLF."""
+    time line, the turn text); even conversations use CRLF. A file is one text value, as
+    it is where it lands, so a conversation is held whole."""
     c = table(spark, sf_dir, "conversations")
     ts = F.concat(F.lit("00:00:"), F.col("turn").cast("string"), F.lit(",000 --> 00:00:"), F.col("turn").cast("string"), F.lit(",900"))
     blk = F.struct(F.col("turn"), F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), ts, F.lit("\n"), F.col("text"), F.lit("\n")).alias("b"))
-    g = c.groupBy("conv_id", srt_file_name(F.col("conv_id"), F.col("turn")).alias("file")).agg(F.array_sort(F.collect_list(blk)).alias("_b"))
+    file = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".en.srt"))
+    g = c.groupBy("conv_id", file.alias("file")).agg(F.array_sort(F.collect_list(blk)).alias("_b"))
     body = F.array_join(F.transform("_b", lambda e: e["b"]), "\n")
     body = F.when(F.col("conv_id") % 2 == 0, F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body)
     return g.select("file", body.alias("content"))
