@@ -72,26 +72,6 @@ def watch_sessions(activity: DataFrame, bucket: str = "day") -> DataFrame:
                     round_half_away(minutes_between("start_time", "stop_time"), 1).alias("duration_minutes"))
 
 
-def watch_sessions_range_join(activity: DataFrame) -> DataFrame:
-    """J3 as written in the reference (equi + range join, then MIN per play).
-
-    Emits every play x stop pair of a (user, item) group, so it is kept for
-    equivalence tests on small fixtures only; use ``watch_sessions``.
-    """
-    k = ["user_name", "item_name"]
-    starts = activity.filter(F.col("event_type") == PLAY).select(
-        *k, "device", F.col("timestamp").alias("start_time"),
-        F.lead("timestamp").over(Window.partitionBy(*k).orderBy("timestamp")).alias("next_start"))
-    stops = activity.filter(F.col("event_type") == STOP).select(
-        F.col("user_name").alias("su"), F.col("item_name").alias("si"), F.col("timestamp").alias("stop_time"))
-    cond = ((F.col("su") == F.col("user_name")) & (F.col("si") == F.col("item_name")) & (F.col("stop_time") > F.col("start_time"))
-            & (F.col("next_start").isNull() | (F.col("stop_time") <= F.col("next_start"))))
-    g = starts.join(stops, cond, "left").groupBy(*k, "device", "start_time").agg(F.min("stop_time").alias("stop_time"))
-    g = g.filter(F.col("stop_time").isNotNull())
-    return g.select(*k, "device", "start_time", "stop_time",
-                    round_half_away(minutes_between("start_time", "stop_time"), 1).alias("duration_minutes"))
-
-
 def user_watch_stats(sessions: DataFrame, max_minutes: float = 600) -> DataFrame:
     """Per user over sessions with 0 < minutes < ``max_minutes``.
     Durations carry one decimal, so they are summed as DECIMAL (exact)."""

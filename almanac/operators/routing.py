@@ -69,23 +69,25 @@ def _sql_vstring(x: str) -> str:
     return f"CASE WHEN schema_of_variant({x}) = 'STRING' THEN {_sql_clean(f'try_variant_get({x}, {chr(39)}${chr(39)}, {chr(39)}string{chr(39)})')} END"
 
 
-def _sql_object_name(x: str) -> str:
-    """First usable name field of an object."""
-    return "coalesce(" + ", ".join(_sql_vstring(_sql_path(x, k)) for k in OBJECT_NAME_KEYS) + ")"
-
-
-def _sql_scalar_or_object(x: str) -> str:
-    return (f"CASE WHEN schema_of_variant({x}) = 'STRING' THEN {_sql_vstring(x)} "
-            f"WHEN startswith(schema_of_variant({x}), 'OBJECT') THEN {_sql_object_name(x)} END")
+def _sql_expand(e: str) -> str:
+    """One level down: a string stays, an object gives its name fields, a list its elements."""
+    t = f"schema_of_variant({e})"
+    fields = ", ".join(_sql_path(e, k) for k in OBJECT_NAME_KEYS)
+    return (f"CASE WHEN {t} = 'STRING' THEN array({e}) WHEN startswith({t}, 'OBJECT') THEN array({fields}) "
+            f"WHEN startswith({t}, 'ARRAY') THEN try_variant_get({e}, '$', 'array<variant>') "
+            f"ELSE filter(array({e}), z -> false) END")
 
 
 def _sql_candidate(val: str, typ: str) -> str:
-    """A string value, the first usable name field of an object, or the first usable
-    element (string or object) of a list."""
-    arr = (f"get(filter(transform(try_variant_get({val}, '$', 'array<variant>'), e -> {_sql_scalar_or_object('e')}), "
-           f"y -> y IS NOT NULL), 0)")
-    return (f"CASE WHEN {typ} = 'STRING' THEN {_sql_vstring(val)} WHEN startswith({typ}, 'OBJECT') THEN {_sql_object_name(val)} "
-            f"WHEN startswith({typ}, 'ARRAY') THEN {arr} END")
+    """The first usable text of a string, of an object's name fields or of a list's elements, at any
+    depth and in their order. The value is expanded level by level as often as its own type is
+    nested; a list of mixed types hides that, its opening brackets bound it."""
+    brackets = f"length(regexp_replace(to_json({val}), '[^\\\\[{{]', ''))"
+    levels = f"CASE WHEN contains({typ}, 'VARIANT') THEN {brackets} ELSE length({typ}) - length(replace({typ}, '<', '')) END"
+    leaves = f"aggregate(sequence(1, greatest(1, {levels})), array({val}), (acc, i) -> flatten(transform(acc, e -> {_sql_expand('e')})))"
+    found = f"get(filter(transform({leaves}, y -> {_sql_vstring('y')}), t -> t IS NOT NULL), 0)"
+    return (f"CASE WHEN {typ} = 'STRING' THEN {_sql_vstring(val)} "
+            f"WHEN startswith({typ}, 'OBJECT') OR startswith({typ}, 'ARRAY') THEN {found} END")
 
 
 def with_requester(df: DataFrame, v: str = "_v", out: str = "requester") -> DataFrame:
@@ -116,16 +118,20 @@ def destination_list(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def route_events(events: DataFrame, routes: DataFrame, default_urls: list[str], payload_col: str = "payload") -> DataFrame:
+def route_events(events: DataFrame, routes: DataFrame, default_urls: list[str], payload_col: str = "payload",
+                 route_order: str | None = None) -> DataFrame:
     """Requester -> its destinations (direct), else the default list (fallback),
     else none. ``routes`` is (user, urls) with urls a list or a comma-separated text;
-    users are normalised and blank destinations dropped here; the
+    users are normalised and blank destinations dropped here. Of several routes of a
+    user the one with the largest ``route_order`` counts (their place in the route file);
+    without that column the largest list of destinations. The
     join is an equi left join that AQE broadcasts when the route table is small."""
     urls_t = routes.schema["urls"].dataType
     urls = destination_list(F.col("urls")) if isinstance(urls_t, T.StringType) else F.filter(
         F.transform(F.col("urls"), lambda u: F.trim(u)), lambda u: u != "")
-    r = routes.select(normalize_username(F.col("user")).alias("_user"), urls.alias("_urls")).filter(
-        (F.col("_user") != "") & (F.size("_urls") > 0)).dropDuplicates(["_user"])
+    order = F.col(route_order) if route_order else urls
+    r = routes.select(normalize_username(F.col("user")).alias("_user"), urls.alias("_urls"), order.alias("_order")).filter(
+        (F.col("_user") != "") & (F.size("_urls") > 0)).groupBy("_user").agg(F.max_by("_urls", "_order").alias("_urls"))
     e = events.withColumn("_v", F.try_parse_json(F.col(payload_col)))
     e = with_requester(e, "_v", "requester")
     e = e.withColumn("_user", normalize_username(F.col("requester")))
