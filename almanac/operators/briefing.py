@@ -25,7 +25,6 @@ BATTERY_GOOD = "✅ Bateria boa, sem necessidade de carga"
 RAIN_UNLOCKED = "⚠️ Chuva prevista e carro destrancado — tranque!"
 JUST_UNLOCKED = "⚠️ Carro destrancado — tranque!"
 UMBRELLA = "☂️ Leve guarda-chuva — chuva prevista a partir das {}h"
-VEHICLE_LABEL = "ORA 03"
 RECO_INDENT = "   "
 
 
@@ -37,7 +36,7 @@ def fill(template: str, *cols: Column) -> Column:
     return F.concat(*out)
 
 
-def daily_briefing(telemetry: DataFrame, weather: DataFrame | None, as_of, vehicle_label: str = VEHICLE_LABEL) -> DataFrame:
+def daily_briefing(telemetry: DataFrame, weather: DataFrame | None, as_of, vehicle_label: str) -> DataFrame:
     """One briefing per entity: latest snapshot (P1) LEFT JOIN the forecast of ``as_of``.
 
     ``weather`` is the output of ``ingest_weather`` with a ``date`` column (one row per

@@ -111,13 +111,22 @@ def _ranked_list(df: DataFrame, key: str, order: list[Column], n: int, fields: l
     return g.select(key, F.transform("_l", lambda e: e.dropFields("rk")).alias(name))
 
 
+#: Shares that a month's rows are ranked in, so that no task sorts a whole month; a month's best
+#: rows are among the best of its shares.
+SHARES = 1024
+
+
+def _share(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(SHARES))
+
+
 def _report_telemetry(t: DataFrame) -> DataFrame:
     """Per month from one telemetry scan: km (per vehicle, summed), mean SOC and range,
     snapshots, distinct cells and the top-5 cells.
 
     GROUPING SETS ((entity, month), (month, cell)) aggregates both grains in one
-    shuffle; one window per month ranks the cell rows; one month aggregate reads
-    each grain through ``grouping_id`` and folds only the top-5 cells into a list."""
+    shuffle; a window per (month, share of its rows) finds each share's top-5 cells; one
+    month aggregate reads each grain through ``grouping_id`` and keeps the best five."""
     soc_ok = F.col("battery_soc").isNotNull()
     x = t.select("entity_id", month_key("date").alias("month"), T.grid3("latitude").alias("lg"), T.grid3("longitude").alias("og"),
                  F.when(soc_ok, F.col("odometer_km")).alias("odo"), "battery_soc",
@@ -128,13 +137,13 @@ def _report_telemetry(t: DataFrame) -> DataFrame:
         F.min("address").alias("address"), F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("gid"))
     ent = F.col("gid") == 3
     cell = (F.col("gid") == 8) & F.col("lg").isNotNull()
-    w = Window.partitionBy("month").orderBy(cell.desc(), F.col("rows").desc(), F.col("lg"), F.col("og"))
+    w = Window.partitionBy("month", _share("entity_id", "lg", "og")).orderBy(cell.desc(), F.col("rows").desc(), F.col("lg"), F.col("og"))
     r = g.withColumn("rk", F.row_number().over(w))
 
     def on(cond, c):
         return F.when(cond, c)
 
-    top = on(cell & (F.col("rk") <= 5), F.struct(F.col("rk"), shorten_address("address").alias("name"), F.col("rows").alias("visits")))
+    top = on(cell & (F.col("rk") <= 5), F.struct((-F.col("rows")).alias("less"), "lg", "og", shorten_address("address").alias("name"), F.col("rows").alias("visits")))
     m = r.groupBy("month").agg(
         F.sum(on(ent, F.col("o1") - F.col("o0"))).alias("k"), F.sum(on(ent, F.col("ss"))).alias("ss"),
         F.sum(on(ent, F.col("sn"))).alias("sn"), F.sum(on(ent, F.col("rs"))).alias("rs"), F.sum(on(ent, F.col("rn"))).alias("rn"),
@@ -144,7 +153,7 @@ def _report_telemetry(t: DataFrame) -> DataFrame:
         "month", F.coalesce(F.col("k"), F.lit(0)).cast("double").alias("km"),
         round_half_away(F.try_divide(F.col("ss").cast("double"), F.col("sn").cast("double")), 0).alias("avg_battery"),
         round_half_away(F.try_divide(F.col("rs").cast("double"), F.col("rn").cast("double")), 0).alias("avg_range"),
-        "snapshots", "places", F.transform("_top", lambda e: e.dropFields("rk")).alias("top_locations"))
+        "snapshots", "places", F.transform(F.slice("_top", 1, 5), lambda e: e.dropFields("less", "lg", "og")).alias("top_locations"))
 
 
 def _report_finance(tx: DataFrame, sign: int) -> DataFrame:
@@ -183,12 +192,13 @@ def _report_media(activity: DataFrame) -> DataFrame:
     watched = activity.filter(F.col("event_type") == STOP).groupBy(
         month_key("timestamp").alias("month"), F.col("item_name").alias("title"), F.col("user_name").alias("user"), "device").agg(
         F.max("timestamp").alias("last"))
-    w = Window.partitionBy("month").orderBy(F.col("last").desc(), F.col("title"), F.col("user"), F.col("device"))
+    w = Window.partitionBy("month", _share("title", "user", "device")).orderBy(F.col("last").desc(), F.col("title"), F.col("user"), F.col("device"))
     r = watched.withColumn("rk", F.row_number().over(w))
-    top = F.when(F.col("rk") <= 8, F.struct(F.col("rk"), F.substring("title", 1, 35).alias("title"), F.col("user"),
-                                             F.substring("device", 1, 20).alias("device")))
+    age = F.expr("timestampdiff(MICROSECOND, last, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    top = F.when(F.col("rk") <= 8, F.struct(age.alias("age"), "title", "user", "device"))
     m = r.groupBy("month").agg(F.count(F.lit(1)).alias("titles"), F.array_sort(F.collect_list(top)).alias("_e"))
-    return m.select("month", "titles", F.transform("_e", lambda e: e.dropFields("rk")).alias("entertainment"))
+    return m.select("month", "titles", F.transform(F.slice("_e", 1, 8), lambda e: F.struct(
+        F.substring(e["title"], 1, 35).alias("title"), e["user"].alias("user"), F.substring(e["device"], 1, 20).alias("device"))).alias("entertainment"))
 
 
 def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int = 1) -> DataFrame:

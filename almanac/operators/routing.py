@@ -94,18 +94,14 @@ def with_requester(df: DataFrame, v: str = "_v", out: str = "requester") -> Data
     """Add the requester found in the parsed payload column ``v``: flat keys, then
     nested paths, then the text patterns over message fields.
 
-    Stacked projections -- child values, their types, then the candidates -- so no
-    sub-expression is repeated inside another.
+    One expression judges every place in turn and stops at the first that names somebody.
     """
-    sources = REQUESTER_KEYS + REQUESTER_PATHS
-    cs = [f"_c{i}" for i in range(len(sources))]
-    x = df.selectExpr("*", *[f"{_sql_path(v, p)} AS {c}" for c, p in zip(cs, sources)],
-                      *[f"{_sql_vstring(_sql_path(v, f))} AS _x_{f}" for f in TEXT_FIELDS])
-    x = x.selectExpr("*", *[f"schema_of_variant({c}) AS {c}t" for c in cs])
-    x = x.selectExpr("*", *[f"{_sql_candidate(c, c + 't')} AS {c}v" for c in cs])
+    places = ", ".join(_sql_path(v, p) for p in REQUESTER_KEYS + REQUESTER_PATHS)
+    named = f"aggregate(array({places}), cast(NULL AS string), (got, c) -> coalesce(got, {_sql_candidate('c', 'schema_of_variant(c)')}))"
+    x = df.selectExpr("*", *[f"{_sql_vstring(_sql_path(v, f))} AS _x_{f}" for f in TEXT_FIELDS])
     texts = [f"nullif(regexp_extract(_x_{f}, '{_sql_literal(pat)}', 1), '')" for f in TEXT_FIELDS for pat in REQUESTER_TEXT_PATTERNS]
-    x = x.withColumn(out, F.expr("coalesce(" + ", ".join([c + "v" for c in cs] + texts) + ")"))
-    return x.drop(*cs, *[c + "t" for c in cs], *[c + "v" for c in cs], *[f"_x_{f}" for f in TEXT_FIELDS])
+    x = x.withColumn(out, F.expr("coalesce(" + ", ".join([named] + texts) + ")"))
+    return x.drop(*[f"_x_{f}" for f in TEXT_FIELDS])
 
 
 def normalize_username(x: Column) -> Column:

@@ -245,7 +245,7 @@ from almanac.sources import sinks as SK  # noqa: E402
 @register("daily_briefing", None, "briefing")
 def q_daily_briefing(spark, sf):
     w = ING.ingest_weather(L.forecast_docs(spark, sf))
-    return BR.daily_briefing(FX.load(spark, sf, "telemetry"), w, FX.AS_OF_EVENTS)
+    return BR.daily_briefing(FX.load(spark, sf, "telemetry"), w, FX.AS_OF_EVENTS, "EV")
 
 
 @register("ingest_weather", """

@@ -344,7 +344,7 @@ def _weather(spark, rain: bool):
 def test_briefing_battery_rules(spark, soc, rain, expected):
     t = spark.createDataFrame([(1, TS(2024, 1, 30, 7), soc, 100, False, True)], "entity_id long, timestamp timestamp_ntz, battery_soc int, battery_range_km int, is_charging boolean, is_locked boolean")
     t = t.withColumn("battery_soc", F.col("battery_soc").cast("decimal(5,2)")).withColumn("battery_range_km", F.col("battery_range_km").cast("decimal(6,2)"))
-    r = BR.daily_briefing(t, _weather(spark, rain), "2024-01-30").collect()[0]
+    r = BR.daily_briefing(t, _weather(spark, rain), "2024-01-30", "EV").collect()[0]
     assert r["recommendations"][0] == expected
     assert (BR.UMBRELLA.format(6) in r["recommendations"]) == rain
 
@@ -352,7 +352,7 @@ def test_briefing_battery_rules(spark, soc, rain, expected):
 def test_briefing_unlocked_without_weather(spark):
     t = spark.createDataFrame([(1, TS(2024, 1, 30, 7), 80, 240, True, False)], "entity_id long, timestamp timestamp_ntz, battery_soc int, battery_range_km int, is_charging boolean, is_locked boolean")
     t = t.withColumn("battery_soc", F.col("battery_soc").cast("decimal(5,2)")).withColumn("battery_range_km", F.col("battery_range_km").cast("decimal(6,2)"))
-    r = BR.daily_briefing(t, None, "2024-01-30").collect()[0]
+    r = BR.daily_briefing(t, None, "2024-01-30", "EV").collect()[0]
     assert r["recommendations"] == [BR.BATTERY_GOOD, BR.JUST_UNLOCKED]
     assert BR.UNLOCKED in r["text"] and BR.CHARGING in r["text"] and "Clima" not in r["text"]
 
