@@ -171,8 +171,9 @@ class Sets:
         return self.table
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One row per document (doc_id, n, point), and one per point with its component: (point, label,
+    component_id). Components of clashing ids may have one component_id, but never one label."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     about = materialize(describe(docs, size, percent), "sets")
@@ -234,15 +235,49 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
     named = points.join(label.select(F.col("node").alias("point"), "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = named.select("point", "label").join(first, "label").select("point", "component_id")
-    out = about.select("doc_id", "n", "point").join(of, "point", "left")
+    return about.select("doc_id", "n", "point"), named.select("point", "label").join(first, "label").select("point", "label", "component_id")
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    about, of = judged(docs, size, percent)
+    out = about.join(of.select("point", "component_id"), "point", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each component."""
-    found = jaccard_components(docs, size, percent)
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay: of each component the smallest doc_id, with its smallest point if
+    several of its texts are in the component. Of a doc_id with several texts each goes or stays by its
+    own set; rows with a null doc_id, and rows that repeat a doc_id and set, stay together."""
+    about, of = judged(docs, size, percent)
+    about = about.where("doc_id is not null").select("doc_id", "n", "point")
+    found = materialize(about.where("n > 0").join(of, "point").select("doc_id", "point", "label", "component_id"), "components")
+    first = found.where("doc_id = component_id").select("doc_id", "point", "label").distinct()
+    extra = first.join(first.groupBy("label").agg(F.min("point").alias("stays")), "label").where("point <> stays")
+    gone = found.where("doc_id <> component_id").select("doc_id", "point").unionByName(extra.select("doc_id", "point"))
+    gone = materialize(gone.distinct(), "near-copies")
+    ids = materialize(gone.select("doc_id").distinct(), "near-copies")
+    n = ids.count()
+    # A doc_id goes whole, unless another text of it stays: the rows of such a doc_id go by their sets.
+    stay = only_with(about, ids, ["doc_id"], n).join(gone, ["doc_id", "point"], "left_anti").select("doc_id").distinct()
+    partly = materialize(gone.join(stay, "doc_id", "left_semi"), "near-copies")
+    left = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    k = partly.count()
+    return left.unionByName(other_sets(docs, partly, k, size)) if k else left
+
+
+def other_sets(docs: DataFrame, gone: DataFrame, n: int, size: int) -> DataFrame:
+    """The rows of ``docs`` with a doc_id of the ``n`` rows of ``gone`` (doc_id, point), but another point."""
+    own = only_with(docs, gone.select("doc_id").distinct(), ["doc_id"], n).select(*docs.columns)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [point(s) for s in shingle_sets(batch.column(at).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(points, pa.int64())], names=[*batch.schema.names, "__point"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __point long"
+    own, gone = own.mapInArrow(run, schema), gone.toDF("__id", "__gone")
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__point") == F.col("__gone"))
+    return own.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, same, "left_anti").drop("__point")

@@ -308,6 +308,22 @@ def test_near_copies_that_stay(docs, rows):
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
 
 
+def test_near_copies_of_clashing_ids(spark):
+    rnd = random.Random(3)
+    base, own, other = ([f"w{rnd.randrange(10**6)}" for _ in range(100)] for _ in range(3))
+    near = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    pairs = [
+        (1, " ".join(base)), (2, near(base, 50)), (2, " ".join(own)), (2, ""),  # 2: a copy goes, a text of its own and an empty one stay
+        (3, near(base, 20)), (3, near(base, 70)),  # all of it goes
+        (4, " ".join(other)), (4, near(other, 99)), (5, near(other, 0)), (None, near(base, 30)),
+    ]
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in pairs], "doc_id long, text string, label string, point int")
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect())
+    four = [p for p in pairs if p[0] == 4]
+    fixed = Counter([pairs[0], pairs[2], pairs[3], pairs[-1]])
+    assert got in [fixed + Counter([p]) for p in four]
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (200, 9), (7, 8)]
     got = {r.node: r.label for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
