@@ -57,9 +57,30 @@ def exact_groups(docs: DataFrame, keep: str = "max", fan_in: int = FAN_IN, round
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with all their columns."""
-    gone = exact_groups(docs, keep).where(~F.col("kept"))
+def drop_copies(docs: DataFrame, keep: str = "max", one_row: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, those of one doc_id for each text, with all their columns. Rows
+    that repeat this doc_id (or null, if the text has no other) with the text stay too; with
+    ``one_row`` one of them does, that with the smallest text as it is written."""
+    found = exact_groups(docs, keep).select("doc_id", "text_sha256", "kept")
+    found = materialize(found, "copies") if one_row else found
+    gone = found.where(~F.col("kept"))
     keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
     same = keyed["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (keyed["__sha"] == gone["text_sha256"])
-    return keyed.join(gone, same, "left_anti").drop("__sha")
+    left = keyed.join(gone, same, "left_anti")
+    if one_row:
+        again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = materialize(again.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key")), "repeated")
+        if again.limit(1).count():
+            left = one_of_repeated(left, again, docs.columns)
+    return left.drop("__sha")
+
+
+def one_of_repeated(rows: DataFrame, again: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` (with __sha) with one row for each doc_id and text in ``again`` (__id, __key). Each task, then
+    each of 64 salts, has one row left of a key, so no task gets all of them."""
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names], "__sha")
+    twice = rows.join(again, same, "left_semi").select("doc_id", "__sha", row.alias("__row"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("__salt"))
+    first = F.min_by("__row", F.struct("__row.text")).alias("__row")
+    one = twice.groupBy("doc_id", "__sha", "__salt").agg(first).groupBy("doc_id", "__sha").agg(first)
+    return rows.join(again, same, "left_anti").unionByName(one.select("__row.*"))

@@ -163,6 +163,20 @@ def test_drop_copies(docs, rows):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r[0], r[1]) for r in rows if best[lower(r[1])] == r[0])
 
 
+def test_drop_copies_one_row(with_null_id, rows, spark):
+    extra = [(None, "all null", *rows[0][2:])] * 3 + [(900, t, *rows[0][2:]) for t in ("Twice here", "twice HERE", "twice here")]
+    all_rows = [*rows, (None, "a b c", *rows[0][2:]), (None, rows[30][1], *rows[0][2:]), *extra]
+    got = exact_dedup.drop_copies(with_null_id.unionByName(spark.createDataFrame(extra, SCHEMA)), one_row=True)
+    assert got.columns == with_null_id.columns
+    best = {}
+    for r in all_rows:
+        key = lower(r[1])
+        best[key] = max([best.get(key, (-1, "")), (-1 if r[0] is None else r[0], "")])
+    want = Counter((None if i < 0 else i, t) for t, (i, _) in best.items())
+    got = got.collect()
+    assert Counter((r.doc_id, lower(r.text)) for r in got) == want and [r.text for r in got if r.doc_id == 900] == ["Twice here"]
+
+
 def test_token_files(docs, rows, spark, tmp_path):
     folder = f"file://{tmp_path}/files"
     got = token_files.write_and_read(docs, BYTE_VOCAB, folder, file_ids=3000).collect()
