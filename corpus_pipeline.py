@@ -48,7 +48,8 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: SQL can't express the tokenizer or the suffix sort; tests compare with brute force.
+#: SQL can't express the tokenizer or the suffix sort; tests/llm/test_pipeline.py
+#: compares run() with brute force.
 ORACLE_SQL = None
 
 
