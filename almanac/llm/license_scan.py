@@ -31,12 +31,16 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: (notice, label, edits). A notice is written in words joined by single spaces.
+#: (notice, label, edits). A notice is written in words joined by single spaces; one with a space at
+#: both ends must begin and end where words do.
 NOTICES = (
     ("licensed under the apache license version 2 0", "apache", 4),
     ("released under the mit license", "mit", 3),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     ("this work is licensed under the gnu general public license version 3", "gpl", 5),
+    ("gnu general public license", "gpl", 2),
+    (" apache license ", "apache", 2),
+    (" mit license ", "mit", 1),
     ("gnu lesser general public license", "lgpl", 2),
     ("gnu affero general public license", "agpl", 2),
     ("licensed under cc by nc", "cc-by-nc", 2),
@@ -63,11 +67,14 @@ class Notices:
     """Scanner for notices with up to k edits each."""
 
     def __init__(self, notices: tuple[tuple[str, str, int], ...]):
-        self.notices = notices
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(text, special_only=True)}){{e<={k}}}") for text, _, k in notices]
+        self.notices = tuple((text.strip(" "), label, k) for text, label, k in notices)
+        edges = [(r"(?<![^ ])", r"(?![^ ])") if text[:1] == text[-1:] == " " else ("", "") for text, _, _ in notices]
+        self.patterns = [regex.compile(f"(?b){a}(?:{regex.escape(text, special_only=True)}){{e<={k}}}{b}") for (text, _, k), (a, b) in zip(self.notices, edges, strict=True)]
+        #: Characters on either side of a notice: its edits, and the neighbour that a word's end is seen by.
+        self.margins = [k + bool(a) for (_, _, k), (a, _) in zip(self.notices, edges, strict=True)]
         self.automaton = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for i, (text, _, k) in enumerate(notices):
+        for i, (text, _, k) in enumerate(self.notices):
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((i, a))
@@ -83,7 +90,7 @@ class Notices:
             return found
         for end, (size, places) in self.automaton.iter(text):
             for i, a in places:
-                k = self.notices[i][2]
+                k = self.margins[i]
                 start = end + 1 - size - a
                 lo, hi = max(0, start - k), min(len(text), start + len(self.notices[i][0]) + k)
                 own = found.setdefault(i, [])
@@ -102,7 +109,9 @@ class Notices:
                     first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
                     out.append(Span(self.notices[i][1], first, text.count(" ", 0, m.end() - (text[m.end() - 1] == " ")) + 1, sum(m.fuzzy_counts)))
                     at = max(m.end(), at + 1)
-        best = [s for s in out if not any(x.first < s.last and s.first < x.last and x.edits < s.edits for x in out)]
+        # A notice gives way to a better one that it overlaps, but not to its own label's shorter form in it.
+        part = lambda x, s: x.label == s.label and s.first <= x.first and x.last <= s.last
+        best = [s for s in out if not any(x.first < s.last and s.first < x.last and x.edits < s.edits and not part(x, s) for x in out)]
         return sorted(best, key=lambda s: (s.first, s.last, s.label))
 
 

@@ -223,6 +223,16 @@ def test_license_notices():
     assert license_scan.scan_text(None, license_scan.PHRASES, n)["labels"] == ""
 
 
+def test_misspelt_phrases():
+    n = license_scan.Notices(license_scan.NOTICES)
+    label = lambda t: license_scan.scan_text(t, license_scan.PHRASES, n)["labels"]
+    assert label("this program is licensed under the GNU General Public Licence, version 2 or later") == "gpl"
+    assert label("GNU general pubic license") == label("released under gnu general public licence 3") == "gpl"
+    assert label("Apache Licence") == label("the apache lisence,") == "apache" and label("MIT Licence") == label("(mit licnse)") == "mit"
+    assert label("to submit licence fees") == label("permit license") == label("apache licensesxx") == label("general public") == ""
+    assert label("gnu lesser general public license") == "lgpl" and label("gnu affero general public license") == "agpl"
+
+
 def brute_repeats(w, least):
     lens = []
     for i in range(len(w)):
