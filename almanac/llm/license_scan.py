@@ -100,15 +100,23 @@ class Notices:
                     own.append((lo, hi))
         return found
 
+    def matches(self, i: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """The best match of notice i between lo and hi, and those before and after it."""
+        least = max(1, len(self.notices[i][0]) - self.notices[i][2])
+        parts = [(lo, hi)]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo >= least and (m := self.patterns[i].search(text, lo, hi)):
+                yield m
+                parts += [(lo, min(m.start(), hi - 1)), (max(m.end(), lo + 1), hi)]
+
     def spans(self, text: str) -> list[Span]:
         out = []
         for i, windows in self.windows(text).items():
             for lo, hi in windows:
-                at = lo
-                while at < hi and (m := self.patterns[i].search(text, at, hi)):
+                for m in self.matches(i, text, lo, hi):
                     first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
                     out.append(Span(self.notices[i][1], first, text.count(" ", 0, m.end() - (text[m.end() - 1] == " ")) + 1, sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
         # A notice gives way to a better one that it overlaps, but not to its own label's shorter form in it.
         part = lambda x, s: x.label == s.label and s.first <= x.first and x.last <= s.last
         best = [s for s in out if not any(x.first < s.last and s.first < x.last and x.edits < s.edits and not part(x, s) for x in out)]

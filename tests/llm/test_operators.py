@@ -233,6 +233,14 @@ def test_misspelt_phrases():
     assert label("gnu lesser general public license") == "lgpl" and label("gnu affero general public license") == "agpl"
 
 
+def test_notices_before_a_better_one():
+    n = license_scan.Notices(license_scan.NOTICES)
+    text = "gnu lesser general public licence or gnu lesser general public license and gnu leser general publc license"
+    assert [(s.first, s.last, s.edits) for s in n.spans(text)] == [(0, 5, 1), (6, 11, 0), (12, 17, 2)]
+    odd = license_scan.Notices((("ab", "x", 2), ("abcd", "y", 1)))  # a notice that may be empty; the search ends
+    assert {s.label for s in odd.spans("ab abcd abxd ab")} == {"x", "y"}
+
+
 def brute_repeats(w, least):
     lens = []
     for i in range(len(w)):
