@@ -16,7 +16,8 @@ Records: record_id, warc_type (response or revisit), target_uri, warc_date, stat
 Defined results: a null URL matches nothing; a null date is before all others for a response and
 matches nothing for a revisit; of responses with one date the largest record_id counts; a response
 must be strictly earlier; rows with a null type or status other than 200 are no full responses;
-repeated records give repeated rows; null headers are empty; no records give no rows.
+repeated records give repeated rows; a null record_id is as any other and before all of them; null
+headers are empty; dates count in microseconds; no records give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from almanac.llm.util import materialize
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't choose the resource.
 TRACKING = "ref|fbclid|gclid|utm_[a-z]+"
-BUCKET, COARSE = 3600, 1024
+#: A bucket of time in microseconds, and buckets of a coarser one.
+BUCKET, COARSE = 3_600_000_000, 1024
 
 
 def canonical_url(url: Column) -> Column:
@@ -69,7 +71,7 @@ def weak(tag: Column) -> Column:
 
 def latest_before(rows: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Adds ``prior``: the greatest non-null ``value`` (a struct that starts with its time) of rows
-    of the same ``key`` with a smaller ``time`` (seconds). Time buckets bound every window."""
+    of the same ``key`` with a smaller ``time`` (microseconds). Time buckets bound every window."""
     rows = rows.withColumn("__b", F.floor(F.col(time) / BUCKET))
     inside = Window.partitionBy(key, "__b").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__own", F.max(value).over(inside))
@@ -88,22 +90,21 @@ def resolve(records: DataFrame) -> DataFrame:
     revisit's own) and payload_digest (where resolved)."""
     r = records.select(
         "record_id", "warc_type", canonical_url(F.col("target_uri")).alias("url"),
-        F.unix_timestamp(F.col("warc_date").cast("timestamp")).alias("t"), "status", header_map(F.col("headers")).alias("h"), "payload_digest",
+        F.unix_micros(F.col("warc_date").cast("timestamp")).alias("t"), "status", header_map(F.col("headers")).alias("h"), "payload_digest", F.monotonically_increasing_id().alias("row"),
     )
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     r = materialize(r.where("warc_type = 'revisit' or (warc_type = 'response' and status = 200)"), "records")
-    time = F.coalesce(F.col("t"), F.when(full, F.lit(-(1 << 40))))
+    time = F.coalesce(F.col("t"), F.when(full, F.lit(-(1 << 60))))
     timed = r.withColumn("t", time).where("url is not null and t is not null")
-    value = F.struct("t", F.col("record_id").alias("id"), F.col("h").getItem("etag").alias("etag"), F.col("h").getItem("last-modified").alias("modified"), F.col("payload_digest").alias("digest"))
-    found = latest_before(timed.select("record_id", "warc_type", "url", "t", F.when(full, value).alias("v")), "url", "t", "v")
-    matched = found.where("warc_type = 'revisit'").select(F.col("record_id").alias("rid"), F.col("url").alias("rurl"), "prior.id", "prior.etag", "prior.modified", "prior.digest").distinct()
-    revisits = r.where("warc_type = 'revisit'").select("record_id", F.col("url").alias("canonical_url"), "h")
-    out = revisits.join(matched, (F.col("record_id") == F.col("rid")) & (F.col("canonical_url") == F.col("rurl")), "left")
-    responses = r.where(full).select(F.col("record_id").alias("id"), F.col("h").alias("full")).dropDuplicates(["id"])
-    out = out.join(responses, "id", "left")
+    value = F.struct("t", F.col("record_id").alias("id"), F.col("h").getItem("etag").alias("etag"), F.col("h").getItem("last-modified").alias("modified"), F.col("payload_digest").alias("digest"), "row")
+    found = latest_before(timed.select("row", "warc_type", "url", "t", F.when(full, value).alias("v")), "url", "t", "v")
+    matched = found.where("warc_type = 'revisit'").select("row", "prior.id", "prior.etag", "prior.modified", "prior.digest", F.col("prior.row").alias("source"))
+    revisits = r.where("warc_type = 'revisit'").select("record_id", F.col("url").alias("canonical_url"), "h", "row")
+    responses = r.where(full).select(F.col("row").alias("source"), F.col("h").alias("full"))
+    out = revisits.join(matched, "row", "left").join(responses, "source", "left")
     tag, date = F.col("h").getItem("etag"), F.col("h").getItem("last-modified")
     outcome = (
-        F.when(F.col("id").isNull(), "no_response")
+        F.when(F.col("source").isNull(), "no_response")
         .when(tag.isNotNull(), F.when(weak(tag).eqNullSafe(weak(F.col("etag"))), "resolved").otherwise("stale_validator"))
         .when(date.isNotNull(), F.when(date.eqNullSafe(F.col("modified")), "resolved").otherwise("stale_validator"))
         .otherwise("no_validator")

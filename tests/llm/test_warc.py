@@ -1,6 +1,7 @@
 """Revisit resolution on hand-made records and against its SQL."""
 
 import datetime as dt
+from collections import Counter
 
 from almanac.llm import queries, warc_revisits as W
 
@@ -42,6 +43,24 @@ def test_resolve(spark):
     assert got[11].canonical_url == "example.org/a?a=1&b=2" and got[12].payload_digest is None
 
 
+def test_parts_of_a_second_and_null_ids(spark):
+    ms = lambda r, n: (*r[:3], r[3] + dt.timedelta(milliseconds=n), *r[4:])
+    a, b = "https://example.org/a", "https://example.org/b"
+    rows = [
+        ms(record(9, "response", a, 0, 'ETag: "1"'), 100), ms(record(2, "response", a, 0, 'ETag: "2"'), 300),  # the later date, not the larger id
+        ms(record(10, "revisit", a, 0, 'ETag: "2"'), 900), ms(record(11, "revisit", a, 0, 'ETag: "1"'), 200), ms(record(12, "revisit", a, 0, 'ETag: "1"'), 100),
+        record(None, "revisit", a, 2, 'ETag: "2"'),
+        record(None, "response", b, 0, 'ETag: "5"\r\nX: y'), record(13, "revisit", b, 1, 'ETag: "5"'),
+        record(14, "revisit", a, 0, 'ETag: "1"'), record(14, "revisit", a, 5, 'ETag: "2"'),
+    ]
+    got = Counter((r.record_id, r.response_id, r.outcome, r.headers) for r in W.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter([
+        (10, 2, "resolved", 'etag: "2"'), (11, 9, "resolved", 'etag: "1"'), (12, None, "no_response", 'etag: "1"'),
+        (None, 2, "resolved", 'etag: "2"'), (13, None, "resolved", 'etag: "5"\nx: y'),
+        (14, None, "no_response", 'etag: "1"'), (14, 2, "resolved", 'etag: "2"'),
+    ])
+
+
 def test_empty(spark):
     assert W.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
 
