@@ -11,6 +11,8 @@ SHORT_SRC, LONG_TR = 45, 180
 MIN_MAX_LEN, MAX_RATIO = 320, 5
 MAX_QUOTES, QUOTED_LEN = 6, 140
 BATCH_SIZE = 20
+# Pieces of a file (or blocks of a piece) that are numbered in one window.
+RANGE = 1000
 
 
 def strip_ws(c: Column) -> Column:
@@ -18,19 +20,31 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def read_srt(files: DataFrame, file_col: str = "file", text_col: str = "content") -> DataFrame:
-    """Whole-file text -> (file, pos, idx, ts, text). Blocks are separated by
-    blank lines and need >= 3 lines, a numeric first line and '-->' in the second;
-    CRLF is normalised."""
-    t = strip_ws(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")))
-    b = files.select(F.col(file_col).alias("file"), F.posexplode(F.split(t, r"\n\s*\n")).alias("bpos", "block"))
+def read_srt(files: DataFrame, file_col: str = "file", text_col: str = "content", order_col: str | None = None) -> DataFrame:
+    """File text -> (file, pos, idx, ts, text). Blocks are separated by blank
+    lines and need >= 3 lines, a numeric first line and '-->' in the second; CRLF is
+    normalised. A row is a whole file or, with ``order_col`` (a whole number), a piece
+    of one that ends with a blank line; equal numbers are ordered by their text.
+    Pieces are parsed row by row; positions are block counts of the earlier ranges of
+    ``RANGE`` numbers plus the position inside the range, so no task holds a file."""
+    t = F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n"))
+    order = F.lit(0) if order_col is None else F.col(order_col)
+    # Equal pieces are told apart, so that each one's blocks stay together.
+    b = files.select(F.col(file_col).alias("file"), order.cast("bigint").alias("_o"), F.when(F.lit(order_col is not None), t).alias("_t"),
+                     F.monotonically_increasing_id().alias("_id"), F.posexplode(F.split(strip_ws(t), r"\n\s*\n")).alias("bpos", "block"))
     lines = F.split(F.col("block"), "\n")
     b = b.withColumn("_l", lines).filter(
         (F.size("_l") >= 3) & strip_ws(F.get("_l", 0)).rlike(r"^[0-9]+$") & F.get("_l", 1).contains("-->"))
-    b = b.select("file", "bpos", strip_ws(F.get("_l", 0)).cast("int").alias("idx"), strip_ws(F.get("_l", 1)).alias("ts"),
+    b = b.select("file", F.floor(F.col("bpos" if order_col is None else "_o") / RANGE).alias("_r"), "_o", "_t", "_id", "bpos",
+                 strip_ws(F.get("_l", 0)).cast("int").alias("idx"), strip_ws(F.get("_l", 1)).alias("ts"),
                  strip_ws(F.array_join(F.slice("_l", 3, F.size("_l")), "\n")).alias("text"))
-    pos = F.row_number().over(Window.partitionBy("file").orderBy("bpos")) - 1
-    return b.select("file", pos.alias("pos"), "idx", "ts", "text")
+    counts = b.groupBy("file", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_r")) - F.col("_n")
+    counts = counts.select(F.col("file").alias("_f"), F.col("_r").alias("_fr"), before.alias("_before"))
+    pos = F.row_number().over(Window.partitionBy("file", "_r").orderBy("_o", "_t", "_id", "bpos")) - 1
+    same = F.col("file").eqNullSafe(F.col("_f")) & F.col("_r").eqNullSafe(F.col("_fr"))
+    b = b.withColumn("_k", pos).join(counts, same)
+    return b.select("file", (F.col("_before") + F.col("_k")).cast("int").alias("pos"), "idx", "ts", "text")
 
 
 def chunk(blocks: DataFrame, size: int = BATCH_SIZE) -> DataFrame:

@@ -146,7 +146,7 @@ from conversations"""
 
 
 def _blocks(spark, sf):
-    return SB.read_srt(L.srt_files(spark, sf))
+    return SB.read_srt(L.srt_blocks(spark, sf), order_col="turn")
 
 
 @register("read_srt", f"select file, pos, idx, ts, text from ({SRT_BLOCKS})", "subtitles")

@@ -92,18 +92,34 @@ def library_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("page_no", F.to_json(F.struct("Items")).alias("page_json"))
 
 
-def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtitle files built from conversations: one block per turn (index turn+1, a
-    time line, the turn text); even conversations use CRLF. A file is one text value, as
-    it is where it lands, so a conversation is held whole."""
+def _srt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subtitle block per turn (index turn+1, a time line, the turn text): (conv_id, file, turn, b)."""
     c = table(spark, sf_dir, "conversations")
     ts = F.concat(F.lit("00:00:"), F.col("turn").cast("string"), F.lit(",000 --> 00:00:"), F.col("turn").cast("string"), F.lit(",900"))
-    blk = F.struct(F.col("turn"), F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), ts, F.lit("\n"), F.col("text"), F.lit("\n")).alias("b"))
+    blk = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), ts, F.lit("\n"), F.col("text"), F.lit("\n"))
     file = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".en.srt"))
-    g = c.groupBy("conv_id", file.alias("file")).agg(F.array_sort(F.collect_list(blk)).alias("_b"))
+    return c.select("conv_id", file.alias("file"), "turn", blk.alias("b"))
+
+
+def _srt_lines(body: Column) -> Column:
+    """Even conversations use CRLF."""
+    return F.when(F.col("conv_id") % 2 == 0, F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body)
+
+
+def srt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitle files built from conversations, landed block by block: (file, turn,
+    content). A file's contents in order of turn are its text, so no row and no group
+    holds a conversation."""
+    t = _srt_turns(spark, sf_dir)
+    return t.select("file", "turn", _srt_lines(F.concat(F.col("b"), F.lit("\n"))).alias("content"))
+
+
+def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, each as one text value: a conversation is held whole. For small
+    inputs; the registered queries read ``srt_blocks``."""
+    g = _srt_turns(spark, sf_dir).groupBy("conv_id", "file").agg(F.array_sort(F.collect_list(F.struct("turn", "b"))).alias("_b"))
     body = F.array_join(F.transform("_b", lambda e: e["b"]), "\n")
-    body = F.when(F.col("conv_id") % 2 == 0, F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body)
-    return g.select("file", body.alias("content"))
+    return g.select("file", _srt_lines(body).alias("content"))
 
 
 def srt_translations(blocks: DataFrame) -> DataFrame:

@@ -302,6 +302,24 @@ def test_read_srt(spark):
     assert [(r["pos"], r["idx"], r["text"]) for r in got] == [(0, 1, "line one\nline two"), (1, 4, "last")]
 
 
+def test_read_srt_by_pieces(spark, monkeypatch, tmp_path):
+    """A conversation landed block by block gives the rows of its whole file, over many
+    ranges, with odd texts, and in no group of the whole conversation."""
+    from almanac.plans.q_misc import _blocks
+    from almanac.sources import landing as L
+
+    texts = ["hi", "", None, " a\r", "two\n\n77\nx --> y\nmore\nlines", "\n", "x\r\ny  \n "]
+    data = [(c, n, "user", texts[(c + n) % 7]) for c in (3, 4) for n in (*range(40), 7)] + [(5, None, "user", "z")]
+    spark.createDataFrame(data, "conv_id long, turn int, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    whole = rows(SB.read_srt(L.srt_files(spark, str(tmp_path))), ["file", "pos"])
+    monkeypatch.setattr(SB, "RANGE", 6)
+    pieces = L.srt_blocks(spark, str(tmp_path))
+    assert rows(SB.read_srt(pieces, order_col="turn"), ["file", "pos"]) == whole == rows(SB.read_srt(L.srt_files(spark, str(tmp_path))), ["file", "pos"])
+    assert len(whole) > 50 and all(r["content"] is None or r["content"].count("-->") <= 2 for r in pieces.collect())
+    plan = _blocks(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and rows(_blocks(spark, str(tmp_path)), ["file", "pos"]) == whole
+
+
 def test_srt_round_trip(spark):
     content = "1\n00:00:01,000 --> 00:00:02,000\nhi\n\n2\n00:00:03,000 --> 00:00:04,000\nthere\n"
     b = SB.read_srt(spark.createDataFrame([("f", content)], "file string, content string"))
