@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import byte_bpe, exact_dedup, hyperdim, jaccard_join, license_scan, packing, recompression, repetition, spelling, token_files, warc_revisits, whitening
+from almanac.llm import byte_bpe, exact_dedup, hyperdim, jaccard_join, license_scan, maxent, packing, recompression, repetition, spelling, token_files, warc_revisits, whitening
 from almanac.llm.util import documents
 
 
@@ -61,6 +61,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op13_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir))
+
+
 OP2_SQL = """
 with t as (
   select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as s
@@ -125,7 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_packing_nnls, op2_exact_dedup, op3_warc_revisits, op4_token_files, op5_license_scan,
         op6_repetition_rules, op7_jaccard_join, op8_byte_bpe, op9_recompression, op10_hyperdimensional_language,
-        op11_whitening, op12_spelling_variants,
+        op11_whitening, op12_spelling_variants, op13_maxent_scores,
     )
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc_revisits": OP3_SQL}
