@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.sums import SCHEMA, pieces, summed
-from almanac.llm.util import bounded_batches, columns, materialize
+from almanac.llm.util import bounded_batches, materialize
 
 #: The text's end as a token; words hold no white space.
 END = b"\n"
@@ -175,27 +175,33 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
             rare[WORDS:-1] = own.in_class(own.c[WORDS:], own.ids[WORDS:].astype(np.int64) - WORDS)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            doc_ids, texts, held, slices = columns(batch, "doc_id", "text", "held_out", "slice")
-            out = []
-            for doc_id, text, h, s in zip(doc_ids, texts, held, slices, strict=True):
-                words = tokens_of(text)
-                rank = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
-                at, tail = ids[rank], Counter()
-                for k in np.flatnonzero(rank < 0).tolist():
-                    tail[words[k]] += 1
-                    at[k] = WORDS + ending(words[k])
-                out.append((row, doc_id, h, s, len(words), int((rank >= 0).sum()), float(base[rank].sum()), float(rare[rank].sum()), at.tobytes(), [{"token": t, "k": k} for t, k in tail.items()]))
-                row += 1
-            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=ARROW)
+            words = [tokens_of(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            if not words:
+                continue
+            ends = np.cumsum([0, *map(len, words)])
+            flat = [w for own_words in words for w in own_words]
+            rank = np.fromiter(map(ranks.__getitem__, flat), np.int64, len(flat))
+            at, known = ids[rank], rank >= 0
+            tails: list[Counter[bytes]] = [Counter() for _ in words]
+            others = np.flatnonzero(~known)
+            for k, doc in zip(others.tolist(), (np.searchsorted(ends, others, side="right") - 1).tolist(), strict=True):
+                word = flat[k]
+                tails[doc][word] += 1
+                at[k] = WORDS + ending(word)
+            entries = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([k for t in tails for k in t.values()], pa.int32())], names=["token", "k"])
+            sums = lambda x: np.add.reduceat(x, ends[:-1])
+            kept = {n: batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "held_out", "slice")}
+            made = {
+                "row": np.arange(row, row + len(words)), "n_tokens": np.diff(ends), "n_known": sums(known.astype(np.int64)), "base": sums(base[rank]), "rare": sums(rare[rank]),
+                "ids": pa.array([at[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "tail": pa.ListArray.from_arrays(np.cumsum([0, *map(len, tails)], dtype=np.int32), entries),
+            }
+            row += len(words)
+            yield pa.RecordBatch.from_pydict(made | kept).select(NAMES)
 
     return docs.mapInArrow(run, ENCODED)
 
 
-ARROW = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("slice", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("base", pa.float64()), ("rare", pa.float64()), ("ids", pa.binary()), ("tail", pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int32())]))),
-])
-NAMES = ARROW.names
+NAMES = ["row", "doc_id", "held_out", "slice", "n_tokens", "n_known", "base", "rare", "ids", "tail"]
 
 
 # --- the model --------------------------------------------------------------------------------
@@ -257,25 +263,40 @@ def places(texts: list[np.ndarray]) -> Iterator[Places]:
         yield Places(text[k : k + BLOCK], target, kind, [hashed(b, f) for b, f in zip(before, FACTORS, strict=True)], before)
 
 
-def softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logits less their maximum, their exponentials, sums of these)."""
-    x = np.take(table, rows[0], axis=0)
-    for r in rows[1:]:
-        x += np.take(table, r, axis=0)
-    x += bias
-    x -= x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    return x, e, e.sum(axis=1)
+def softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the natural logs of the shares of ``column``, exponentials, their sums)."""
+
+    def logits() -> np.ndarray:
+        x = np.take(table, rows[0], axis=0)
+        for r in rows[1:]:
+            x += np.take(table, r, axis=0)
+        x += bias
+        return x
+
+    def shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chosen = x[np.arange(len(x)), column].astype(np.float64)
+        e = np.exp(x, out=x)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        return chosen, e, total
+
+    x = logits()
+    plain = x.max() < 80
+    if plain:
+        chosen, e, total = shares(x)
+        plain = total.min() > 1e-30
+    if not plain:  # far logits: less each row's maximum
+        x = logits()
+        x -= x.max(axis=1, keepdims=True)
+        chosen, e, total = shares(x)
+    return chosen - np.log(total.astype(np.float64)), e, total
 
 
 def log_probabilities(model: Model, p: Places) -> np.ndarray:
     """log10 of each token's class and, for a frequent word, of its place in the class."""
-    x, _, total = softmax(model.class_bias, model.class_table, p.rows)
-    out = x[np.arange(len(p.kind)), p.kind].astype(np.float64) - np.log(total.astype(np.float64))
+    out, _, _ = softmax(model.class_bias, model.class_table, p.rows, p.kind)
     at = np.flatnonzero(p.target < WORDS)
     if len(at):
-        x, _, total = softmax(model.word_bias[p.kind[at]], model.word_table, p.inner_rows(at))
-        out[at] += x[np.arange(len(at)), p.target[at] % MEMBERS].astype(np.float64) - np.log(total.astype(np.float64))
+        out[at] += softmax(model.word_bias[p.kind[at]], model.word_table, p.inner_rows(at), p.target[at] % MEMBERS)[0]
     return out / np.log(10)
 
 
@@ -299,26 +320,39 @@ def add_rows(table: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> N
 
 
 class Gradient:
-    """Observed and expected sums of both tables."""
+    """Observed and expected sums of both tables. Observed cells are counted some blocks at a time."""
 
     def __init__(self):
         self.sums = np.zeros((2, 2, ROWS, CLASSES), np.float32)
+        self.cells: list[list[np.ndarray]] = [[], []]
+        self.waiting = 0
 
     def add(self, model: Model, p: Places) -> None:
-        _, e, total = softmax(model.class_bias, model.class_table, p.rows)
-        add_rows(self.sums[0, 1], p.rows, e / total[:, None])
+        _, e, total = softmax(model.class_bias, model.class_table, p.rows, p.kind)
+        e *= (1 / total)[:, None]
+        add_rows(self.sums[0, 1], p.rows, e)
         self.observe(0, p.rows, p.kind)
         at = np.flatnonzero(p.target < WORDS)
         if len(at):
-            rows = p.inner_rows(at)
-            _, e, total = softmax(model.word_bias[p.kind[at]], model.word_table, rows)
-            add_rows(self.sums[1, 1], rows, e / total[:, None])
-            self.observe(1, rows, p.target[at] % MEMBERS)
+            rows, column = p.inner_rows(at), p.target[at] % MEMBERS
+            _, e, total = softmax(model.word_bias[p.kind[at]], model.word_table, rows, column)
+            e *= (1 / total)[:, None]
+            add_rows(self.sums[1, 1], rows, e)
+            self.observe(1, rows, column)
+        if self.waiting > ROWS * CLASSES:
+            self.count()
 
     def observe(self, table: int, rows: list[np.ndarray], column: np.ndarray) -> None:
-        flat = np.concatenate([r.astype(np.int64) * CLASSES + column for r in rows])
-        cell, k = np.unique(flat, return_counts=True)
-        self.sums[table, 0].ravel()[cell] += k
+        self.cells[table] += [r.astype(np.int64) * CLASSES + column for r in rows]
+        self.waiting += len(rows) * len(column)
+
+    def count(self) -> np.ndarray:
+        """The sums, with all cells counted."""
+        for table, own in enumerate(self.cells):
+            if own:
+                self.sums[table, 0] += np.bincount(np.concatenate(own), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+        self.cells, self.waiting = [[], []], 0
+        return self.sums
 
 
 def stepped(model: Model, sums: np.ndarray, rate: float = RATE, prior: float = PRIOR) -> Model:
@@ -340,7 +374,7 @@ def train(encoded: DataFrame, counts: Counts, steps: int = STEPS) -> Model:
             for batch in batches:
                 for p in places([np.frombuffer(b, np.uint16) for b in batch.column(0).to_pylist()]):
                     found.add(shared.value, p)
-            yield pieces(found.sums)
+            yield pieces(found.count())
 
         own = encoded.where(F.col("slice") == step).select("ids").coalesce(tasks)
         model = stepped(model, summed(own.mapInArrow(run, SCHEMA), (2, 2, ROWS, CLASSES), np.float32))

@@ -175,6 +175,7 @@ def test_one_step_of_training():
     found = maxent.Gradient()
     for p in maxent.places(texts):
         found.add(model, p)
+    found.count()
     naive = Naive({}, model)
     sums = np.zeros(found.sums.shape)
     for t in texts:
