@@ -7,6 +7,10 @@ are put in one order, rare first (by a fixed-size count sketch of the whole corp
 only the effort), and a document lies in the region of each of its first n - ceil(t n) + 1 shingles.
 Documents within the threshold share one of these regions. Inside the regions:
 
+* a shingle's place in a set bounds what the set shares with any other whose first common shingle
+  it is: of a pair at places i and j the smaller remainder, min(n - i, m - j), must reach t / (1 + t) of n + m.
+  A point is in a region only if that holds against the region's least set, a pair is looked at only
+  if it holds for the two; so the shorter of two sets meets the longer by its very first shingles alone;
 * equal sets are one point from the start;
 * every point's home pivot is the one, among the centres of its regions, that it shares most regions
   with; the distance to it is computed exactly, and points within the threshold are linked;
@@ -16,7 +20,7 @@ Documents within the threshold share one of these regions. Inside the regions:
   round, until no region is left: no link between different texts is lost;
 * before a pair is computed it must pass bounds that no link can miss: the sizes; the triangle
   inequality, if both points have the same home pivot; and the distance of the two sets' images in a
-  small space (how many of a set's shingles fall on each of 64 cells; sets with over 127 on a cell have none): the image's weighted Jaccard
+  small space (how many of a set's shingles fall on each of 256 cells; sets with over 127 on a cell have none): the image's weighted Jaccard
   distance is a metric too and never above the sets' own.
 
 Defined results: null text, or text without words, has an empty set and is linked with nothing;
@@ -43,7 +47,7 @@ SHINGLE, PERCENT = 4, 85
 #: Counters of the sketch, a power of two, and the blocks that it is summed in.
 COUNTERS, BLOCKS = 1 << 20, 64
 #: Cells of a set's image.
-CELLS = 64
+CELLS = 256
 #: Rounds that take pivots from the largest component of a region.
 INNER_ROUNDS = 2
 
@@ -180,13 +184,17 @@ def judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     real = about.where("n > 0 and doc_id is not null")
     points = materialize(real.groupBy("point").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "points")
     single = real.join(small(points.where("copies > 1").select("point", "first")), "point", "left").where("first is null or first = doc_id")
-    members = single.select(F.explode("prefix").alias("token"), "point")
-    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("point").alias("pivot")).where("k > 1").select("token", "pivot")
-    region = materialize(members.join(shared, "token").distinct(), "regions")
-    # Regions of the same points are one region, with the number of their shingles as its weight.
-    same = region.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("pivot").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("s1"), F.sum(F.pmod(F.xxhash64("point", F.lit(1)), F.lit(1 << 32))).alias("s2"))
-    one = same.where("k > 1").groupBy("k", "s1", "s2").agg(F.min("token").alias("token"), F.min("pivot").alias("pivot"), F.count(F.lit(1)).alias("weight"))
-    region = materialize(region.drop("pivot").join(one.select("token", "pivot", "weight"), "token"), "regions")
+    members = single.select(F.posexplode("prefix").alias("place", "token"), "point", "n").dropDuplicates(["token", "point"])
+    # Of a pair the shorter set can be met at this place, and any pair only against a set of this size.
+    shorter = (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")
+    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(shorter).alias("met"), F.min("n").alias("least")).where("k > 1 and met").select("token", "least")
+    region = members.join(shared, "token").where((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))).drop("least")
+    region = materialize(region, "regions")
+    # Regions of the same points are one region, with the number of their shingles as its weight and
+    # each point's first place in them.
+    same = region.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("point").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("s1"), F.sum(F.pmod(F.xxhash64("point", F.lit(1)), F.lit(1 << 32))).alias("s2")).where("k > 1")
+    region = region.join(same, "token").groupBy("k", "s1", "s2", "pivot", "point").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("weight"))
+    region = materialize(region.select(F.xxhash64("k", "s1", "s2", "pivot").alias("token"), "pivot", "point", "place", "weight"), "regions")
     images = single.select("point", "n", "image").dropDuplicates(["point"])
     images = materialize(images.join(region.select("point").distinct(), "point", "left_semi"), "images")
     sets = Sets(docs, points.select("point", "first"), size)
@@ -207,7 +215,9 @@ def judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     images = materialize(images.join(home, "point", "left"), "images")
     theta = (100 - percent) / 100 + 1e-9
     apart = F.coalesce((F.col("home") == F.col("phome")) & (F.abs(F.col("d") - F.col("pd")) > theta), F.lit(False))
-    open_, take, turn = region.select("token", "point"), 4, 1
+    remain = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pplace"))
+    may_start = (100 + percent) * remain >= percent * (F.col("n") + F.col("pn"))
+    open_, take, turn = region.select("token", "point", "place"), 4, 1
     while True:
         named = open_.join(label.select(F.col("node").alias("point"), "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))
         parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -217,11 +227,11 @@ def judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
             break
         inner = F.col("label") == F.col("largest")
         rank = F.row_number().over(Window.partitionBy("token").orderBy(inner.desc() if turn <= INNER_ROUNDS else inner, "point"))
-        chosen = materialize(open_.select("token", "point", "label", rank.alias("rank")).where(F.col("rank") <= take).drop("rank"), "pivots")
+        chosen = materialize(open_.select("token", "point", "place", "label", rank.alias("rank")).where(F.col("rank") <= take).drop("rank"), "pivots")
         full = images.select("point", "n", "image", "home", "d")
-        left = open_.select("token", "point", "label").join(full, "point")
-        right = chosen.join(full, "point").toDF("pivot", "token", "plabel", "pn", "pimage", "phome", "pd")
-        pairs = left.join(right, (left["token"] == right["token"]) & (F.col("label") != F.col("plabel")) & may_link(percent) & ~apart)
+        left = open_.select("token", "point", "place", "label").join(full, "point")
+        right = chosen.join(full, "point").toDF("pivot", "token", "pplace", "plabel", "pn", "pimage", "phome", "pd")
+        pairs = left.join(right, (left["token"] == right["token"]) & (F.col("label") != F.col("plabel")) & may_start & may_link(percent) & ~apart)
         pairs = pairs.select(*ordered("point", "pivot")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         new = materialize(distances(pairs, sets.of(pairs)), "pairs")
@@ -230,7 +240,7 @@ def judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
         if links.limit(1).count():
             # A component so far is a star around its label: its links need not be gone through again.
             label = components(links.unionByName(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        open_ = open_.join(chosen.select("token", "point"), ["token", "point"], "left_anti").select("token", "point")
+        open_ = open_.join(chosen.select("token", "point"), ["token", "point"], "left_anti").select("token", "point", "place")
         take, turn = 4 * take, turn + 1
 
     named = points.join(label.select(F.col("node").alias("point"), "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))

@@ -478,3 +478,14 @@ def test_null_ids(with_null_id, rows):
     assert len(cut) == n and all(r.n_removed == 0 for r in cut if r.doc_id is None)
     assert recompression.without_repeats(with_null_id).count() == n
     assert license_scan.scan(with_null_id).count() == hyperdim.identify(with_null_id).count() == n
+
+
+def test_documents_that_share_most_words_make_few_pairs(spark, monkeypatch):
+    """180 common and 20 own words: no two link, and hardly any two are compared."""
+    common = [f"c{k}" for k in range(180)]
+    docs = [(d, " ".join([*common, *(f"own{d}x{k}" for k in range(20))]), *[None] * 10) for d in range(150)]
+    looked, real = [], jaccard_join.distances
+    monkeypatch.setattr(jaccard_join, "distances", lambda pairs, sets: looked.append(pairs.count()) or real(pairs, sets))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r["component_id"] for r in got} == set(range(150))
+    assert sum(looked) <= 150
