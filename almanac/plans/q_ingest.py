@@ -146,3 +146,40 @@ def q_upsert(spark, sf):
     batch = p.filter(F.col("date") >= F.lit("2024-01-15").cast("date")).withColumn(
         "minutes_watched", (F.col("minutes_watched") * 2).cast("int"))
     return MG.upsert(target, batch, ["user_name", "date"], ["minutes_watched"])
+
+
+# ---------------------------------------------------------------- keyed tables (S8-S10 without rewriting the target)
+from almanac.operators import keyed as KT  # noqa: E402
+from almanac.session import checkpoint_dir  # noqa: E402
+
+
+@register("keyed_merge", with_views("transactions") + f"""
+, old as (select * from transactions where date < date '2001-01-01'),
+ignored as (
+  select {TX_COLS} from old
+  union all
+  select id, date, timestamp, cast(amount + 1 as decimal(12,2)) as amount, category, merchant, description, account_type
+  from transactions where date >= date '2001-01-01'),
+upserted as (
+  select id, date, timestamp, case when account_type = 'credit_card' then cast(amount * 2 as decimal(12,2)) else amount end as amount,
+         category, merchant, description, account_type from ignored),
+replaced as (
+  select id, date, timestamp, amount, category, case when date >= date '2001-06-01' then 'corrected' else merchant end as merchant,
+         description, account_type from upserted)
+select {TX_COLS} from replaced where category is null or category <> '5-LOW'""", "merge")
+def q_keyed_merge(spark, sf):
+    """The ledger as a keyed table in the shared folder: two overlapping pulls under insert-or-ignore, an
+    upsert of amounts, corrected rows replaced, a category removed; compacted midway."""
+    import uuid
+
+    tx, pulls = _tx_pulls(spark, sf)
+    table = KT.KeyedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/keyed/ledger-{uuid.uuid4().hex}", tx.schema, ["id"], 16)
+    table.merge(tx.filter(F.col("date") < F.lit("2001-01-01").cast("date")), "replace")
+    table.merge(pulls, "ignore", ["seq"])
+    credit = table.read().filter(F.col("account_type") == "credit_card")
+    table.merge(credit.select("id", (F.col("amount") * 2).cast("decimal(12,2)").alias("amount")), "upsert", update_cols=["amount"])
+    table.compact()
+    late = table.read().filter(F.col("date") >= F.lit("2001-06-01").cast("date"))
+    table.merge(late.withColumn("merchant", F.lit("corrected")), "replace")
+    table.merge(table.read().filter(F.col("category") == "5-LOW"), "delete")
+    return table.read()
