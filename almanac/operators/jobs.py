@@ -34,6 +34,42 @@ def run_report(log: DataFrame) -> DataFrame:
                     truncate_bytes(msg, MESSAGE_BYTES).alias("message"))
 
 
+#: The lines around a run's output, with the job's name, exit code and seconds.
+START_LINE = r"^\[[^\]]*\] Starting: (.*)$"
+EXIT_LINE = r"^\[[^\]]*\] Exit: (\d+) \((\d+)s\)$"
+#: Lines that one window orders.
+LINES = 10_000
+
+
+def run_outcomes(log: DataFrame) -> DataFrame:
+    """A42 from raw logs: (log, line_no, line) -> one row a run: log, line_no of its start, job, exit_code,
+    seconds, type, message. A run reaches from a ``Starting`` line to the next marker; what decides is the exit
+    code (0 is ``success`` whatever the output says, other codes are ``failure``); a run without an ``Exit`` line before the
+    next start or the end is ``unfinished``. The message of a failure is its last line that matches the error
+    pattern, else its last line, cut to 200 bytes; lines outside of runs belong to none.
+
+    Runs are islands: every line takes the marker before it, from a window over ``LINES`` lines and, where there
+    is none, the last marker of the earlier ranges. No task orders a whole log."""
+    l = log.select("log", "line_no", "line", F.floor(F.col("line_no") / LINES).alias("_r"))  # noqa: E741
+    starts, ends = F.col("line").rlike(START_LINE), F.col("line").rlike(EXIT_LINE)
+    l = l.withColumn("_m", F.when(starts | ends, F.struct("line_no", starts.alias("start"))))
+    last = l.groupBy("log", "_r").agg(F.max("_m").alias("_last"))
+    earlier = Window.partitionBy("log").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("log", "_r", F.max("_last").over(earlier).alias("_carry"))
+    before = Window.partitionBy("log", "_r").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    l = l.withColumn("_near", F.last("_m", ignorenulls=True).over(before)).join(carry, ["log", "_r"])
+    at = F.coalesce("_near", "_carry")
+    run = F.when(starts, F.col("line_no")).when(at["start"], at["line_no"])
+    code = F.when(ends & ~starts, F.struct(F.regexp_extract("line", EXIT_LINE, 1).try_cast("int").alias("exit_code"), F.regexp_extract("line", EXIT_LINE, 2).try_cast("bigint").alias("seconds")))
+    text = F.when(~starts & ~ends, F.struct("line_no", "line"))
+    error = F.when(F.col("line").rlike(ERROR_LINE), text)
+    g = l.withColumn("start_line", run).where("start_line is not null").groupBy("log", "start_line").agg(
+        F.max(F.when(starts, F.regexp_extract("line", START_LINE, 1))).alias("job"), F.max(code).alias("_c"), F.max(error).alias("_e"), F.max(text).alias("_l"))
+    kind = F.when(F.col("_c").isNull(), F.lit("unfinished")).when(F.col("_c.exit_code") == 0, F.lit("success")).otherwise(F.lit("failure"))
+    message = F.when(kind == "failure", truncate_bytes(F.coalesce(F.col("_e.line"), F.col("_l.line")), MESSAGE_BYTES))
+    return g.select("log", "start_line", "job", F.col("_c.exit_code").alias("exit_code"), F.col("_c.seconds").alias("seconds"), kind.alias("type"), message.alias("message"))
+
+
 def _ext(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
@@ -48,10 +84,15 @@ def file_candidates(inv: DataFrame, min_bytes: int, min_age_hours: float) -> Dat
 
 
 def signature(mtime: Column, size: Column) -> Column:
-    """``<mtime>:<size>`` state signature."""
+    """``<mtime>:<size>`` state signature; ``mtime`` in whole seconds, as a number or as the text of a number."""
     return F.concat(mtime.cast("bigint").cast("string"), F.lit(":"), size.cast("string"))
 
 
+def mtime_seconds(mtime: Column) -> Column:
+    """Whole seconds since 1970 of a wall-clock time, as ``sources.files.file_inventory`` gives it."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), mtime)
+
+
 def pending_files(candidates: DataFrame, state: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates minus those whose state has the same signature and a terminal
     status; oldest first, first ``limit``."""

@@ -7,6 +7,7 @@ key's rows together again, one aggregate by key, and applies the rules in the or
 as they are, so a row is rewritten only when the deltas of its bucket have grown to a share of it.
 
     path/data/commit=<n>/bucket=<b>/part-*.parquet     rows; for deltas with the rule in ``__rule``
+    path/judged/commit=<n>/part-*.parquet              rows of a checked insert with the constraint they break
     path/log/part-*.json                               one record a commit, appended
 
 A commit is its record in the log, which Spark's writer shows only when it is complete: readers see all of
@@ -23,6 +24,7 @@ with one key the first arrival counts for ``ignore``, the last for the others; `
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,8 +100,8 @@ class KeyedTable:
                 commits[r["commit"]] = own
         return Live(commits, bases, {r["commit"]: r["update_cols"] or [] for r in records}, {r["batch_id"] for r in records if r["batch_id"]}, records[-1]["commit"] if records else -1)
 
-    def _commit(self, rows: DataFrame, kind: str, last: int, update_cols: list[str], batch_id: str | None, emptied: list[int] = ()) -> int | None:
-        """Write ``rows`` (the table's columns and the rule) as the next commit. Its number, None without rows."""
+    def _commit(self, rows: DataFrame, kind: str, last: int, update_cols: list[str], batch_id: str | None, emptied: list[int] = (), always: bool = False) -> int | None:
+        """Write ``rows`` (the table's columns and the rule) as the next commit. Its number; None, and no commit, without rows (unless ``always``)."""
         number = last + 1
         folder = f"{self.path}/data/{COMMIT}={number}"
         dealt = rows.withColumn(BUCKET, self.bucket_of())
@@ -107,7 +109,7 @@ class KeyedTable:
         stored = StructType(dealt.schema.fields)
         counts = dict(self.spark.read.schema(stored).parquet(folder).groupBy(BUCKET).count().collect())
         buckets = sorted({*counts, *emptied})
-        if not buckets:
+        if not buckets and not always:
             return None
         record = (number, kind, buckets, [counts.get(b, 0) for b in buckets], update_cols, batch_id)
         self.spark.createDataFrame([record], LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
@@ -130,6 +132,48 @@ class KeyedTable:
         one = one.withColumns(rest).select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.columns), F.lit(rule).alias(RULE))
         return self._commit(one, "delta", state.last, update_cols or [], batch_id)
 
+    # ------------------------------------------------------------------ constraints
+
+    def judge(self, batch: DataFrame, not_null: list[str], order: list[str]) -> DataFrame:
+        """``batch`` with ``constraint``: the first rule a row breaks, else NULL. ``not_null:<column>``; ``primary_key``: its key
+        is stored, or an earlier sound row of the batch has it. Of the table only the keys are read, and the
+        batch is joined with one row a key: a key in many rows is never one group."""
+        broken = F.coalesce(*(F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in not_null), F.lit(None).cast("string"))
+        rows = with_row(batch).withColumn("__null", broken)
+        order = [*order, "_row"]
+        first = rows.where("__null is null").groupBy(*self.keys).agg(F.min(F.struct(*order)).alias("__first"))
+        stored = self.read().select(*self.keys).withColumn("__stored", F.lit(True))
+        same = lambda right: reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in self.keys))
+        known = first.alias("l").join(stored.alias("r"), same("r"), "left").select("l.*", "r.__stored")
+        seen = rows.alias("l").join(known.alias("r"), same("r"), "left")
+        taken = F.coalesce("r.__stored", F.lit(False)) | (F.struct(*(F.col(f"l.{c}") for c in order)) != F.col("r.__first"))
+        verdict = F.coalesce(F.col("l.__null"), F.when(taken, F.lit("primary_key")))
+        return seen.select(*(F.col(f"l.{c}") for c in batch.columns), verdict.alias("constraint"))
+
+    def insert_checked(self, batch: DataFrame, not_null: list[str], order: list[str] | None = None, batch_id: str | None = None) -> int | None:
+        """S11 enforced: a plain INSERT of the rows that keep every constraint; the others go to ``rejected``.
+        The batch is judged once and written; both parts become visible with one record of the log."""
+        state = self.live()
+        if batch_id is not None and batch_id in state.batches:
+            return None
+        folder = f"{self.path}/judged/{COMMIT}={state.last + 1}"
+        judged = self.judge(batch.select(*self.columns, *(order or [])), not_null, order or [])
+        judged.select(*self.columns, "constraint").write.mode("overwrite").parquet(folder)
+        judged = self.spark.read.schema(self._judged()).parquet(folder)
+        sound = judged.where("constraint is null").select(*self.columns, F.lit(IGNORE).alias(RULE))
+        return self._commit(sound, "checked", state.last, [], batch_id, always=judged.limit(1).count() > 0)
+
+    def _judged(self) -> StructType:
+        return StructType([*self.schema.fields]).add("constraint", "string")
+
+    def rejected(self) -> DataFrame:
+        """(commit, the table's columns, constraint) of all committed inserts."""
+        found = self.spark.createDataFrame([], StructType().add(COMMIT, "long").add("__", self._judged())).select(COMMIT, "__.*")
+        for r in self.log().where("kind = 'checked'").select(COMMIT).collect():
+            own = self.spark.read.schema(self._judged()).parquet(f"{self.path}/judged/{COMMIT}={r[COMMIT]}").where("constraint is not null")
+            found = found.unionByName(own.withColumn(COMMIT, F.lit(r[COMMIT]).cast("long")))
+        return found
+
     # ------------------------------------------------------------------ read
 
     def _rows(self, state: Live, buckets: list[int] | None = None) -> DataFrame | None:

@@ -22,7 +22,7 @@ def strip_ws(c: Column) -> Column:
 
 def read_srt(files: DataFrame, file_col: str = "file", text_col: str = "content", order_col: str | None = None) -> DataFrame:
     """File text -> (file, pos, idx, ts, text). Blocks are separated by blank
-    lines and need >= 3 lines, a numeric first line and '-->' in the second; CRLF is
+    lines and need >= 3 lines, a whole number (of at most 2^31 - 1) as first line and '-->' in the second; CRLF is
     normalised. A row is a whole file or, with ``order_col`` (a whole number), a piece
     of one that ends with a blank line; equal numbers are ordered by their text.
     Pieces are parsed row by row; positions are block counts of the earlier ranges of
@@ -34,9 +34,9 @@ def read_srt(files: DataFrame, file_col: str = "file", text_col: str = "content"
                      F.monotonically_increasing_id().alias("_id"), F.posexplode(F.split(strip_ws(t), r"\n\s*\n")).alias("bpos", "block"))
     lines = F.split(F.col("block"), "\n")
     b = b.withColumn("_l", lines).filter(
-        (F.size("_l") >= 3) & strip_ws(F.get("_l", 0)).rlike(r"^[0-9]+$") & F.get("_l", 1).contains("-->"))
+        (F.size("_l") >= 3) & strip_ws(F.get("_l", 0)).rlike(r"^[0-9]+$") & strip_ws(F.get("_l", 0)).try_cast("int").isNotNull() & F.get("_l", 1).contains("-->"))
     b = b.select("file", F.floor(F.col("bpos" if order_col is None else "_o") / RANGE).alias("_r"), "_o", "_t", "_id", "bpos",
-                 strip_ws(F.get("_l", 0)).cast("int").alias("idx"), strip_ws(F.get("_l", 1)).alias("ts"),
+                 strip_ws(F.get("_l", 0)).try_cast("int").alias("idx"), strip_ws(F.get("_l", 1)).alias("ts"),
                  strip_ws(F.array_join(F.slice("_l", 3, F.size("_l")), "\n")).alias("text"))
     counts = b.groupBy("file", "_r").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_r")) - F.col("_n")

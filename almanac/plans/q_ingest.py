@@ -183,3 +183,27 @@ def q_keyed_merge(spark, sf):
     table.merge(late.withColumn("merchant", F.lit("corrected")), "replace")
     table.merge(table.read().filter(F.col("category") == "5-LOW"), "delete")
     return table.read()
+
+
+@register("constraints_enforced", with_views("transactions") + """
+, landed as (
+  select id, nullif(category, '5-LOW') as category, date < date '1998-01-01' as stored, 1 as seq from transactions
+  union all
+  select id, nullif(category, '5-LOW') as category, false as stored, 2 as seq from transactions where date >= date '2000-12-01')
+select id, seq, case when category is null and not stored then 'not_null:category'
+                     when seq = 2 or stored then 'primary_key' end as "constraint"
+from landed where (not stored and (category is null or seq = 2)) or stored""", "merge")
+def q_constraints_enforced(spark, sf):
+    """The whole ledger inserted into a table that holds its first years, with one pull landed twice and a
+    category blanked: the rows that the constraints keep out. Each row tells its pull by ``seq``."""
+    import uuid
+
+    tx = FX.load(spark, sf, "transactions")
+    first = F.col("date") < F.lit("1998-01-01").cast("date")
+    table = KT.KeyedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/keyed/checked-{uuid.uuid4().hex}", tx.withColumn("seq", F.lit(0)).schema, ["id"], 16)
+    table.merge(tx.filter(first).withColumn("seq", F.lit(0)), "replace")
+    blank = F.when(~first, F.nullif(F.col("category"), F.lit("5-LOW"))).otherwise(F.col("category"))
+    one = tx.withColumn("category", blank).withColumn("seq", F.lit(1))
+    two = one.filter(F.col("date") >= F.lit("2000-12-01").cast("date")).withColumn("seq", F.lit(2))
+    table.insert_checked(one.unionByName(two), ["category", "date"], ["seq"])
+    return table.rejected().select("id", "seq", "constraint")

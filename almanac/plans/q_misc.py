@@ -24,6 +24,26 @@ def q_run_report(spark, sf):
     return JB.run_report(FX.load(spark, sf, "job_log"))
 
 
+@register("run_outcomes", """
+with r as (select event_id // 10 as run, min(event_id) as first, max(event_id) as last, max(case when event_id % 10 = 1 then event_id end) as start_line,
+    list_sort(list(event_id) filter (where event_id % 10 between 2 and 8 or event_id % 10 = 9 and (event_id // 10) % 13 = 0)) as own
+  from events group by event_id // 10),
+t as (select *, run % 13 <> 0 and list_contains(list_value(last % 10), 9) as ended,
+    list_filter(own, lambda x: (run % 3 = 0 and x % 10 = 4) or (run % 5 = 0 and x % 10 = 6)) as errors from r where start_line is not null),
+m as (select *, coalesce(errors[-1], own[-1]) as line_no from t)
+select 'log' || (run % 3) as log, start_line, 'job' || (run % 7) as job,
+  case when ended then cast(greatest(run % 4 - 1, 0) as int) end as exit_code, case when ended then run % 600 end as seconds,
+  case when not ended then 'unfinished' when run % 4 <= 1 then 'success' else 'failure' end as type,
+  case when ended and run % 4 > 1 then
+    case when run % 3 = 0 and line_no % 10 = 4 then '0 errors found in ' || line_no
+         when run % 5 = 0 and line_no % 10 = 6 then 'ERRO: falha ' ||
+           case when run % 120 > 94 then repeat('é', 94) else repeat('é', cast(run % 120 as int)) || ' ' || line_no end
+         else 'rows ' || line_no end end as message
+from m""", "jobs")
+def q_run_outcomes(spark, sf):
+    return JB.run_outcomes(L.raw_job_logs(spark, sf))
+
+
 MIN_BYTES, MIN_AGE_H = 1500 * 1024 * 1024, 10
 CAND_SQL = f"""select * from file_inventory
 where lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) in ('.mkv','.mp4','.m4v','.avi','.mov','.ts','.wmv')

@@ -152,14 +152,27 @@ PLAYBACK_DOC = "array<struct<user_name: string, user_usage: map<string, string>>
 PLAYBACK_HEADER_USER = "labels_user"
 
 
-def ingest_playback(docs: DataFrame, json_col: str = "usage_json") -> DataFrame:
-    """Per-user {date: minutes} maps -> (user_name, date, minutes_watched), minutes > 0. An entry
-    whose minutes are no whole number is left out alone."""
+def _usage_entries(docs: DataFrame, json_col: str) -> DataFrame:
+    """(user_name, d, m, date, minutes, _problem) of each landed entry."""
     u = docs.select(F.explode(F.from_json(F.col(json_col), PLAYBACK_DOC)).alias("u")).select("u.*")
     u = u.filter(F.coalesce(F.col("user_name"), F.lit("")) != F.lit(PLAYBACK_HEADER_USER))
     e = u.select(F.coalesce(F.col("user_name"), F.lit("")).alias("user_name"), F.explode("user_usage").alias("d", "m"))
-    e = e.withColumn("m", F.col("m").try_cast("int"))
-    return e.filter(F.col("m") > 0).select("user_name", F.col("d").try_cast("date").alias("date"), F.col("m").alias("minutes_watched"))
+    e = e.withColumn("date", F.col("d").try_cast("date")).withColumn("minutes", F.col("m").try_cast("int"))
+    return e.withColumn("_problem", F.when(F.col("date").isNull(), F.lit("date")).when(F.col("minutes").isNull(), F.lit("minutes")))
+
+
+def unreadable_playback(docs: DataFrame, json_col: str = "usage_json") -> DataFrame:
+    """The entries that ``ingest_playback`` leaves out because their day or their minutes can't be read:
+    user_name, date and minutes as landed, problem."""
+    e = _usage_entries(docs, json_col).filter(F.col("_problem").isNotNull())
+    return e.select("user_name", F.col("d").alias("date"), F.col("m").alias("minutes"), F.col("_problem").alias("problem"))
+
+
+def ingest_playback(docs: DataFrame, json_col: str = "usage_json") -> DataFrame:
+    """Per-user {date: minutes} maps -> (user_name, date, minutes_watched), minutes > 0. Entries
+    that can't be read go to ``unreadable_playback``."""
+    e = _usage_entries(docs, json_col).filter(F.col("_problem").isNull() & (F.col("minutes") > 0))
+    return e.select("user_name", "date", F.col("minutes").alias("minutes_watched"))
 
 
 ACTIVITY_PAGE = "struct<Items: array<struct<Id: bigint, Type: string, Name: string, UserId: string, Date: string, Severity: string>>>"

@@ -145,6 +145,21 @@ def service_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     line.alias("line"))
 
 
+def raw_job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job logs as their files hold them: (log, line_no, line), ten events a run. Every thirteenth run has no
+    exit line; a line before the first marker of a run is output outside of runs."""
+    e = table(spark, sf_dir, "events")
+    run, step = F.expr("event_id div 10"), F.col("event_id") % 10
+    stamp = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] "))
+    line = (F.when(step == 0, F.lit("output outside of runs"))
+            .when(step == 1, F.concat(stamp, F.lit("Starting: job"), (run % 7).cast("string")))
+            .when((step == 9) & (run % 13 != 0), F.concat(stamp, F.lit("Exit: "), F.greatest(run % 4 - 1, F.lit(0)).cast("string"), F.lit(" ("), (run % 600).cast("string"), F.lit("s)")))
+            .when((run % 3 == 0) & (step == 4), F.concat(F.lit("0 errors found in "), F.col("event_id").cast("string")))
+            .when((run % 5 == 0) & (step == 6), F.concat(F.lit("ERRO: falha "), F.repeat(F.lit("é"), (run % 120).cast("int")), F.lit(" "), F.col("event_id").cast("string")))
+            .otherwise(F.concat(F.lit("rows "), F.col("event_id").cast("string"))))
+    return e.select(F.concat(F.lit("log"), (run % 3).cast("string")).alias("log"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
 def forecast_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One forecast document per day, built from that day's events: current
     conditions from the first hours, eight 3-hourly rain chances from event counts."""
