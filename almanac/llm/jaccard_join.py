@@ -184,12 +184,12 @@ def judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     real = about.where("n > 0 and doc_id is not null")
     points = materialize(real.groupBy("point").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "points")
     single = real.join(small(points.where("copies > 1").select("point", "first")), "point", "left").where("first is null or first = doc_id")
-    members = single.select(F.posexplode("prefix").alias("place", "token"), "point", "n").dropDuplicates(["token", "point"])
+    members = single.select(F.posexplode("prefix").alias("place", "token"), "point", "n")
     # Of a pair the shorter set can be met at this place, and any pair only against a set of this size.
     shorter = (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")
     shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(shorter).alias("met"), F.min("n").alias("least")).where("k > 1 and met").select("token", "least")
     region = members.join(shared, "token").where((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))).drop("least")
-    region = materialize(region, "regions")
+    region = materialize(region.dropDuplicates(["token", "point"]), "regions")  # dealt by token already
     # Regions of the same points are one region, with the number of their shingles as its weight and
     # each point's first place in them.
     same = region.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("point").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("s1"), F.sum(F.pmod(F.xxhash64("point", F.lit(1)), F.lit(1 << 32))).alias("s2")).where("k > 1")
