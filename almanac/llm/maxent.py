@@ -52,6 +52,8 @@ STEPS, RATE, PRIOR = 5, 0.35, 3.0
 TASK_TOKENS, BLOCK, HELD = 4_000_000, 2048, 400_000
 #: Rows of a block met more often than this are summed by themselves.
 OFTEN = 16
+#: Blocks whose shares are added up together.
+TOGETHER = 4
 SMOOTH = 0.1
 #: Odd factors of the features' hashes, and which of the words before (1 is the last) make each feature.
 FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
@@ -66,7 +68,9 @@ def ending(token: bytes) -> int:
 
 def tokens_of(text: str | None) -> list[bytes]:
     """Words between white space with A-Z in lower case, then the end."""
-    return [*(text or "").encode().lower().split(), END]
+    words = (text or "").encode().lower().split()
+    words.append(END)
+    return words
 
 
 # --- counts -----------------------------------------------------------------------------------
@@ -106,6 +110,14 @@ class Counts:
     c: np.ndarray
     rare_n: np.ndarray
     rare_v: np.ndarray
+    #: The tokens' ids: a place in a frequent class, or a rare class.
+    ids: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.ids is None:
+            own = np.arange(len(self.tokens))
+            own[WORDS:] = [WORDS + ending(t) for t in self.tokens[WORDS:]]
+            self.ids = own.astype(np.uint16)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + SMOOTH) / (self.n + SMOOTH * (self.v + 1)))
@@ -114,13 +126,6 @@ class Counts:
         """log10 of a rare word's share of its class."""
         return np.log10((c + SMOOTH) / (self.rare_n[k] + SMOOTH * (self.rare_v[k] + 1)))
 
-    @property
-    def ids(self) -> np.ndarray:
-        """The tokens' ids: a place in a frequent class, or a rare class."""
-        own = np.arange(len(self.tokens))
-        own[WORDS:] = [WORDS + ending(t) for t in self.tokens[WORDS:]]
-        return own.astype(np.uint16)
-
 
 def level(c: str) -> Column:
     return F.floor(F.log2(c) * 16)
@@ -320,34 +325,43 @@ def add_rows(table: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> N
 
 
 class Gradient:
-    """Observed and expected sums of both tables. Observed cells are counted some blocks at a time."""
+    """Observed and expected sums of both tables. Shares are added up some blocks at a time, observed
+    cells more, as rows met again are then summed before they reach the table."""
 
     def __init__(self):
         self.sums = np.zeros((2, 2, ROWS, CLASSES), np.float32)
+        self.shares: list[list[tuple[list[np.ndarray], np.ndarray]]] = [[], []]
         self.cells: list[list[np.ndarray]] = [[], []]
-        self.waiting = 0
+        self.blocks = self.waiting = 0
 
     def add(self, model: Model, p: Places) -> None:
-        _, e, total = softmax(model.class_bias, model.class_table, p.rows, p.kind)
-        e *= (1 / total)[:, None]
-        add_rows(self.sums[0, 1], p.rows, e)
-        self.observe(0, p.rows, p.kind)
+        self.observe(0, p.rows, p.kind, softmax(model.class_bias, model.class_table, p.rows, p.kind))
         at = np.flatnonzero(p.target < WORDS)
         if len(at):
             rows, column = p.inner_rows(at), p.target[at] % MEMBERS
-            _, e, total = softmax(model.word_bias[p.kind[at]], model.word_table, rows, column)
-            e *= (1 / total)[:, None]
-            add_rows(self.sums[1, 1], rows, e)
-            self.observe(1, rows, column)
+            self.observe(1, rows, column, softmax(model.word_bias[p.kind[at]], model.word_table, rows, column))
+        self.blocks += 1
+        if self.blocks == TOGETHER:
+            self.expect()
         if self.waiting > ROWS * CLASSES:
             self.count()
 
-    def observe(self, table: int, rows: list[np.ndarray], column: np.ndarray) -> None:
+    def observe(self, table: int, rows: list[np.ndarray], column: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        _, e, total = found
+        e *= (1 / total)[:, None]
+        self.shares[table].append((rows, e))
         self.cells[table] += [r.astype(np.int64) * CLASSES + column for r in rows]
         self.waiting += len(rows) * len(column)
 
+    def expect(self) -> None:
+        for table, own in enumerate(self.shares):
+            if own:
+                add_rows(self.sums[table, 1], [np.concatenate(r) for r in zip(*(rows for rows, _ in own), strict=True)], np.concatenate([e for _, e in own]))
+        self.shares, self.blocks = [[], []], 0
+
     def count(self) -> np.ndarray:
-        """The sums, with all cells counted."""
+        """The sums, with all that waits counted."""
+        self.expect()
         for table, own in enumerate(self.cells):
             if own:
                 self.sums[table, 0] += np.bincount(np.concatenate(own), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
