@@ -53,7 +53,7 @@ TASK_TOKENS, BLOCK, HELD = 4_000_000, 2048, 400_000
 #: Rows of a block met more often than this are summed by themselves.
 OFTEN = 16
 #: Blocks whose shares are added up together.
-TOGETHER = 4
+TOGETHER = 8
 SMOOTH = 0.1
 #: Odd factors of the features' hashes, and which of the words before (1 is the last) make each feature.
 FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
