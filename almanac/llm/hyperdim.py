@@ -30,6 +30,9 @@ DIM, N = 1024, 3
 COUNTED_CHARS = 1_000_000
 #: Texts whose vectors are made together.
 TOGETHER = 64
+#: N-grams whose vectors are multiplied at once, and letters whose vectors are kept: a text of any length
+#: and any script takes bounded memory but for its own n-grams' numbers.
+BLOCK, LETTERS = 4096, 30_000
 
 _letters: list[np.ndarray] = []
 
@@ -61,25 +64,33 @@ class Grams:
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= LETTERS:
+                self.letters = {}
             self.letters[code] = letter_vector(code, self.dim)
         return self.letters[code]
 
+    def bound(self, grams: np.ndarray) -> np.ndarray:
+        """(k, n) code points -> (k, dim), from the letters."""
+        codes, at = np.unique(grams, return_inverse=True)
+        letters, at = np.stack([self.letter(c) for c in codes.tolist()]), at.reshape(grams.shape)
+        out = np.ones((len(grams), self.dim), np.int8)
+        for place in range(self.n):
+            out *= np.roll(letters, self.n - 1 - place, axis=1)[at[:, place]]
+        return out
+
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        """(k, n) code points -> (k, dim)"""
+        """(k, n) code points, all different -> (k, dim)"""
         if len(self.rows) + len(grams) > self.keep:
             self.rows = {}
-        rows = []
-        for gram in map(tuple, grams.tolist()):
-            if (row := self.rows.get(gram)) is None:
-                row = self.rows[gram] = len(self.rows)
-                if row >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                v = np.ones(self.dim, np.int8)
-                for place, code in enumerate(gram):
-                    v = v * np.roll(self.letter(code), self.n - 1 - place)
-                self.table[row] = v
-            rows.append(row)
-        return self.table[rows]
+        keys = list(map(tuple, grams.tolist()))
+        new = [k for k, gram in enumerate(keys) if gram not in self.rows]
+        if new:
+            first = len(self.rows)
+            while first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : first + len(new)] = self.bound(grams[new])
+            self.rows.update((keys[k], first + j) for j, k in enumerate(new))
+        return self.table[[self.rows[gram] for gram in keys]]
 
 
 def counts(texts: list[str | None], n: int = N) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -120,10 +131,14 @@ def bundle(texts: list[str | None], grams: Grams) -> np.ndarray:
     """The texts' vectors (float32); a text without a letter has the zero vector."""
     out = np.zeros((len(texts), grams.dim), np.float32)
     for first, last, codes, (text, gram, number) in counts(texts, grams.n):
-        if len(codes):
-            weights = np.zeros((last - first, len(codes)), np.float32)
-            weights[text, gram] = number
-            out[first:last] = weights @ grams.vectors(codes).astype(np.float32)
+        order = np.argsort(gram, kind="stable")
+        text, gram, number = text[order], gram[order], number[order]
+        for a in range(0, len(codes), BLOCK):
+            block = codes[a : a + BLOCK]
+            i, j = np.searchsorted(gram, (a, a + len(block)))
+            weights = np.zeros((last - first, len(block)), np.float32)
+            weights[text[i:j], gram[i:j] - a] = number[i:j]
+            out[first:last] += weights @ grams.vectors(block).astype(np.float32)
     return out
 
 
@@ -137,10 +152,10 @@ def prototypes(docs: DataFrame, label: str = "lang", dim: int = DIM, n: int = N)
             for name in set(labels):
                 own = [t for t, x in zip(texts, labels, strict=True) if x == name]
                 for first, last, codes, (_, gram, number) in counts(own, n):
-                    if len(codes):
-                        total = np.bincount(gram, number, len(codes))
-                        vectors = grams.vectors(codes)
-                        sums[name] = sums.get(name, 0) + total @ vectors.astype(np.float64)
+                    total = np.bincount(gram, number, len(codes))
+                    for a in range(0, len(codes), BLOCK):
+                        vectors = grams.vectors(codes[a : a + BLOCK])
+                        sums[name] = sums.get(name, 0) + total[a : a + BLOCK] @ vectors.astype(np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))], names=["label", "v"])
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.links import components
-from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with, small
+from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with, quoted, small, with_batches
 from almanac.llm.words import digest, groups, mix, sequences
 
 SHINGLE, PERCENT = 4, 85
@@ -272,22 +272,21 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # A doc_id goes whole, unless another text of it stays: the rows of such a doc_id go by their sets.
     stay = only_with(about, ids, ["doc_id"], n).join(gone, ["doc_id", "point"], "left_anti").select("doc_id").distinct()
     partly = materialize(gone.join(stay, "doc_id", "left_semi"), "near-copies")
-    left = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*quoted(*docs.columns))
     k = partly.count()
     return left.unionByName(other_sets(docs, partly, k, size)) if k else left
 
 
 def other_sets(docs: DataFrame, gone: DataFrame, n: int, size: int) -> DataFrame:
     """The rows of ``docs`` with a doc_id of the ``n`` rows of ``gone`` (doc_id, point), but another point."""
-    own = only_with(docs, gone.select("doc_id").distinct(), ["doc_id"], n).select(*docs.columns)
+    own = only_with(docs, gone.select("doc_id").distinct(), ["doc_id"], n).select(*quoted(*docs.columns))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = [point(s) for s in shingle_sets(batch.column(at).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(points, pa.int64())], names=[*batch.schema.names, "__point"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(points, pa.int64())], names=[*batch.schema.names, f"c{len(batch.schema.names)}"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __point long"
-    own, gone = own.mapInArrow(run, schema), gone.toDF("__id", "__gone")
+    own, gone = with_batches(own, run, "__point"), gone.toDF("__id", "__gone")
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__point") == F.col("__gone"))
     return own.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, same, "left_anti").drop("__point")

@@ -5,14 +5,18 @@ Exact phrases are found at every place. A notice that may differ in up to k edit
 k + 1 seeds: by the pigeonhole principle one of them stands unchanged in every match. An
 Aho-Corasick automaton finds the seeds of all notices in one pass, each hit gives a window of the
 notice's length plus k on either side, and the regex library's bounded-error matching verifies the
-windows and reports span and edits.
+windows and reports span and edits. Of overlapping matches of one notice the one with the fewest edits stays,
+then the first.
 
 Defined results: null or empty text has no words and no labels (empty strings, score 0); rows are
-scanned on their own, whole, whatever their length.
+scanned on their own, whole, in time proportional to their length.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +53,8 @@ NOTICES = (
     ("mozilla public license", "mpl", 2),
     ("redistribution and use in source and binary forms", "bsd", 4),
 )
+#: Parts of texts whose best match is kept.
+KNOWN = 20_000
 #: Bytes that are no part of a word, as spaces; A-Z as a-z.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,6 +78,7 @@ class Notices:
         self.patterns = [regex.compile(f"(?b){a}(?:{regex.escape(text, special_only=True)}){{e<={k}}}{b}") for (text, _, k), (a, b) in zip(self.notices, edges, strict=True)]
         #: Characters on either side of a notice: its edits, and the neighbour that a word's end is seen by.
         self.margins = [k + bool(a) for (_, _, k), (a, _) in zip(self.notices, edges, strict=True)]
+        self.known: dict[tuple[int, str, int], tuple[int, int, int] | None] = {}
         self.automaton = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (text, _, k) in enumerate(self.notices):
@@ -83,44 +90,90 @@ class Notices:
         if seeds:
             self.automaton.make_automaton()
 
-    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """For each notice the merged windows in which a match may lie."""
-        found: dict[int, list[tuple[int, int]]] = {}
+    def windows(self, text: str) -> dict[int, set[tuple[int, int]]]:
+        """For each notice the windows in which a match may lie, one for each place its seeds point at."""
+        found: dict[int, set[tuple[int, int]]] = {}
         if not len(self.automaton):
             return found
         for end, (size, places) in self.automaton.iter(text):
             for i, a in places:
                 k = self.margins[i]
                 start = end + 1 - size - a
-                lo, hi = max(0, start - k), min(len(text), start + len(self.notices[i][0]) + k)
-                own = found.setdefault(i, [])
-                if own and lo <= own[-1][1]:
-                    own[-1] = (min(lo, own[-1][0]), max(hi, own[-1][1]))
-                else:
-                    own.append((lo, hi))
+                found.setdefault(i, set()).add((max(0, start - k), min(len(text), start + len(self.notices[i][0]) + k)))
         return found
 
-    def matches(self, i: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
-        """The best match of notice i between lo and hi, and those before and after it."""
+    def best(self, i: int, part: str, at: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best match of notice i in ``part`` from ``at`` on. Notices are mostly copies
+        of each other, so the last parts are kept."""
+        key = (i, part, at)
+        if key not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            m = self.patterns[i].search(part, at)
+            self.known[key] = (sum(m.fuzzy_counts), m.start(), m.end()) if m else None
+        return self.known[key]
+
+    def matches(self, i: int, text: str, windows: set[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(edits, start, end) of notice i, fewest edits first, none overlapping an earlier one. A window holds
+        little more than one notice, and what an accepted match leaves of it is searched again, so the time
+        is in proportion to the windows."""
         least = max(1, len(self.notices[i][0]) - self.notices[i][2])
-        parts = [(lo, hi)]
-        while parts:
-            lo, hi = parts.pop()
-            if hi - lo >= least and (m := self.patterns[i].search(text, lo, hi)):
-                yield m
-                parts += [(lo, min(m.start(), hi - 1)), (max(m.end(), lo + 1), hi)]
+        heap: list[tuple[int, int, int, int, int]] = []
+        starts: list[int] = []
+        ends: list[int] = []
+
+        def search(lo: int, hi: int) -> None:
+            if hi - lo >= least:
+                edge = min(lo, 1)  # the character before, which a notice's edge looks at
+                if found := self.best(i, text[lo - edge : hi], edge):
+                    edits, start, end = found
+                    heapq.heappush(heap, (edits, lo - edge + start, lo - edge + end, lo, hi))
+
+        for lo, hi in windows:
+            search(lo, hi)
+        while heap:
+            edits, start, end, lo, hi = heapq.heappop(heap)
+            at = bisect.bisect_right(starts, start)
+            taken = at > 0 and (starts[at - 1], ends[at - 1]) == (start, end)
+            before = at > 0 and not taken and ends[at - 1] > start
+            if before or (not taken and at < len(starts) and starts[at] < end):
+                # What accepted matches leave of the window.
+                first = at - 1 if before else at
+                while first > 0 and ends[first - 1] > lo:
+                    first -= 1
+                while first < len(starts) and starts[first] < hi:
+                    search(lo, starts[first])
+                    lo = max(lo, ends[first])
+                    first += 1
+                search(lo, hi)
+                continue
+            if not taken:
+                starts.insert(at, start)
+                ends.insert(at, end)
+                yield edits, start, end
+            search(lo, min(start, hi - 1))
+            search(max(end, lo + 1), hi)
 
     def spans(self, text: str) -> list[Span]:
         out = []
-        for i, windows in self.windows(text).items():
-            for lo, hi in windows:
-                for m in self.matches(i, text, lo, hi):
-                    first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
-                    out.append(Span(self.notices[i][1], first, text.count(" ", 0, m.end() - (text[m.end() - 1] == " ")) + 1, sum(m.fuzzy_counts)))
+        windows = self.windows(text)
+        spaces = [m.start() for m in re.finditer(" ", text)] if windows else []
+        for i, own in windows.items():
+            for edits, start, end in self.matches(i, text, own):
+                first = bisect.bisect_left(spaces, start + (text[start : start + 1] == " "))
+                last = bisect.bisect_left(spaces, end - (end > 0 and text[end - 1] == " ")) + 1
+                out.append(Span(self.notices[i][1], first, last, edits))
         # A notice gives way to a better one that it overlaps, but not to its own label's shorter form in it.
-        part = lambda x, s: x.label == s.label and s.first <= x.first and x.last <= s.last
-        best = [s for s in out if not any(x.first < s.last and s.first < x.last and x.edits < s.edits and not part(x, s) for x in out)]
-        return sorted(best, key=lambda s: (s.first, s.last, s.label))
+        out.sort(key=lambda s: (s.first, s.last, s.label))
+        firsts = [s.first for s in out]
+        longest = max((s.last - s.first for s in out), default=0)
+
+        def gives_way(s: Span) -> bool:
+            near = out[bisect.bisect_right(firsts, s.first - longest) : bisect.bisect_left(firsts, s.last)]
+            part = lambda x: x.label == s.label and s.first <= x.first and x.last <= s.last
+            return any(s.first < x.last and x.edits < s.edits and not part(x) for x in near)
+
+        return [s for s in out if not gives_way(s)]
 
 
 def scan_text(text: str | None, phrases: dict[str, str], notices: Notices) -> dict:
@@ -131,9 +184,11 @@ def scan_text(text: str | None, phrases: dict[str, str], notices: Notices) -> di
     places, base = [], set()
     for phrase, label in phrases.items():
         needle = f" {phrase} ".encode()
-        at = padded.find(needle)
+        at, word, counted = padded.find(needle), 0, 0
         while at >= 0:
-            places.append(padded.count(b" ", 0, at))
+            word += padded.count(b" ", counted, at)
+            counted = at
+            places.append(word)
             base.add(label)
             at = padded.find(needle, at + 1)
     spans = notices.spans(joined.decode("utf-8", "surrogateescape"))

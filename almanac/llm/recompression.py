@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with, small
+from almanac.llm.util import BROADCAST_IDS, bounded_batches, columns, materialize, only_with, quoted, small, with_batches
 from almanac.llm.words import C1, Group, digest, groups, join, mix, sequences, split
 
 WINDOW = 50
@@ -295,18 +295,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         at = names.index("text")
         for batch in batches:
             tags = [tag(g.names[a:b]) for g in groups(batch.column(at).to_pylist()) for a, b in zip(g.starts[:-1], g.starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*batch.schema.names, "__tag"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*batch.schema.names, f"c{len(batch.schema.names)}"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", __tag long"
-    keyed = keyed.mapInArrow(run, schema)
+    keyed = with_batches(keyed, run, "__tag")
     new = new.toDF("__id", "__key", "__new")
     kept = F.col("__new")
     same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__key"))
-    values = [F.col(f"`{c}`") for c in docs.columns]
+    values = quoted(*docs.columns)
     for k, c in enumerate(docs.columns):
         if c == "text":
             values[k] = F.coalesce(kept, F.col(c)).cast(text).alias(c)
         elif c == "n_chars":
             values[k] = F.when(kept.isNotNull(), F.char_length(kept)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
     changed = keyed.join(new, same, "left").select(*values)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(changed)
+    return docs.join(ids, "doc_id", "left_anti").select(*quoted(*docs.columns)).unionByName(changed)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.util import bounded_batches, columns
+from almanac.llm.util import bounded_batches, columns, with_batches
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST, MIN_LONGEST = 8, 0.3, 0.3, 50
@@ -186,4 +186,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(judge(measure(batch.column(at).to_pylist()))[1]))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return with_batches(docs, run)

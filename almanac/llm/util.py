@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanac.session import checkpoint_dir
 
@@ -44,6 +46,21 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def quoted(*names: str) -> list[Column]:
+    """Columns by their names, whatever characters these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def with_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], extra: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` for a ``run`` that returns rows as they came, with a long ``extra`` column last if
+    named. Columns are numbered on the way, so their names don't matter; ``run`` finds them by place."""
+    names = df.columns
+    kinds = T.StructType([T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(df.schema.fields)])
+    if extra is not None:
+        kinds, names = kinds.add(f"c{len(names)}", "long"), [*names, extra]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, kinds).toDF(*names)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are within BROADCAST_IDS."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
