@@ -1,107 +1,102 @@
-"""Restart alerts with a cooldown (batch twin of the streaming watchdog).
-
-An error line (one of three patterns) raises an alert unless the previous alert of
-the same service is less than ``cooldown`` seconds earlier. Each alert depends on the
-previous one, so this is a fold -- computed here without gathering a service's
-errors into one task:
-
-1. ``nxt(e)`` = the first error of the service at or after ``e + cooldown``
-   (a forward as-of lookup, done with a bucketed reverse scan and a carry across
-   buckets);
-2. segment heads (errors >= cooldown after the previous error) always alert; a jump
-   that lands on a head is dropped, so chains stay inside one burst;
-3. jump tables ``J_k = nxt^(2^k)`` by repeated self-joins on the unique key
-   (service, ts) -- log2(longest burst) rounds, each a balanced hash join;
-4. alerts = the chains from the heads: ``A_{k+1} = A_k + J_k(A_k)``.
-
-Lineage is cut every round with ``checkpoint()`` (reliable checkpoints in the shared
-folder named by ``spark.checkpoint.dir``; for very large error sets
-``session.materialize`` writes parquet there instead).
+"""Restart alerts with a window and a cooldown (batch twin of the streaming watchdog).
+
+The watchdog looks at a service's log all the time, in whole seconds: a restart is due when an error line
+(one of three patterns) that no earlier restart has answered is at most ``window`` seconds old and the last restart is at
+least ``cooldown`` seconds ago. So an error outside the cooldown alerts at once; one inside the cooldown alerts
+at its end if it is no older than the window then, and is forgotten otherwise.
+
+With ``a`` the latest alert decided so far, an error at ``e`` gives
+
+* nothing if ``e <= a`` (that alert answers it) or if ``a + cooldown - e > window``;
+* an alert at ``max(e, a + cooldown)`` otherwise.
+
+Each alert depends on the one before. The fold needs no loop of jobs: at the start of a day only the
+seconds between ``a`` and midnight matter, a whole number from -cooldown (long ago) to +cooldown. A day is
+therefore a table of ``2 * cooldown + 1`` results, built from that day's errors alone (at most 86,400 seconds
+a service, whatever the log holds). The tables of a service are chained from day to day, which gives each
+day's true start, and the days are folded once more from there. Tasks hold one day of one service or
+one service's day tables; both are bounded by the calendar.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.session import cut_lineage
 
-
 # Error patterns that call for a restart; cooldown and window seconds.
 ERROR_PATTERNS = r"(?i)tick timeout|device nonce required|gateway connect failed"
 COOLDOWN_SEC = 180
 WINDOW_SEC = 300
-
-
-def error_events(log: DataFrame, service: str = "service", ts: str = "timestamp", line: str = "line") -> DataFrame:
-    """Distinct (service, ts) of lines matching the error patterns."""
-    return log.filter(F.col(line).rlike(ERROR_PATTERNS)).select(F.col(service).alias("service"), F.col(ts).alias("ts")).distinct()
-
-
-def next_at_or_after(errors: DataFrame, offset_sec: int, bucket: str = "hour") -> DataFrame:
-    """(service, ts, nxt): first error ts >= ts + offset of the same service."""
-    probes = errors.select("service", (F.col("ts") + F.make_dt_interval(secs=F.lit(offset_sec))).alias("t"), F.col("ts").alias("src"))
-    pts = errors.select("service", F.col("ts").alias("t"), F.lit(None).cast(errors.schema["ts"].dataType).alias("src"))
-    u = probes.unionByName(pts).withColumn("bkt", F.date_trunc(bucket, "t"))
-    is_err = F.col("src").isNull()
-    err_t = F.when(is_err, F.col("t"))
-    # Earliest error of every later bucket, per service.
-    pb = u.groupBy("service", "bkt").agg(F.min(err_t).alias("b_first"))
-    later = Window.partitionBy("service").orderBy(F.col("bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = pb.select("service", "bkt", F.min("b_first").over(later).alias("c_first"))
-    # Within a bucket, reverse time order; at equal times the error comes first, so it
-    # is in the frame of the probe (an error exactly at ts + offset counts).
-    rev = Window.partitionBy("service", "bkt").orderBy(F.col("t").desc(), is_err.desc()).rowsBetween(Window.unboundedPreceding, -1)
-    near = u.select("service", "bkt", "src", F.last(err_t, ignorenulls=True).over(rev).alias("n_first")).filter(~is_err)
-    j = near.join(carry, ["service", "bkt"], "left")
-    return j.select("service", F.col("src").alias("ts"), F.coalesce("n_first", "c_first").alias("nxt"))
-
-
-def previous_error(errors: DataFrame, bucket: str = "hour") -> DataFrame:
-    """(service, ts, prev): the previous error of the same service, by a per-bucket lag
-    with the last error of earlier buckets carried in (skew-safe, like J3)."""
-    b = errors.withColumn("bkt", F.date_trunc(bucket, "ts"))
-    pb = b.groupBy("service", "bkt").agg(F.max("ts").alias("b_last"))
-    earlier = Window.partitionBy("service").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = pb.select("service", "bkt", F.max("b_last").over(earlier).alias("c_last"))
-    w = Window.partitionBy("service", "bkt").orderBy("ts")
-    x = b.join(carry, ["service", "bkt"], "left")
-    return x.select("service", "ts", F.coalesce(F.lag("ts").over(w), F.col("c_last")).alias("prev"))
-
-
-def alert_cooldown(log: DataFrame, cooldown_sec: int = COOLDOWN_SEC, service: str = "service", ts: str = "timestamp",
-                   line: str = "line", checkpoint: bool = True) -> DataFrame:
-    """Alert times (service, alert_ts) of the cooldown fold.
-
-    Segment heads -- errors at least ``cooldown`` after the previous error -- always
-    alert and restart the chain, so jumps into a head are dropped: chains stay inside
-    one burst of errors and the number of doubling rounds follows the longest burst,
-    not the length of the log.
-    """
-    errors = error_events(log, service, ts, line)
-    if checkpoint:
-        # The error set comes from a full log scan: computed once (cache + checkpoint).
-        errors = cut_lineage(errors)
-    gap = F.make_dt_interval(secs=F.lit(cooldown_sec))
-    prev = previous_error(errors)
-    heads = prev.filter(F.col("prev").isNull() | (F.col("ts") >= F.col("prev") + gap)).select("service", "ts")
-    nxt = next_at_or_after(errors, cooldown_sec)
-    head_keys = heads.select("service", F.col("ts").alias("nxt"), F.lit(True).alias("_head"))
-    # Only nodes that still have a successor are kept: a missing key reads as NULL in
-    # the left self-join below, and the table shrinks every round.
-    jump = nxt.join(head_keys, ["service", "nxt"], "left").filter(F.col("_head").isNull() & F.col("nxt").isNotNull()).select(
-        "service", "ts", F.col("nxt").alias("j"))
-    alerts = heads
-    if checkpoint:
-        jump, alerts = jump.checkpoint(), alerts.checkpoint()
-    while jump.limit(1).count():  # else no node has a successor 2^k steps ahead: every chain is complete
-        step = alerts.join(jump, ["service", "ts"]).select("service", F.col("j").alias("ts"))
-        alerts = alerts.unionByName(step).distinct()
-        # J_{k+1}(x) = J_k(J_k(x)): a join on the unique key (service, ts).
-        jump = jump.alias("a").join(jump.alias("b"), (F.col("a.service") == F.col("b.service")) & (F.col("a.j") == F.col("b.ts"))) \
-            .select(F.col("a.service").alias("service"), F.col("a.ts").alias("ts"), F.col("b.j").alias("j"))
-        if checkpoint:
-            # Both plans would grow every round (the jump plan doubles); cut them.
-            jump, alerts = jump.checkpoint(), alerts.checkpoint()
-    return alerts.select("service", F.col("ts").alias("alert_ts"))
+DAY = 86_400
+
+
+def next_alert(last: int | None, error: int, cooldown: int, window: int) -> int | None:
+    """The latest alert after an error, given the latest alert before it (both in seconds)."""
+    if last is None or error >= last + cooldown:
+        return error
+    if error <= last or last + cooldown - error > window:
+        return last
+    return last + cooldown
+
+
+def error_days(log: DataFrame, service: str = "service", ts: str = "timestamp", line: str = "line") -> DataFrame:
+    """(service, day, seconds): the distinct seconds of a day with a matching line, in order. Lines without a time are left out."""
+    e = log.filter(F.col(line).rlike(ERROR_PATTERNS) & F.col(ts).isNotNull())
+    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    e = e.select(F.col(service).alias("service"), F.col(ts).cast("date").alias("day"), second.cast("int").alias("s")).distinct()
+    return e.groupBy("service", "day").agg(F.array_sort(F.collect_list("s")).alias("seconds"))
+
+
+def day_table(seconds: np.ndarray, cooldown: int, window: int) -> np.ndarray:
+    """The latest alert relative to the next midnight, for every latest alert (-cooldown to cooldown) relative to this one."""
+    last = np.arange(-cooldown, cooldown + 1, dtype=np.int64)
+    for e in seconds:
+        held = (e <= last) | (last + cooldown - e > window)
+        last = np.where(e >= last + cooldown, e, np.where(held, last, last + cooldown))
+    return np.maximum(last - DAY, -cooldown)
+
+
+def alert_cooldown(log: DataFrame, cooldown_sec: int = COOLDOWN_SEC, window_sec: int = WINDOW_SEC, service: str = "service",
+                   ts: str = "timestamp", line: str = "line", checkpoint: bool = True) -> DataFrame:
+    """Alert times (service, alert_ts), in whole seconds. ``checkpoint``: scan the log once, not twice."""
+    if not 0 < cooldown_sec <= DAY // 2:
+        raise ValueError("the cooldown must be between one second and half a day")
+    days = error_days(log, service, ts, line)
+    days = cut_lineage(days) if checkpoint else days
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"service": b["service"], "day": b["day"], "table": [day_table(s, cooldown_sec, window_sec) for s in b["seconds"]]})
+
+    def starts(of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values("day")
+        out, last, before = [], -cooldown_sec, None
+        for day, table in zip(of["day"], of["table"]):
+            last = last if before is not None and (day - before).days == 1 else -cooldown_sec
+            out.append(last)
+            last, before = int(table[last + cooldown_sec]), day
+        return pd.DataFrame({"service": of["service"], "day": of["day"], "start": out})
+
+    def alerts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for name, day, seconds, last in zip(b["service"], b["day"], b["seconds"], b["start"]):
+                for e in seconds.tolist():
+                    new = next_alert(last, e, cooldown_sec, window_sec)
+                    if new != last:
+                        found.append((name, day, new))
+                    last = new
+            yield pd.DataFrame(found, columns=["service", "day", "at"])
+
+    t = days.mapInPandas(tables, "service string, day date, table array<int>")
+    t = t.groupBy("service").applyInPandas(starts, "service string, day date, start int")
+    t = t.select(F.col("service").alias("_s"), F.col("day").alias("_d"), "start")
+    placed = days.join(t, F.col("service").eqNullSafe(F.col("_s")) & (F.col("day") == F.col("_d"))).select("service", "day", "seconds", "start")
+    found = placed.mapInPandas(alerts, "service string, day date, at int")
+    return found.select("service", F.timestamp_add("SECOND", F.col("at"), F.col("day").cast(log.schema[ts].dataType)).alias("alert_ts"))

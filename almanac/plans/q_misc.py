@@ -244,12 +244,14 @@ SERVICE_LOG = """select 'svc' || cast(user_id % 5 as varchar) as service, ts as
 
 
 @register("alert_cooldown", f"""
-with recursive e as (select distinct service, timestamp as ts from ({SERVICE_LOG})
+with recursive e as (select distinct service, date_trunc('second', timestamp) as ts from ({SERVICE_LOG})
                      where regexp_matches(line, '(?i)tick timeout|device nonce required|gateway connect failed')),
 a(service, ts) as (
   select service, min(ts) from e group by service
   union all
-  select a.service, (select min(e.ts) from e where e.service = a.service and e.ts >= a.ts + interval 180 second)
+  select a.service, greatest((select min(e.ts) from e where e.service = a.service and e.ts > a.ts
+                              and (e.ts >= a.ts + interval 180 second or e.ts >= a.ts + interval 180 second - interval 300 second)),
+                             case when exists (select 1 from e where e.service = a.service and e.ts > a.ts) then a.ts + interval 180 second end)
   from a where a.ts is not null)
 select service, ts as alert_ts from a where ts is not null""", "alerts")
 def q_alert_cooldown(spark, sf):

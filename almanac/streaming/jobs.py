@@ -15,12 +15,11 @@ import math
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from almanac.operators import alerts as AL
 from almanac.operators import merge as MG
@@ -127,46 +126,42 @@ def stream_route_events(spark: SparkSession, landing: str, routes: DataFrame, de
 
 # ---------------------------------------------------------------- ST4
 
-ALERT_OUT = "service string, alert_ts timestamp_ntz"
-ALERT_STATE = "last_alert timestamp_ntz, pending array<timestamp_ntz>"
-
-
-def _alert_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per service: buffer error times until the watermark passes them, then fold them
-    in time order: alert when the previous alert is >= cooldown seconds earlier."""
-    (service,) = key
-    last, pending = (None, [])
-    if state.exists:
-        last, pending = state.get
-        pending = list(pending or [])
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            pending.extend(pd.to_datetime(pdf["timestamp"]).tolist())
-    pending = set(pending)
-    wm = state.getCurrentWatermarkMs()
-    wm_ts = pd.Timestamp(wm, unit="ms") if wm and wm > 0 else None
-    ready = sorted(t for t in pending if wm_ts is not None and t <= wm_ts)
-    keep = sorted(t for t in pending if not (wm_ts is not None and t <= wm_ts))
-    out = []
-    cooldown = pd.Timedelta(seconds=AL.COOLDOWN_SEC)
-    for t in ready:
-        if last is None or t - pd.Timestamp(last) >= cooldown:
-            out.append(t)
-            last = t
-    state.update((last, keep))
-    if keep:
-        # Wake up as soon as the watermark passes the earliest buffered error.
-        state.setTimeoutTimestamp(int(pd.Timestamp(min(keep)).value // 10**6) + 1)
-    if out:
-        yield pd.DataFrame({"service": [service] * len(out), "alert_ts": out})
+ALERT_OUT = "service string, alert_ms bigint"
+
+
+class _Alerts(StatefulProcessor):
+    """Per service: an error waits as an event-time timer at the end of its second and is judged when the watermark
+    has passed it. Timers fire in order and equal ones are one, so no list of errors is held or sorted; the
+    state is the latest alert."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "s bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for ms in {(r["s"] + 1) * 1000 for r in rows}:
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        error = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        last = self.last.get()[0] if self.last.exists() else None
+        new = AL.next_alert(last, error, AL.COOLDOWN_SEC, AL.WINDOW_SEC)
+        if new != last:
+            self.last.update((new,))
+            yield Row(service=key[0], alert_ms=new * 1000)
+
+    def close(self) -> None:
+        pass
 
 
 def alerts_stream(src: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """ST4 transformation: error lines -> restart alerts with a per-service cooldown.
-    The fold drops repeated times itself, so no state is kept for past errors."""
+    """ST4 transformation: error lines -> restart alerts with a window and a cooldown per service, as
+    ``alert_cooldown`` defines them. An alert at the end of a cooldown is written as soon as it is certain."""
     e = src.filter(F.col("line").rlike(AL.ERROR_PATTERNS)).select("service", "timestamp")
-    e = _event_time(e).withWatermark("event_time", lateness)
-    return e.groupBy("service").applyInPandasWithState(_alert_fold, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    e = _event_time(e).withWatermark("event_time", lateness).select("service", "event_time", F.unix_seconds("event_time").alias("s"))
+    out = e.groupBy("service").transformWithState(_Alerts(), ALERT_OUT, "append", "eventTime")
+    return out.select("service", F.timestamp_millis("alert_ms").cast("timestamp_ntz").alias("alert_ts"))
 
 
 def stream_alerts(spark: SparkSession, landing: str, sink: str, name: str = "alerts") -> DataStreamWriter:
@@ -177,53 +172,67 @@ def stream_alerts(spark: SparkSession, landing: str, sink: str, name: str = "ale
 
 # ---------------------------------------------------------------- ST5
 
-SESSION_OUT = "user_name string, item_name string, device string, start_time timestamp_ntz, stop_time timestamp_ntz, duration_minutes double"
-SESSION_STATE = ("play_ts timestamp_ntz, play_device string, matched boolean, "
-                 "pending array<struct<ts: timestamp_ntz, is_play: boolean, device: string>>")
-
-
-def _session_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per (user, item): events are buffered until the watermark passes them, then
-    processed in (time, stop-before-play) order: a play opens a session (dropping an
-    unmatched earlier one), the first later stop closes it."""
-    user, item = key
-    play_ts, play_dev, matched, pending = (None, None, True, [])
-    if state.exists:
-        play_ts, play_dev, matched, pending = state.get
-        pending = [tuple(p) for p in (pending or [])]
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            for ts, ev, dev in zip(pd.to_datetime(pdf["timestamp"]), pdf["event_type"], pdf["device"]):
-                pending.append((ts, ev == PLAY, dev))
-    wm = state.getCurrentWatermarkMs()
-    wm_ts = pd.Timestamp(wm, unit="ms") if wm and wm > 0 else None
-    pending.sort(key=lambda p: (p[0], p[1], p[2] or ""))
-    ready = [p for p in pending if wm_ts is not None and p[0] <= wm_ts]
-    keep = [p for p in pending if not (wm_ts is not None and p[0] <= wm_ts)]
-    rows = []
-    for ts, is_play, dev in ready:
-        if is_play:
-            play_ts, play_dev, matched = ts, dev, False
-        elif play_ts is not None and not matched and ts > pd.Timestamp(play_ts):
-            mins = (ts - pd.Timestamp(play_ts)).value / 1e9 / 60.0
-            rows.append((user, item, play_dev, pd.Timestamp(play_ts), ts, math.floor(mins * 10 + 0.5) / 10))  # half up, as in the batch form
-            matched = True
-    if keep or not matched:
-        state.update((play_ts, play_dev, matched, [(t, p, d) for t, p, d in keep]))
-    elif state.exists:  # a closed session needs no memory
-        state.remove()
-    if keep:
-        state.setTimeoutTimestamp(int(pd.Timestamp(min(p[0] for p in keep)).value // 10**6) + 1)
-    if rows:
-        yield pd.DataFrame(rows, columns=["user_name", "item_name", "device", "start_time", "stop_time", "duration_minutes"])
+SESSION_OUT = "user_name string, item_name string, device string, start_us bigint, stop_us bigint, duration_minutes double"
+#: A play without a stop is forgotten after this time; reports leave out sessions of ten hours and more.
+SESSION_HOURS = 12
+
+
+class _Sessions(StatefulProcessor):
+    """Per (user, item): events wait in a map by millisecond, each with a timer, until the watermark has passed them, and
+    are then taken in (time, stop-before-play) order: a play opens a session (dropping an unmatched earlier one), the first
+    later stop closes it. An open play is forgotten ``SESSION_HOURS`` later, so a key without events holds no state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "us bigint, device string")
+        self.due = handle.getMapState("due", "ms bigint", "events array<struct<us: bigint, is_play: boolean, device: string>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new: dict[int, list] = {}
+        for r in rows:
+            new.setdefault(r["us"] // 1000, []).append((r["us"], r["is_play"], r["device"]))
+        for ms, events in new.items():
+            held = [tuple(e) for e in self.due.getValue((ms,))[0]] if self.due.containsKey((ms,)) else []
+            self.due.updateValue((ms,), (held + events,))
+            self.handle.registerTimer(ms + 1)
+            if any(is_play for _, is_play, _ in events):  # here, as timers set while others fire wait for the next batch
+                self.handle.registerTimer(ms + SESSION_HOURS * 3_600_000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        events = []
+        if self.due.containsKey((ms,)):
+            events = sorted((tuple(e) for e in self.due.getValue((ms,))[0]), key=lambda e: (e[0], e[1], e[2] or ""))
+            self.due.removeKey((ms,))
+        play = self.open.get() if self.open.exists() else None
+        for us, is_play, device in events:
+            if is_play:
+                play = (us, device)
+            elif play is not None and us > play[0]:
+                minutes = (us - play[0]) / 1e6 / 60.0
+                yield Row(user_name=key[0], item_name=key[1], device=play[1], start_us=play[0], stop_us=us,
+                          duration_minutes=math.floor(minutes * 10 + 0.5) / 10)  # half up, as in the batch form
+                play = None
+        if play is not None and play[0] // 1000 + SESSION_HOURS * 3_600_000 <= ms:
+            play = None
+        if play is not None:
+            self.open.update(tuple(play))
+        elif self.open.exists():
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def sessions_stream(src: DataFrame, lateness: str = "12 hours") -> DataFrame:
-    """ST5 transformation: play/stop events -> watch sessions emitted on stop."""
+    """ST5 transformation: play/stop events -> watch sessions of at most ``SESSION_HOURS``, emitted on stop."""
     e = src.filter(F.col("event_type").isin(PLAY, STOP) & F.col("user_name").isNotNull() & F.col("item_name").isNotNull())
     e = _event_time(e.select("user_name", "item_name", "device", "event_type", "timestamp")).withWatermark("event_time", lateness)
-    return e.groupBy("user_name", "item_name").applyInPandasWithState(
-        _session_fold, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    e = e.select("user_name", "item_name", "device", "event_time", F.unix_micros("event_time").alias("us"), (F.col("event_type") == PLAY).alias("is_play"))
+    out = e.groupBy("user_name", "item_name").transformWithState(_Sessions(), SESSION_OUT, "append", "eventTime")
+    at = [F.timestamp_micros(c).cast("timestamp_ntz").alias(n) for c, n in (("start_us", "start_time"), ("stop_us", "stop_time"))]
+    return out.select("user_name", "item_name", "device", *at, "duration_minutes")
 
 
 def stream_sessions(spark: SparkSession, landing: str, sink: str, name: str = "sessions") -> DataStreamWriter:
