@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.dates import month_key, month_label
-from almanac.functions.numeric import py_round0, round_half_away
+from almanac.functions.numeric import py_round, py_round0, round_half_away
 from almanac.functions.text import fmt_number, shorten_address
 from almanac.operators import telemetry as T
 from almanac.operators.common import assemble_by_key
@@ -223,8 +223,8 @@ def wrapped_report(t: DataFrame, tx: DataFrame, activity: DataFrame, sign: int =
 def _report_document(doc: DataFrame) -> DataFrame:
     """Derived figures of the report document: EV cost, fun fact, period label."""
     km = F.coalesce(F.col("km"), F.lit(0.0))
-    ev = F.bround(km / F.lit(T.EV_KM_PER_KWH) * F.lit(T.PRICE_PER_KWH), 2)
-    gas = F.bround(km / F.lit(T.FUEL_KM_PER_L) * F.lit(T.FUEL_PRICE_PER_L), 2)
+    ev = py_round(km / F.lit(T.EV_KM_PER_KWH) * F.lit(T.PRICE_PER_KWH), 2)
+    gas = py_round(km / F.lit(T.FUEL_KM_PER_L) * F.lit(T.FUEL_PRICE_PER_L), 2)
     has_km = km > 0
     spend = F.coalesce(F.col("spend"), F.lit(0.0))
     top_cat = F.get(F.col("categories"), 0)
@@ -243,9 +243,9 @@ def _report_document(doc: DataFrame) -> DataFrame:
         F.coalesce("categories", F.array()).alias("categories"),
         F.coalesce("top_expenses", F.array()).alias("top_expenses"),
         F.coalesce("entertainment", F.array()).alias("entertainment"),
-        F.when(has_km, F.bround(km / F.lit(T.EV_KM_PER_KWH), 1)).alias("kwh_used"),
+        F.when(has_km, py_round(km / F.lit(T.EV_KM_PER_KWH), 1)).alias("kwh_used"),
         F.when(has_km, ev).alias("ev_cost"), F.when(has_km, gas).alias("gas_equiv"),
-        F.when(has_km, F.bround(gas - ev, 2)).alias("ev_saving"),
+        F.when(has_km, py_round(gas - ev, 2)).alias("ev_saving"),
         F.when(F.col("avg_per_day") > 0, F.col("avg_per_day")).alias("avg_per_day"),
         F.col("top_day"),
         F.when(F.col("spend_transactions") > 0, F.col("spend_transactions")).alias("spend_transactions"),

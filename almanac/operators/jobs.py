@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.numeric import round_half_away
+from almanac.functions.numeric import py_round
 from almanac.functions.text import truncate_bytes
 
 # Lines that count as the error of a failed run; message cut in bytes.
@@ -111,7 +111,7 @@ def transcode_outcome(old_bytes: Column, new_bytes: Column, codec: Column, error
               .when(F.lit(dry_run), F.lit("would_transcode"))
               .when(new_bytes >= threshold, F.lit("skip_not_smaller"))
               .otherwise(F.lit("done")))
-    saved = F.when(status == "done", round_half_away((F.lit(1.0) - new_bytes.cast("double") / old_bytes.cast("double")) * 100, 2))
+    saved = F.when(status == "done", py_round((F.lit(1.0) - new_bytes.cast("double") / old_bytes.cast("double")) * 100, 2))
     return {"status": status, "saved_pct": saved}
 
 

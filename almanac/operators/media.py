@@ -115,8 +115,9 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 
 def library_totals(library: DataFrame) -> DataFrame:
-    """Item count and total size."""
-    return library.agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("file_size_gb"), 2).cast("double").alias("size_gb"))
+    """Item count and size of each type and, with ``is_total``, of the whole library."""
+    return library.rollup("item_type").agg(
+        (F.grouping("item_type") == 1).alias("is_total"), F.count(F.lit(1)).alias("items"), F.round(F.sum("file_size_gb"), 2).cast("double").alias("size_gb"))
 
 
 def explode_genres(library: DataFrame) -> DataFrame:

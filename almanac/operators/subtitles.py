@@ -84,6 +84,35 @@ def translation_progress(resolved: DataFrame) -> DataFrame:
         F.count_if(F.col("got") == 0).alias("errors"))
 
 
+def translation_checkpoint(blocks: DataFrame, resolved: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """A44 carried on from run to run: (file, done, total, errors, retry, fallback, status) of every file of ``blocks``.
+
+    ``resolved`` holds the blocks of this run's finished batches, in any order; ``before`` is the stored result
+    of the last run. ``done`` is the gap-free prefix: blocks behind the first missing one will be translated
+    again, so they count neither here nor in the counters, which continue from ``before``. A batch is an error if
+    none of its counted blocks got a batch translation. ``status`` is 'done' once ``done`` is ``total``, else null."""
+    run = resolved.select("file", "pos", "batch", F.col("batch_text").isNotNull().alias("got"), "used_retry", "used_fallback").dropDuplicates(["file", "pos"])
+    j = blocks.select("file", "pos").join(run, ["file", "pos"], "left")
+    if before is None:
+        j = j.withColumn("_done", F.lit(0))
+    else:
+        j = j.join(before.select("file", F.col("done").alias("_done")), "file", "left").withColumn("_done", F.coalesce("_done", F.lit(0)))
+    missing = F.when(F.col("batch").isNull() & (F.col("pos") >= F.col("_done")), F.col("pos"))
+    g = j.groupBy("file").agg(F.count(F.lit(1)).alias("total"), F.min(missing).alias("_gap"))
+    g = g.select("file", "total", F.coalesce(F.col("_gap").cast("bigint"), F.col("total")).alias("done"))
+    counted = j.where("batch is not null and pos >= _done").join(g.select("file", "done"), "file").where("pos < done")
+    batches = counted.groupBy("file", "batch").agg(F.max("got").alias("got"), F.count_if("used_retry").alias("r"), F.count_if("used_fallback").alias("f"))
+    new = batches.groupBy("file").agg(F.count_if(~F.col("got")).alias("errors"), F.sum("r").alias("retry"), F.sum("f").alias("fallback"))
+    out = g.join(new, "file", "left")
+    names = ["errors", "retry", "fallback"]
+    held = {c: F.lit(0) for c in names}
+    if before is not None:
+        out = out.join(before.select("file", *[F.col(c).alias(f"_{c}") for c in names]), "file", "left")
+        held = {c: F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in names}
+    return out.select("file", "done", "total", *[(F.coalesce(F.col(c), F.lit(0)) + held[c]).cast("bigint").alias(c) for c in names],
+                      F.when(F.col("done") == F.col("total"), F.lit("done")).alias("status"))
+
+
 def resume_point(blocks: DataFrame, partial: DataFrame, checkpoint: DataFrame | None = None) -> DataFrame:
     """Resume index per file = length of the gap-free prefix of source blocks found
     in the partial output (by idx), at least the checkpoint's ``done``."""

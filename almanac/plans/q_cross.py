@@ -80,8 +80,8 @@ def _fmt(x):
 
 
 def _pyround(x, n):
-    """Half-even rounding of the value's shortest decimal text (Spark's ``bround``)."""
-    return f"cast(round_even(cast(cast(({x}) as varchar) as decimal(38,18)), {n}) as double)"
+    """Python's ``round``: the exact binary value printed with n digits."""
+    return f"cast(format('{{:.{n}f}}', cast(({x}) as double)) as double)"
 
 
 @register("wrapped_report_figures", W + f"""

@@ -84,6 +84,47 @@ def q_ingest_media_library(spark, sf):
     return I.ingest_media_library(L.library_pages(spark, sf), "Movie")
 
 
+@register("unreadable_documents", """
+with d as (select distinct event_id // 100 as k from events)
+select 'activity' as feed, cast(k as varchar) as landed, case when k % 4 = 1 then 'rejected' else 'accepted' end as outcome, count(*) as n
+from d where k % 4 = 1 group by all
+union all
+select 'activity', cast(event_id // 100 as varchar), 'accepted', count(*) from events
+where event_type in ('view', 'click') and (event_id // 100) % 4 <> 1 group by all
+union all
+select 'library', cast(p_partkey // 100 as varchar), 'accepted', count(*) from part where (p_partkey // 100) % 3 <> 1 group by all
+union all
+select distinct 'library', cast(p_partkey // 100 as varchar), 'rejected', 1 from part where (p_partkey // 100) % 3 = 1
+union all
+select 'forecast', cast(cast(ts as date) as varchar), case when day(ts) % 5 = 2 then 'rejected' else 'accepted' end, count(distinct cast(ts as date)) from events group by all
+union all
+select 'telemetry', cast(user_id as varchar), case when user_id % 6 = 1 then 'rejected' else 'accepted' end, count(*) from events group by all""", "ingest")
+def q_unreadable_documents(spark, sf):
+    """Feeds with documents cut short, given a field of another type, or missing: what each ingest reads and leaves out."""
+    def spoilt(df, col, when):
+        doc = F.when(F.length(col) % 3 == 0, F.lit(None)).when(F.length(col) % 3 == 1, F.concat(F.lit("["), F.col(col), F.lit("]"))).otherwise(F.substring(col, 1, 20))
+        return df.withColumn(col, F.when(when, doc).otherwise(F.col(col)))
+
+    def counted(df, feed, outcome, landed):
+        return df.groupBy(landed.cast("string").alias("landed")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(feed).alias("feed"), "landed", F.lit(outcome).alias("outcome"), "n")
+
+    act = spoilt(L.activity_pages(spark, sf), "page_json", F.col("page_no") % 4 == 1)
+    lib = spoilt(L.library_pages(spark, sf), "page_json", F.col("page_no") % 3 == 1)
+    fore = spoilt(L.forecast_docs(spark, sf), "forecast_json", F.day("date") % 5 == 2)
+    tel = spoilt(FX.load(spark, sf, "telemetry_raw"), "raw_json", F.col("entity_id") % 6 == 1)
+    parts = [
+        counted(I.ingest_activity(act), "activity", "accepted", F.floor(F.col("id") / 100)),
+        counted(I.unreadable_documents(act, "page_json", I.ACTIVITY_PAGE), "activity", "rejected", F.col("page_no")),
+        counted(I.ingest_media_library(lib, "Movie"), "library", "accepted", F.floor(F.col("id").cast("bigint") / 100)),
+        counted(I.unreadable_documents(lib, "page_json", I.LIBRARY_PAGE), "library", "rejected", F.col("page_no")),
+        counted(I.ingest_weather(fore), "forecast", "accepted", F.col("date")),
+        counted(I.unreadable_documents(fore, "forecast_json", I.FORECAST_DOC), "forecast", "rejected", F.col("date")),
+        counted(I.ingest_telemetry(tel), "telemetry", "accepted", F.col("entity_id")),
+        counted(I.unreadable_documents(tel, "raw_json", I.TELEMETRY_DOC), "telemetry", "rejected", F.col("entity_id"))]
+    return I.merge_feeds(*parts)
+
+
 # ---------------------------------------------------------------- merges
 from almanac.operators import merge as MG  # noqa: E402
 

@@ -85,7 +85,9 @@ def q_library_summary(spark, sf):
 
 
 @register("library_totals", WL + """
-select count(*) as items, cast(round(sum(file_size_gb), 2) as double) as size_gb from media_library""", "media")
+select item_type, false as is_total, count(*) as items, cast(round(sum(file_size_gb), 2) as double) as size_gb from media_library group by item_type
+union all
+select null, true, count(*), cast(round(sum(file_size_gb), 2) as double) from media_library""", "media")
 def q_library_totals(spark, sf):
     return M.library_totals(lib(spark, sf))
 

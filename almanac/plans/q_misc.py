@@ -213,6 +213,23 @@ def q_translation_progress(spark, sf):
     return SB.translation_progress(_resolved(spark, sf))
 
 
+@register("translation_checkpoint", RESOLVED + """
+, n as (select file, any_value(conv_id) as conv_id, count(*) as total from f group by file),
+d as (select file, total, case when conv_id % 7 = 0 and total > 6 then 6 else total end as done from n),
+pb as (select file, floor(pos / 2) as b, count(*) filter (where used_retry) as r, count(*) filter (where used_fallback) as fb,
+   count(*) filter (where batch_text is not null) as got from f join d using (file) where pos < done group by file, b)
+select file, cast(done as bigint) as done, total, count(*) filter (where got = 0) as errors, cast(sum(r) as bigint) as retry,
+  cast(sum(fb) as bigint) as fallback, case when done = total then 'done' end as status
+from d join pb using (file) group by file, done, total""".replace("\n, n as", ", n as", 1), "subtitles")
+def q_translation_checkpoint(spark, sf):
+    """Two runs: the first ends after four blocks of a file, the second loses a batch of every seventh conversation."""
+    blocks = _blocks(spark, sf)
+    done = SB.translation_resolve(SB.chunk(L.srt_translations(blocks), 2))
+    conv = F.regexp_extract(F.col("file"), r"conv([0-9]+)", 1).cast("bigint")
+    first = SB.translation_checkpoint(blocks, done.filter(F.col("pos") < 4))
+    return SB.translation_checkpoint(blocks, done.filter((F.col("pos") >= 4) & ~((conv % 7 == 0) & (F.col("batch") == 3))), first)
+
+
 @register("write_srt", RESOLVED + """
 select file, string_agg(cast(idx as varchar) || chr(10) || ts || chr(10) || final_text || chr(10), chr(10) order by pos) as content
 from f group by file""", "subtitles")

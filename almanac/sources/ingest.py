@@ -7,9 +7,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.dates import recent_window
-from almanac.functions.numeric import py_round0
+from almanac.functions.numeric import py_round, py_round0
 from almanac.functions.sensors import sensor_bool, sensor_double, sensor_fallback
 
+def _parsed(df: DataFrame, json_col: str, schema: str) -> DataFrame:
+    """``_d``: the document under ``schema``; ``_bad``: it is missing, no JSON object, or a field has another type.
+    One parse gives both."""
+    d = F.from_json(F.col(json_col), schema[:-1] + ", _unread: string>", {"columnNameOfCorruptRecord": "_unread"})
+    return df.withColumn("_d", d).withColumn("_bad", F.col("_d").isNull() | F.col("_d._unread").isNotNull())
+
+
+def unreadable_documents(docs: DataFrame, json_col: str, schema: str) -> DataFrame:
+    """The rows of ``docs`` that the ingest of ``schema`` (``TELEMETRY_DOC``, ``LIBRARY_PAGE``, ``ACTIVITY_PAGE``,
+    ``FORECAST_DOC``) leaves out, as landed: what it reads and these are all that landed."""
+    return _parsed(docs, json_col, schema).filter("_bad").drop("_d", "_bad")
+
+
 TELEMETRY_DOC = "struct<latitude: double, longitude: double, items: array<struct<code: string, value: string>>>"
 
 # Sensor codes of the status document (column -> code).
@@ -26,9 +39,9 @@ BOOL_TRUE = {"is_locked": "1", "is_charging": "5", "is_ac_on": "1"}
 
 
 def ingest_telemetry(raw: DataFrame, json_col: str = "raw_json") -> DataFrame:
-    """Status documents -> telemetry rows (entity_id and landing timestamp kept)."""
-    doc = F.from_json(F.col(json_col), TELEMETRY_DOC)
-    x = raw.withColumn("_d", doc)
+    """Status documents -> telemetry rows (entity_id and landing timestamp kept). Documents that can't be
+    read go to ``unreadable_documents``."""
+    x = _parsed(raw, json_col, TELEMETRY_DOC).filter("not _bad")
     items = F.col("_d.items")
     odo = sensor_fallback(sensor_double(items, SENSOR_CODES["odometer_primary"]), sensor_double(items, SENSOR_CODES["odometer_fallback"]))
     cols = [
@@ -118,8 +131,8 @@ TICKS_PER_MINUTE = 600000000
 
 
 def ingest_media_library(pages: DataFrame, item_type: str, json_col: str = "page_json") -> DataFrame:
-    """S3: media item pages -> library rows (20 columns)."""
-    it = pages.select(F.explode(F.from_json(F.col(json_col), LIBRARY_PAGE)["Items"]).alias("i")).select("i.*")
+    """S3: media item pages -> library rows (20 columns). Pages that can't be read go to ``unreadable_documents``."""
+    it = _parsed(pages, json_col, LIBRARY_PAGE).filter("not _bad").select(F.explode("_d.Items").alias("i")).select("i.*")
     ms0 = F.get(F.col("MediaSources"), 0)
     streams = F.coalesce(ms0["MediaStreams"], F.array())
     vids = F.filter(streams, lambda s: s["Type"] == F.lit("Video"))
@@ -140,7 +153,7 @@ def ingest_media_library(pages: DataFrame, item_type: str, json_col: str = "page
         F.when(F.coalesce(F.col("DateCreated"), F.lit("")) != "", _iso_ts(F.col("DateCreated"))).alias("date_created"),
         F.when(F.coalesce(F.col("PremiereDate"), F.lit("")) != "", _iso_date(F.col("PremiereDate"))).alias("premiere_date"),
         F.col("SeriesName").alias("series_name"), F.col("SeasonName").alias("season_name"), F.col("IndexNumber").alias("episode_index"),
-        F.when(has_ms, F.bround(F.coalesce(ms0["Size"], F.lit(0)).cast("double") / F.lit(1e9), 2).try_cast("decimal(8,2)")).alias("file_size_gb"),
+        F.when(has_ms, py_round(F.coalesce(ms0["Size"], F.lit(0)).cast("double") / F.lit(1e9), 2).try_cast("decimal(8,2)")).alias("file_size_gb"),
         F.when(has_ms, ms0["Container"]).alias("container"),
         vid["Codec"].alias("video_codec"), aud["Codec"].alias("audio_codec"),
         F.when((w != 0) & (h != 0), F.concat(w.cast("string"), F.lit("x"), h.cast("string"))).alias("resolution"),
@@ -183,8 +196,8 @@ STOP_PATTERN = r"^(.+?) parou de reproduzir (.+?) em (.+)$"
 
 def ingest_activity(pages: DataFrame, json_col: str = "page_json") -> DataFrame:
     """Activity log pages -> playback events with user / item / device parsed
-    from the entry name (first matching pattern; no match -> NULLs)."""
-    it = pages.select(F.explode(F.from_json(F.col(json_col), ACTIVITY_PAGE)["Items"]).alias("i")).select("i.*")
+    from the entry name (first matching pattern; no match -> NULLs). Pages that can't be read go to ``unreadable_documents``."""
+    it = _parsed(pages, json_col, ACTIVITY_PAGE).filter("not _bad").select(F.explode("_d.Items").alias("i")).select("i.*")
     it = it.filter(F.col("Type").contains("Playback"))
     name = F.coalesce(F.col("Name"), F.lit(""))
 
@@ -215,8 +228,8 @@ RAIN_HOURS = (6, 22)
 def ingest_weather(docs: DataFrame, json_col: str = "forecast_json") -> DataFrame:
     """Forecast document -> current conditions (text, '?' when absent), today's
     extremes and rain hours: (hour = time // 100, chance) with chance >= 40 and
-    6 <= hour <= 22, in forecast order."""
-    x = docs.withColumn("_f", F.from_json(F.col(json_col), FORECAST_DOC))
+    6 <= hour <= 22, in forecast order. Documents that can't be read go to ``unreadable_documents``."""
+    x = _parsed(docs, json_col, FORECAST_DOC).filter("not _bad").withColumnRenamed("_d", "_f")
     cur = F.get(F.col("_f.current_condition"), 0)
     today = F.get(F.col("_f.weather"), 0)
     hourly = F.coalesce(today["hourly"], F.array())
