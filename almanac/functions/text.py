@@ -37,11 +37,6 @@ def slug(x) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(UNKNOWN_SLUG))
 
 
-def truncate(x, n: int) -> Column:
-    """First ``n`` characters."""
-    return F.substring(_c(x), 1, n)
-
-
 # An incomplete UTF-8 sequence at the end of a byte string, in hex: a lead byte with
 # fewer continuation bytes than it announces (anchored at the end, so pair-aligned).
 _PARTIAL_UTF8_HEX = r"(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-7](?:[89AB][0-9A-F]){0,2})$"

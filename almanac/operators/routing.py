@@ -22,7 +22,6 @@ OBJECT_NAME_KEYS = ["username", "displayName", "display_name", "name", "email"]
 TEXT_FIELDS = ["message", "subject", "body"]
 REQUESTER_TEXT_PATTERNS = [r"(?i)(?:requested by|solicitado por|pedido por)\s+@?([a-zA-Z0-9._-]+)",
                            r"(?i)(?:user|usuario)\s*[:=]\s*@?([a-zA-Z0-9._-]+)"]
-TEMPLATE_PLACEHOLDER = r"^\{\{.+\}\}$"  # checked as starts "{{", ends "}}", length > 4
 # Outgoing message defaults.
 APP_NAME = "Jellyseerr"
 BODY_FIELDS = ["subject", "message", "event", "media_type", "media_tmdbid", "media_tvdbid"]

@@ -116,7 +116,7 @@ def battery_history(t: DataFrame, rng: DateRange) -> DataFrame:
 
 
 def snapshot_log(t: DataFrame, rng: DateRange) -> DataFrame:
-    """P10: wide snapshot listing, newest first."""
+    """P10: wide snapshot listing (readers show it newest first; sorted by ``timestamp`` there)."""
     lock_i, unlock_i = SNAPSHOT_LOCK_ICONS
     chg_i, idle_i = SNAPSHOT_CHARGE_ICONS
     return t.filter(rng.on_timestamp("timestamp")).select(
@@ -128,7 +128,7 @@ def snapshot_log(t: DataFrame, rng: DateRange) -> DataFrame:
         F.when(F.col("is_locked"), F.lit(lock_i)).otherwise(F.lit(unlock_i)).alias("lock"),
         F.when(F.col("is_charging"), F.lit(chg_i)).otherwise(F.lit(idle_i)).alias("charge"),
         current_location_text().alias("location"),
-    ).orderBy(F.col("timestamp").desc(), E)
+    )
 
 
 def battery_series(t: DataFrame, rng: DateRange) -> DataFrame:

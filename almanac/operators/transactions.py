@@ -156,8 +156,8 @@ def tx_overview(tx: DataFrame, sign: int = -1) -> DataFrame:
 
 
 def tx_by_weekday(tx: DataFrame, sign: int = -1) -> DataFrame:
-    """Expense count and sum per weekday name (sorted Monday first by the consumer)."""
-    return tx.filter(is_expense(sign)).groupBy(F.date_format("date", "EEEE").alias("weekday")).agg(
+    """Expense count and sum per weekday name; ``weekday_no`` (Monday is 1) is what readers sort by."""
+    return tx.filter(is_expense(sign)).groupBy(F.date_format("date", "EEEE").alias("weekday"), (F.weekday("date") + 1).alias("weekday_no")).agg(
         F.count(F.lit(1)).alias("transactions"), _r2(F.sum(F.abs(_amt()))).alias("total"))
 
 

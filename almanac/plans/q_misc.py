@@ -144,7 +144,11 @@ def q_route_notifications(spark, sf):
 
 
 @register("extract_intent", """
-with x as (select conv_id, turn, regexp_extract(text, '\\{[\\s\\S]*\\}', 0) as obj from conversations),
+with a as (select conv_id, turn, case (conv_id + turn) % 6 when 1 then text || ' {"action": "arr_search_movie", "query": "q' || conv_id || '"} ok'
+    when 2 then '{"action": "fly", "id": ' || turn || '} ' || text when 3 then text || ' {"action": }'
+    when 4 then 'x {"id": "i' || conv_id || '",' || chr(10) || ' "action": ""} y' when 5 then '{"action": "help", "query": null, "nested": {"a": ' || turn || '}}'
+    else text end as text from conversations),
+x as (select conv_id, turn, regexp_extract(text, '\\{[\\s\\S]*\\}', 0) as obj from a),
 y as (select conv_id, turn, case when obj <> '' and json_valid(obj) and json_type(obj) = 'OBJECT' then obj end as j from x)
 select conv_id, turn,
   case when j is not null and coalesce(nullif(j->>'action', ''), 'none') in ('""" + "','".join(RT.ACTIONS) + """')
@@ -153,7 +157,7 @@ select conv_id, turn,
   case when j is not null then coalesce(j->>'id', '') else '' end as id
 from y""", "routing")
 def q_extract_intent(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = L.chat_answers(spark, sf)
     i = RT.extract_intent(F.col("text"))
     return c.select("conv_id", "turn", *[v.alias(k) for k, v in i.items()])
 

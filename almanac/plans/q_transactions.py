@@ -137,8 +137,8 @@ def q_tx_overview(spark, sf):
 
 
 @register("tx_by_weekday", W + """
-select dayname(date) as weekday, count(*) as transactions, cast(round(sum(abs(amount)), 2) as double) as total
-from transactions where amount < 0 group by dayname(date)""", "transactions")
+select dayname(date) as weekday, cast(isodow(date) as int) as weekday_no, count(*) as transactions, cast(round(sum(abs(amount)), 2) as double) as total
+from transactions where amount < 0 group by dayname(date), isodow(date)""", "transactions")
 def q_tx_by_weekday(spark, sf):
     return X.tx_by_weekday(tx(spark, sf))
 

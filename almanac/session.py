@@ -73,17 +73,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df, name: str = "t"):
-    """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder and
-    reading it back (one evaluation; the files survive executor loss)."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def cut_lineage(df):
     """Reliable checkpoint (files in the shared ``spark.checkpoint.dir``) computed once:
     the plan is cached so the checkpoint's count and its write read the same blocks,

@@ -134,6 +134,20 @@ def srt_translations(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("batch_text", batch).withColumn("retry_text", retry)
 
 
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a chat model, built from the turns: (conv_id, turn, text). Five of six hold something like a JSON
+    object: in noise, with an unknown action, cut, with a blank action, with nested and null fields."""
+    t = table(spark, sf_dir, "conversations")
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    text, conv, turn = F.col("text"), F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    return t.select("conv_id", "turn", F.when(kind == 1, F.concat(text, F.lit(' {"action": "arr_search_movie", "query": "q'), conv, F.lit('"} ok')))
+                    .when(kind == 2, F.concat(F.lit('{"action": "fly", "id": '), turn, F.lit("} "), text))
+                    .when(kind == 3, F.concat(text, F.lit(' {"action": }')))
+                    .when(kind == 4, F.concat(F.lit('x {"id": "i'), conv, F.lit('",\n "action": ""} y')))
+                    .when(kind == 5, F.concat(F.lit('{"action": "help", "query": null, "nested": {"a": '), turn, F.lit("}}")))
+                    .otherwise(text).alias("text"))
+
+
 def service_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Service error log built from events: (service, timestamp, line)."""
     e = table(spark, sf_dir, "events")
