@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.tokens import encoder, gathered
+from almanac.llm.tokens import CACHE_WORDS, TOGETHER, encoder, gathered
 from almanac.llm.util import bounded_batches, materialize
 
 WINDOW, GRAIN, DEPTH, END_ID = 4096, 16, 3, 2
@@ -30,13 +30,14 @@ WINDOW, GRAIN, DEPTH, END_ID = 4096, 16, 3, 2
 RANKED = 50_000
 
 
-def pieces(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
+def pieces(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False, together: int = TOGETHER, cached: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and ids). A worker encodes texts of
+    ``together`` bytes at once and caches ``cached`` words; smaller ones take less memory, not other ids."""
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab)
-        for ids, texts in gathered(batches):
+        enc = encoder(vocab, cached)
+        for ids, texts in gathered(batches, together):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc_id, raw in zip(ids, enc.encode(texts), strict=True):
                 raw += end
@@ -201,6 +202,6 @@ def pack(parts: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long")).drop("slot")
 
 
-def pack_documents(docs: DataFrame, vocab: str, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
-    return pack(materialize(pieces(docs, vocab, window, end_id), "pieces"), window, grain, depth)
+def pack_documents(docs: DataFrame, vocab: str, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, end_id: int = END_ID, together: int = TOGETHER, cached: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of all documents with their sequence and offset; ``together`` and ``cached`` as in ``pieces``."""
+    return pack(materialize(pieces(docs, vocab, window, end_id, together=together, cached=cached), "pieces"), window, grain, depth)

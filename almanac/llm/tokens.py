@@ -55,12 +55,13 @@ def cuts(b: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.cached = cached
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -102,7 +103,7 @@ class WordEncoder:
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Each of these distinct words' ids."""
-        if len(self.cache) > CACHE_WORDS:  # words in use come back from the older half
+        if len(self.cache) > self.cached:  # words in use come back from the older half
             self.cache, self.older = {}, self.cache
         out = list(map(self.cache.get, words))
         lacking = [i for i, x in enumerate(out) if x is None]
@@ -124,11 +125,11 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """doc_id and text of so many batches that their texts are about TOGETHER bytes."""
+def gathered(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[tuple[list, list]]:
+    """doc_id and text of so many batches that their texts are about ``together`` bytes."""
     ids: list = []
     texts: list = []
     size = 0
@@ -137,15 +138,15 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         ids += of
         texts += text
         size += batch.nbytes
-        if size >= TOGETHER:
+        if size >= together:
             yield ids, texts
             ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, cached: int = CACHE_WORDS) -> WordEncoder:
+    """The worker's encoder for a vocabulary file, with a cache of ``cached`` words."""
+    if (path, cached) not in _encoders:
+        _encoders[path, cached] = WordEncoder(path, cached)
+    return _encoders[path, cached]

@@ -37,9 +37,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), together=TOGETHER, cached=CACHED)
 
 
+#: Bytes of text and cached words of a worker of ``packed``: less than packing's own, as the executors'
+#: heaps have grown in the stages before.
+TOGETHER, CACHED = 1 << 20, 200_000
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_copies", exact_copies),
