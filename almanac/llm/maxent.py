@@ -144,15 +144,16 @@ def corpus_counts(vocabulary: DataFrame, counted: int = COUNTED) -> tuple[Counts
         if reached > counted:
             break
         least = at
-    top = sorted(((-r["c"], bytes(r["token"])) for r in vocabulary.where(level("c") >= least).select("token", "c").collect()))
+    top = vocabulary.where(level("c") >= least).select("token", "c").toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+    tokens, c = top["token"].to_pylist(), top["c"].to_numpy()
     rare_n, rare_v = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
     for r in sums:
         rare_n[r["class"]] += r["n"]
         rare_v[r["class"]] += r["v"]
-    for c, token in top[:WORDS]:
-        rare_n[ending(token)] += c
+    for token, n in zip(tokens[:WORDS], c[:WORDS].tolist(), strict=True):
+        rare_n[ending(token)] -= n
         rare_v[ending(token)] -= 1
-    counts = Counts(sum(r["n"] for r in sums), sum(r["v"] for r in sums), [t for _, t in top], np.array([-c for c, _ in top], np.int64), rare_n, rare_v)
+    counts = Counts(sum(r["n"] for r in sums), sum(r["v"] for r in sums), tokens, c, rare_n, rare_v)
     return counts, vocabulary.where(level("c") < least).select("token", "c")
 
 
@@ -371,8 +372,14 @@ class Gradient:
 
 def stepped(model: Model, sums: np.ndarray, rate: float = RATE, prior: float = PRIOR) -> Model:
     """The model after one step. ``prior`` pseudo-counts hold back cells seen or expected seldom."""
-    move = rate * (np.log(sums[:, 0] + prior) - np.log(sums[:, 1] + prior))
-    return Model(model.class_bias, model.word_bias, model.class_table + move[0].astype(np.float32), model.word_table + move[1].astype(np.float32))
+
+    def moved(table: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        move = np.log(seen + prior)
+        move -= np.log(expected + prior)
+        move *= rate
+        return table + move.astype(np.float32)
+
+    return Model(model.class_bias, model.word_bias, moved(model.class_table, *sums[0]), moved(model.word_table, *sums[1]))
 
 
 def train(encoded: DataFrame, counts: Counts, steps: int = STEPS) -> Model:
@@ -392,7 +399,7 @@ def train(encoded: DataFrame, counts: Counts, steps: int = STEPS) -> Model:
 
         own = encoded.where(F.col("slice") == step).select("ids").coalesce(tasks)
         model = stepped(model, summed(own.mapInArrow(run, SCHEMA), (2, 2, ROWS, CLASSES), np.float32))
-        shared.unpersist()
+        shared.destroy()  # else the driver holds the weights of every step
     return model
 
 

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Entries of the pieces that an array is shuffled in, and partial sums of a piece before its last.
 PIECE, PARTS = 1 << 16, 64
@@ -38,6 +37,9 @@ def summed(parts: DataFrame, shape: tuple[int, ...], dtype: type) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "part", "value"])
 
     out = np.zeros(int(np.prod(shape)), dtype)
-    for r in parts.groupBy("piece", "part").applyInArrow(add, SCHEMA).groupBy("piece").applyInArrow(add, SCHEMA).select("piece", F.col("value")).collect():
-        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["value"], dtype)
+    found = parts.groupBy("piece", "part").applyInArrow(add, SCHEMA).groupBy("piece").applyInArrow(add, SCHEMA).select("piece", "value")
+    for batch in found.toArrow().to_batches():  # Arrow: neither JVM nor Python makes objects of the values
+        for piece, value in zip(*batch.columns, strict=True):
+            k = piece.as_py() * PIECE
+            out[k : k + PIECE] = np.frombuffer(value.as_buffer(), dtype)
     return out.reshape(shape)

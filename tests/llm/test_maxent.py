@@ -4,6 +4,7 @@ probabilities token by token, one training step from its formula."""
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -209,3 +210,27 @@ def test_nothing_to_learn_from(spark):
     got = maxent.score(spark.createDataFrame([(held, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert sorted(tuple(r)[2:6] for r in got) == [(1, 0, 0, pytest.approx(0)), (3, 0, 0, pytest.approx(0))]
     assert all(math.isfinite(r["score"]) for r in got)
+
+
+def test_counted_words_are_small_on_the_driver(spark):
+    n = 60_000
+    vocabulary = spark.range(n).selectExpr("cast(concat('w', id) as binary) token", "id % 7 + 1 c", "cast(id % 16 as int) class")
+    maxent.corpus_counts(vocabulary.limit(10))
+    tracemalloc.start()
+    counts, rest = maxent.corpus_counts(vocabulary)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    want = sorted((-(k % 7 + 1), b"w%d" % k) for k in range(n))
+    assert counts.tokens == [t for _, t in want] and counts.c.tolist() == [-c for c, _ in want]
+    assert (counts.n, counts.v, rest.count()) == (sum(counts.c.tolist()), n, 0)
+    assert peak < 250 * n  # rows as Python objects took over 400 bytes a word
+
+
+def test_weights_of_past_steps_leave_the_driver(spark, monkeypatch):
+    made = []
+    context, share = spark.sparkContext, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(context), "broadcast", lambda self, value: made.append((value, share(self, value))) or made[-1][1])
+    docs = spark.createDataFrame([(k, f"a b c{k % 5}") for k in range(60)], "doc_id long, text string")
+    maxent.fit(docs, steps=3)
+    weights = [b for value, b in made if isinstance(value, maxent.Model)]
+    assert len(weights) == 3 and not any(b._jbroadcast.isValid() for b in weights)
